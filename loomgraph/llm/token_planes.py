@@ -198,7 +198,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         for batch in batches:
             if writer is None and batch.num_rows:
                 files.create_dir(path, recursive=True)
-                stream = files.open_output_stream(temporary)
+                stream = files.open_output_stream(temporary, compression=None)
                 writer = PlaneWriter(stream, block_ids, bits)
             texts = batch.column("text").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
