@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, common, secrets, token_planes, warc
+from loomgraph.llm import chat, common, near_dedup, secrets, token_planes, warc
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,5 +45,9 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_planes(spark, folder)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3, num=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_chat, op6_warc, op8_secrets, op9_token_planes)}
+    return {q.__name__: q for q in (op4_chat, op6_warc, op8_secrets, op9_token_planes, op10_near_dedup)}
