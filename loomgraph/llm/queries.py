@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, common, near_dedup, secrets, token_planes, warc
+from loomgraph.llm import chat, common, near_dedup, secrets, token_planes, toxicity, warc
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,17 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_scores(docs, toxicity.learn(docs, toxicity_labels(spark, sf_dir)))
+    return scored.select("doc_id", (common.crc_of_id(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return common.table(spark, sf_dir, "labels").filter(common.crc_of_id(F.col("doc_id"), 4) != 2)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "warc")
     warc.write_archives(common.table(spark, sf_dir, "pages"), folder)
@@ -50,4 +61,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_chat, op6_warc, op8_secrets, op9_token_planes, op10_near_dedup)}
+    return {q.__name__: q for q in (op4_chat, op5_toxicity, op6_warc, op8_secrets, op9_token_planes, op10_near_dedup)}
