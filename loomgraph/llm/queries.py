@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, common, near_dedup, secrets, token_planes, toxicity, warc
+from loomgraph.llm import chat, common, context_mixing, decontaminate, mixing, near_dedup, secrets, token_planes, toxicity, warc
+
+
+#: Score from which a document counts as toxic.
+TOXIC = 0.3
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = common.crc_of_id(F.col("doc_id"), 10) == 0
+    return context_mixing.score(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +45,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.with_scores(docs, toxicity.learn(docs, toxicity_labels(spark, sf_dir)))
-    return scored.select("doc_id", (common.crc_of_id(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", (common.crc_of_id(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence")
 
 
 def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +59,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    used = mixing.schedule(docs)
+    return used.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return secrets.find_secrets(docs, secrets.learn_formats(docs))
@@ -61,4 +81,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_chat, op5_toxicity, op6_warc, op8_secrets, op9_token_planes, op10_near_dedup)}
+    return {q.__name__: q for q in (op2_decontaminate, op3_context_mixing, op4_chat, op5_toxicity, op6_warc, op7_mixing, op8_secrets, op9_token_planes, op10_near_dedup)}
