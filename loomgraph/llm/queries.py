@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, common, context_mixing, decontaminate, mixing, near_dedup, secrets, token_planes, toxicity, warc
+from loomgraph.llm import chat, common, context_mixing, decontaminate, mixing, near_dedup, progressive_jpeg, secrets, token_planes, toxicity, warc
 
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.3
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -81,4 +85,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_decontaminate, op3_context_mixing, op4_chat, op5_toxicity, op6_warc, op7_mixing, op8_secrets, op9_token_planes, op10_near_dedup)}
+    return {q.__name__: q for q in (op1_progressive_jpeg, op2_decontaminate, op3_context_mixing, op4_chat, op5_toxicity, op6_warc, op7_mixing, op8_secrets, op9_token_planes, op10_near_dedup)}
