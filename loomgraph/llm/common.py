@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table.  On a local master, Python workers are told where this package lies, whatever their folder."""
+    if spark.sparkContext.master.startswith("local["):
+        own = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        spark.sparkContext.environment.setdefault("PYTHONPATH", own)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,6 +73,15 @@ def publish(folder: str, name: str, data: bytes) -> None:
     files.move(temporary, f"{path}/{name}")
 
 
+def release() -> None:
+    """Gives memory that a finished task has freed back to the system; Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_of_id(doc_id, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

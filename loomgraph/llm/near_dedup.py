@@ -8,9 +8,9 @@ that one rank has filled can't improve at a later rank, so a set stops as soon
 as all of its slots are filled.
 
 Classes that agree on a band of slots share a bucket.  In a bucket one member,
-the hub, is compared with all others on full sets.  Buckets whose remaining
-members then lie in several components go on with further hubs, twice as many
-each round, until every pair of their members was compared or is connected, so
+the hub, is compared with all others on full sets.  Where a bucket's remaining
+members then lie in several components, pairs across components that may yet be
+similar are found by their rarest shingles, which loses none, and compared too:
 groups of any size cost neither all pairs nor a link.
 """
 
@@ -27,7 +27,7 @@ from loomgraph.llm.components import connected
 
 MOST_SLOTS = 240
 MISS = 1e-7
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
@@ -77,7 +77,7 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     best = np.full(len(sets) * m, np.iinfo(np.uint64).max, np.uint64)
     perm = None
     for j in range(m):
-        u = mixed(elements + GOLD * np.uint64(j + 1))
+        u = mixed(elements + np.uint64(int(GOLD) * (j + 1) & 0xFFFFFFFFFFFFFFFF))
         k = j + ((mixed(u ^ MIX2) >> np.uint64(32)) * np.uint64(m - j) >> np.uint64(32)).astype(np.int64)
         if j:
             rows = np.arange(len(elements))
@@ -117,12 +117,12 @@ def sign(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
     def signed(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             at = 0
             while at < len(ids):
                 sets, begin, size = [], at, 0
                 while at < len(ids) and size < 60_000:
-                    sets.append(shingle_set(texts[at], shingle, words))
+                    sets.append(shingle_set(texts[at].as_py(), shingle, words))
                     size += len(sets[-1])
                     at += 1
                 full = [s for s in sets if len(s)]
@@ -132,6 +132,7 @@ def sign(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                     [pa.array(ids[begin:at], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "fp1", "fp2", "bands"],
                 )
+        common.release()
 
     return docs.mapInArrow(signed, SIGNED)
 
@@ -144,21 +145,60 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
         hub, own = None, None
         for batch in batches:
             out = []
-            for u, v, a, b in zip(*(batch.column(k).to_pylist() for k in ("u", "v", "text_u", "text_v")), strict=True):
+            texts_u, texts_v = batch.column("text_u"), batch.column("text_v")
+            for i, (u, v) in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)):
                 if v != hub:
-                    hub, own = v, shingle_set(b, shingle, words)
-                other = shingle_set(a, shingle, words)
+                    hub, own = v, shingle_set(texts_v[i].as_py(), shingle, words)
+                other = shingle_set(texts_u[i].as_py(), shingle, words)
                 common_ = len(np.intersect1d(own, other, assume_unique=True))
                 if den * common_ >= num * (len(own) + len(other) - common_):
                     out.append((u, v))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+        common.release()
 
     with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     return both.select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
 
 
+def by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) that may still be linked, of ``rest`` (key, rep, n, c: component): members of
+    different components in one bucket, of which one is outside of the bucket's largest component.
+
+    Two similar sets share one of the rarest (1 - similarity) * n + 1 shingles of
+    each, by frequency in ``rest``; shingles that occur once are shared by none.
+    """
+    words = Words()
+    sized = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
+    largest = sized.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
+    outside = rest.join(largest, "key").groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.bool_or(F.col("c") != F.col("top")).alias("outside"))
+
+    def explode(batches):
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
+            sets = [shingle_set(t, shingle, words) for t in batch.column("text").to_pylist()]
+            n = [len(s) for s in sets]
+            if n:
+                names = ["rep", "c", "outside", "n"]
+                columns = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), n)) for k in names[:3]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(np.array(n, np.int32), n)), pa.array(np.concatenate(sets).view(np.int64))], names=[*names, "token"])
+        common.release()
+
+    rows = texts.join(outside.select(F.col("rep").alias("doc_id"), "c", "outside"), "doc_id").select(F.col("doc_id").alias("rep"), "c", "outside", "text")
+    tokens = common.written(rows.mapInArrow(explode, "rep long, c long, outside boolean, n int, token long"), common.new_folder(texts.sparkSession, "tokens"))
+    common_ = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("rep")
+    rank = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "token"))
+    prefix = tokens.join(common_, "token").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("rep", "c", "outside", "n", "token", (F.col("n") - F.col("rank")).alias("after"))
+    prefix = common.cut(prefix)
+    left = prefix.filter("outside").select(F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("after").alias("au"), "token")
+    right = prefix.select(F.col("rep").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("after").alias("av"), "token")
+    small, large = F.least("nu", "nv"), F.greatest("nu", "nv")
+    # Behind the first shingle that a pair shares lie too few for the rest of what it must share: not this pair, or not its first.
+    enough = (F.least("au", "av") + 1) * (num + den) >= (F.col("nu") + F.col("nv")) * num
+    return left.join(right, "token").filter((F.col("cu") != F.col("cv")) & (small * den >= large * num) & enough).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -179,39 +219,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     classes = signed.filter("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     reps = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r")).select("r.*")
     spread = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key"))
-    hubs = spread.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = common.written(spread.join(hubs.select("key", F.col("hub.rep").alias("hub"), "size"), "key"), common.new_folder(spark, "members"))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = common.written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), common.new_folder(spark, "texts"))
-    sizes = members.select("rep", "n").distinct()
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return common.cut(verified(pairs, texts, shingle, num, den))
-
-    close = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)  # noqa: E731  a necessary condition
-    tested = common.cut(members.filter("rep != hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"), "n").distinct().join(sizes.select(F.col("rep").alias("v"), F.col("n").alias("m")), "v").filter(close(F.col("n"), F.col("m"))).select("u", "v"))
-    edges = links(tested)
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = common.written(spread.join(sizes, "key"), common.new_folder(spark, "members"))
+    # A bucket's hub is its member with the largest buckets: near the middle of its group.
+    ranks = members.groupBy("rep").agg(F.sum("size").alias("rank"), F.first("n").alias("n"))
+    hubs = members.join(ranks.select("rep", "rank"), "rep").groupBy("key").agg(F.max(F.struct("rank", "rep", "n")).alias("hub")).select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m"))
+    members = common.written(members.join(hubs, "key"), common.new_folder(spark, "hubs"))
+    texts = common.written(docs.join(ranks.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), common.new_folder(spark, "texts"))
+    close = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num  # noqa: E731  a necessary condition
+    pairs = members.filter((F.col("rep") != F.col("hub")) & close(F.col("n"), F.col("m"))).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+    edges = common.cut(verified(pairs, texts, shingle, num, den))
     component = connected(edges)
-    left = members.filter("size > 2 AND rep != hub").select("key", "rep", "n")
-    most = 1
-    while True:
-        now = left.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        mixed_keys = now.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("key")
-        now = common.cut(now.join(mixed_keys, "key", "left_semi"))
-        if now.isEmpty():
-            break
-        largest = now.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
-        order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-        chosen = common.cut(now.join(largest, "key").filter("c != top").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("c").alias("d")))
-        pairs = now.join(chosen, "key").filter((F.col("c") != F.col("d")) & close(F.col("n"), F.col("m"))).select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
-        pairs = common.cut(pairs.join(tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        found = links(pairs)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            component = connected(edges)
-        left = now.select("key", "rep", "n").join(chosen.select("key", F.col("v").alias("rep")), ["key", "rep"], "left_anti")
-        most *= 2
+    rest = members.filter("size > 2 AND rep != hub").select("key", "rep", "n").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    split = rest.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("key")
+    rest = common.cut(rest.join(split, "key"))
+    pairs = common.cut(by_prefix(rest, texts, shingle, num, den))
+    found = common.cut(verified(pairs, texts, shingle, num, den))
+    if not found.isEmpty():
+        component = connected(edges.unionByName(found))
     groups = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("c"))
     out = signed.drop("bands").join(groups, ["fp1", "fp2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
