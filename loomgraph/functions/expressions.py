@@ -412,7 +412,7 @@ def _map(node, scope):
 
 def _case(node, scope):
     whens, other = node.args
-    tests = [compile_(t, scope)[0] for t, _ in whens]
+    tests = [compile_(t, scope)[0].cast("boolean") for t, _ in whens]
     values = [compile_(v, scope) for _, v in whens] + [compile_(other, scope)]
     kind = common_type([k for _, k in values])
     values = [c if isinstance(kind, T.NullType) else c.cast(kind) for c, _ in values]
@@ -434,7 +434,7 @@ def _items(node, scope):
 def _quant(node, scope):
     which, var, items, test = node.args
     c, kind = _items(items, scope)
-    inner = lambda x: compile_(test, scope.with_local(var, x, kind.elementType))[0]
+    inner = lambda x: compile_(test, scope.with_local(var, x, kind.elementType))[0].cast("boolean")
     if which == "any":
         return F.exists(c, inner), T.BooleanType()
     if which == "all":
@@ -612,8 +612,10 @@ def rounded(x: Column, places: Column | None) -> Column:
     """Ties go up without places, away from zero with them."""
     if places is None:
         return F.floor(x).cast("double") + ((x - F.floor(x)) >= 0.5).cast("double")
-    scale = F.pow(F.lit(10.0), places)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    # The nearer of both neighbours, measured in doubles: 2.675 lies below its decimal spelling.
+    scale, size = F.pow(F.lit(10.0), places), F.abs(x)
+    down, up = F.floor(size * scale) / scale, (F.floor(size * scale) + 1) / scale
+    return F.signum(x) * F.when(up - size <= size - down, up).otherwise(down)
 
 
 def _call(node, scope):

@@ -22,6 +22,7 @@ import uuid
 import zlib
 from base64 import b64decode, b64encode
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from loomgraph.llm import common
 
 MAGIC = b"TPL1"
 BLOCK_IDS = 1 << 18
-CACHE_WORDS = 400_000
+CACHE_WORDS, JOINED = 700_000, 400
 WRITTEN = "shard long, file string, docs long, ids long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -69,7 +70,7 @@ def from_planes(n: int, planes: list[tuple[int, bytes]], bits: bool) -> np.ndarr
 class PlaneWriter:
     """Writes one file; ``add`` takes a document's ids as little-endian bytes."""
 
-    def __init__(self, stream, block_ids: int = BLOCK_IDS, bits: bool = False, level: int = 3):
+    def __init__(self, stream, block_ids: int = BLOCK_IDS, bits: bool = False, level: int = 1):
         self.stream, self.block_ids, self.bits = stream, block_ids, bits
         self.packer = zstandard.ZstdCompressor(level=level)
         self.waiting, self.n_waiting, self.offset = [], 0, len(MAGIC)
@@ -159,24 +160,46 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        # Digits are pieces of their own, so a lone 0 between words can be told from them.
+        zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.zero = zero[0] if len(zero) == 1 else None
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
         """One for each Python worker, which keeps its cache from task to task."""
         return cls._made.get(path) or cls._made.setdefault(path, cls(path))
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split()
-            cache = self.cache
-            if missing := set(words).difference(cache):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                    missing = set(words)
-                fresh = list(missing)
-                for word, x in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                    cache[word] = np.array(x.ids, "<u4").tobytes()
-            yield b"".join(map(cache.__getitem__, words))
+    def _learn(self, words: list[bytes]) -> None:
+        alone = words if self.zero is None else [w for w in words if b"0" in w]
+        for word, x in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            self.cache[word] = np.array(x.ids, "<u4").tobytes()
+        joined = [] if self.zero is None else [w for w in words if b"0" not in w]
+        parts = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        for part, x in zip(parts, self.tokenizer.encode_batch_fast([b" 0 ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.zero).tolist(), len(ids)]
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(part, ends, strict=True):
+                self.cache[word] = data[4 * begin : 4 * end]
+                begin = end + 1
+
+    def encode(self, texts: list[bytes], at_once: int = 4 << 20) -> Iterator[bytes]:
+        """The ids of each text as little-endian bytes; words are looked up for about ``at_once`` bytes of text together."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and size < at_once:
+                size += len(texts[end])
+                end += 1
+            split = [t.split() for t in texts[begin:end]]
+            if missing := set(filterfalse(self.cache.__contains__, chain.from_iterable(split))):
+                if len(self.cache) + len(missing) > CACHE_WORDS:
+                    self.cache.clear()
+                    missing = set().union(*split)
+                self._learn(list(missing))
+            for own in split:
+                yield b"".join(map(self.cache.__getitem__, own))
+            begin = end
 
 
 def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, bits: bool = False, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -208,6 +231,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             stream.close()
             files.move(temporary, f"{path}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "docs": [len(writer.lengths)], "ids": [writer.total]})
+        common.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     shards = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(write, WRITTEN)
