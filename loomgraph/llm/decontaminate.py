@@ -23,30 +23,32 @@ UNITS = "kilograms?|kilometers?|kilometres?|centimeters?|meters?|metres?|grams?|
 MARK = "\u0002"
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text; a slot's word is the mark, its type, and its value."""
+def canonical(text: Column) -> Column:
+    """A text as words with one space between them; a slot's word is the mark, its type, and its value."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), MARK, " ")
     text = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)\b", f"{MARK}a$1")
     text = F.regexp_replace(text, r"[$€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*(%?)", f" {MARK}n$0 ")
     text = F.regexp_replace(text, f"(?i)({MARK}n\\S+ +)({UNITS})\\b", f"$1{MARK}u$2")
-    text = F.regexp_replace(F.lower(text), f"[^\\p{{L}}\\p{{N}}\\p{{M}}{MARK}.%]+|\\.(?!\\p{{Nd}})", " ")
-    return F.filter(F.split(text, " +"), lambda w: w != "")
+    return F.trim(F.regexp_replace(F.lower(text), f"(?:[^\\p{{L}}\\p{{N}}\\p{{M}}{MARK}.%]|\\.(?!\\p{{Nd}}))+", " "))
 
 
-def template(word: Column) -> Column:
-    return F.when(F.startswith(word, F.lit(MARK)), F.substring(word, 1, 2)).otherwise(word)
+def template(text: Column) -> Column:
+    """Slots of a canonical text, or of one of its words, without their values."""
+    return F.regexp_replace(text, f"{MARK}(.)[^ ]*", f"{MARK}$1")
 
 
-def windows(words: Column, n: int = WINDOW) -> Column:
-    """A hash for each window of ``n`` (a power of two) template words, by doubling; of the whole text where it is shorter, none where it is empty."""
-    hashes = F.transform(words, lambda w: F.xxhash64(template(w)))
-    whole = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(F.transform(words, template), " "), F.size(words)))).otherwise(F.array().cast("array<bigint>"))
-    step, sized = 1, hashes
-    while step < n:
-        rest = F.greatest(F.size(sized) - step, F.lit(0))
-        sized = F.zip_with(F.slice(sized, F.lit(1), rest), F.slice(sized, F.lit(step + 1), rest), lambda a, b: F.xxhash64(a, b))
-        step *= 2
-    return F.when(F.size(words) >= n, sized).otherwise(whole)
+def windows(rows: DataFrame, n: int, at: str) -> DataFrame:
+    """``rows`` (id, text) to (id, words, n_windows, ``at``, h): a row for each window of ``n`` template words, of
+    the whole text where it is shorter, none where it is empty.
+
+    All of it is generated code, up to a join on ``h`` too as long as no lambda stands in between: so
+    ``words`` is passed on by reference and never copied for each window.
+    """
+    rows = rows.withColumn("text", canonical(F.col("text")))
+    rows = rows.withColumns({"words": F.split("text", " "), "templates": F.split(template(F.col("text")), " "), "some": F.length("text") > 0}).drop("text")
+    last = F.greatest(F.size("words") - n, F.lit(0))
+    rows = rows.select("*", (last + 1).alias("n_windows"), F.explode(F.when(F.col("some"), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))).alias(at))
+    return rows.withColumn("h", F.xxhash64(F.slice("templates", F.col(at) + 1, F.lit(n)))).drop("templates", "some")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -58,26 +60,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     one row for each pair of ids; rows of a null id pair under the null id; empty
     tables give no rows; other columns are not read.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("words"))
-    items = items.select("item_id", "words", windows(F.col("words"), n).alias("hashes"))
-    items = items.select("item_id", F.col("words").alias("item_words"), F.size("hashes").alias("n_windows"), F.posexplode("hashes").alias("item_at", "h"))
-    items = items.withColumn("item_words", F.slice("item_words", F.col("item_at") + 1, F.lit(n)))
+    items = windows(benchmark.select("item_id", "text"), n, "item_at")
+    items = items.withColumn("item_words", F.slice("words", F.col("item_at") + 1, F.lit(n))).drop("words")
     literals = F.size(F.filter("item_words", lambda w: ~F.startswith(w, F.lit(MARK))))
     items = items.filter(literals >= F.least(F.lit(LEAST_LITERALS), F.size("item_words"))).distinct()
-    # The bound is checked here; a larger benchmark is joined by a shuffle on the hash.
+    found, own = windows(docs.select("doc_id", "text"), n, "at").drop("n_windows"), F.slice("words", F.col("at") + 1, F.lit(n))
+    # The bound is checked here; a larger benchmark is joined by a shuffle on the hash, with no more of the text than the window.
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
-    found = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    found = found.select("doc_id", "words", F.posexplode(windows(F.col("words"), n)).alias("at", "h"))
-    same = lambda a, b: (a == b) | (F.startswith(a, F.lit(MARK)) & (template(a) == template(b)))
-    found = found.join(items, "h").select("doc_id", "item_id", "n_windows", "at", "item_at", "item_words", F.slice("words", F.col("at") + 1, F.lit(n)).alias("words"))
-    found = found.filter(F.forall(F.zip_with("words", "item_words", same), lambda x: x))
-    slots = F.filter(F.zip_with("item_words", "words", lambda b, a: F.struct(b.alias("item"), a.alias("doc"))), lambda s: F.startswith(s["item"], F.lit(MARK)))
-    found = found.withColumn("slots", slots)
+    else:
+        found, own = found.withColumn("words", own), F.col("words")
+    found = found.join(items, "h")
+    hit = F.struct("item_at", own.alias("doc"), F.col("item_words").alias("item"))
+    found = found.select("doc_id", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal"), hit.alias("hit"))
     # An occurrence has at most the windows of its item.
-    runs = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
-        F.first("n_windows").alias("n_windows"), F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )
+    runs = found.groupBy("doc_id", "item_id", "diagonal").agg(F.first("n_windows").alias("n_windows"), F.collect_set("hit").alias("hits"))
+    same = lambda a, b: (a == b) | (F.startswith(a, F.lit(MARK)) & (F.substring(a, 1, 2) == F.substring(b, 1, 2)))
+    runs = runs.withColumn("hits", F.filter("hits", lambda h: F.forall(F.zip_with(h["doc"], h["item"], same), lambda x: x))).filter(F.size("hits") > 0)
+    slots = lambda h: F.filter(F.zip_with(h["item"], h["doc"], lambda b, a: F.struct(b.alias("item"), a.alias("doc"))), lambda s: F.startswith(s["item"], F.lit(MARK)))
+    runs = runs.select("doc_id", "item_id", "n_windows", F.transform("hits", lambda h: h["item_at"]).alias("ats"), F.array_distinct(F.flatten(F.transform("hits", slots))).alias("slots"))
     one_to_one = lambda k: F.size(F.array_distinct(F.transform("slots", lambda s: s[k]))) == F.size("slots")
     runs = runs.filter(one_to_one("item") & one_to_one("doc"))
     pairs = runs.groupBy("doc_id", "item_id").agg(
