@@ -52,17 +52,17 @@ def exponent(stats: DataFrame, budget: int | None = None, entropy_gain: float =
     low, high = 0.0, 1.0
     ends = at([0.0, 1.0])
     target = ends[1.0][0] + entropy_gain * (math.log(n) - ends[1.0][0])
-    # Both fall as the exponent grows: take the least flat mixture that reaches the entropy, unless it repeats too much.
-    enough = lambda v: v[0] <= target or v[1] > most_repeats
-    if enough(ends[0.0]):
-        for _ in range(rounds):
-            grid = [low + (high - low) * i / ways for i in range(1, ways)]
-            values = at(grid)
-            low, high = max([low, *(a for a in grid if enough(values[a]))]), min([high, *(a for a in grid if not enough(values[a]))])
-    else:
-        high = 0.0
-    a = high if high < 1.0 and not enough(at([high])[high]) else low
-    return a, at([a])[a][2], budget
+    # Entropy and repeats both fall as the exponent grows: the least exponent that is under both bounds is sought.
+    over = lambda v: v[0] > target or v[1] > most_repeats
+    if over(ends[1.0]):
+        low = high
+    elif not over(ends[0.0]):
+        high = low
+    for _ in range(rounds if low < high else 0):
+        grid = [low + (high - low) * i / ways for i in range(1, ways)]
+        values = at(grid)
+        low, high = max([low, *(a for a in grid if over(values[a]))]), min([high, *(a for a in grid if not over(values[a]))])
+    return high, at([high])[high][2], budget
 
 
 def passes(docs: DataFrame, budget: int | None = None, entropy_gain: float = ENTROPY_GAIN, most_repeats: float = MOST_REPEATS, seed: int = 1, text: str = "text") -> DataFrame:
