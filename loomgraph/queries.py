@@ -274,12 +274,10 @@ def search_any(spark, d):
     return Graph(edges=table(spark, d, "nation"), nodes=table(spark, d, "part"), node="p_partkey").search_nodes("Ro").nodes.select("p_partkey")
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem WHERE l_orderkey % 10 = 0), d AS (SELECT s, count(*) AS n FROM e GROUP BY 1)
-  SELECT 's:' || least('' || a.s, '' || b.s) AS src, 's:' || greatest('' || a.s, '' || b.s) AS dst, count(*) / (any_value(da.n) + any_value(db.n) - count(*)) AS jaccard_coeff
-  FROM e a JOIN e b ON a.o = b.o AND a.s < b.s JOIN d da ON da.s = a.s JOIN d db ON db.s = b.s GROUP BY a.s, b.s""")
+@query("""WITH e AS (SELECT 's:' || s_suppkey AS a, 'n:' || s_nationkey AS b FROM supplier UNION SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d AS (SELECT a, count(*) AS n FROM u GROUP BY 1)
+  SELECT x.a AS src, y.a AS dst, count(*) / (any_value(dx.n) + any_value(dy.n) - count(*)) AS jaccard_coeff FROM u x JOIN u y ON x.b = y.b AND x.a < y.a JOIN d dx ON dx.a = x.a JOIN d dy ON dy.a = y.a GROUP BY 1, 2""")
 def jaccard_suppliers(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(key("o", "l_orderkey").alias("src"), key("s", "l_suppkey").alias("dst"))
-    return A.jaccard(Graph(edges=e)).filter("src LIKE 's:%' AND dst LIKE 's:%'")
+    return A.jaccard(commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"]))
 
 
 @query("""WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations), s AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t)
@@ -309,9 +307,9 @@ def bfs_distance(spark, d):
     return A.bfs(_nations(spark, d), "r:0", directed=False)
 
 
-@query("SELECT least(a.n, b.n) AS src, greatest(a.n, b.n) AS dst, count(*) AS cocitation FROM (SELECT l_orderkey AS o, 's:' || l_suppkey AS n FROM lineitem WHERE l_orderkey % 20 = 0) a JOIN (SELECT l_orderkey AS o, 's:' || l_suppkey AS n FROM lineitem WHERE l_orderkey % 20 = 0) b ON a.o = b.o AND a.n < b.n GROUP BY 1, 2")
+@query("SELECT least(a.n, b.n) AS src, greatest(a.n, b.n) AS dst, count(*) AS cocitation FROM (SELECT l_orderkey AS o, 's:' || l_suppkey AS n FROM lineitem) a JOIN (SELECT l_orderkey AS o, 's:' || l_suppkey AS n FROM lineitem) b ON a.o = b.o AND a.n < b.n GROUP BY 1, 2")
 def cocited(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select(key("o", "l_orderkey").alias("src"), key("s", "l_suppkey").alias("dst"))
+    e = table(spark, d, "lineitem").select(key("o", "l_orderkey").alias("src"), key("s", "l_suppkey").alias("dst"))
     return A.cocitation(Graph(edges=e))
 
 
