@@ -73,8 +73,14 @@ def publish(folder: str, name: str, data: bytes) -> None:
     files.move(temporary, f"{path}/{name}")
 
 
-def release() -> None:
-    """Gives memory that a finished task has freed back to the system; Python workers live on."""
+#: What a Python worker keeps from task to task, by owner.
+KEPT: dict[str, object] = {}
+
+
+def release(keep: str = "") -> None:
+    """Drops what other owners than ``keep`` have kept and gives freed memory back to the system; Python workers live on from stage to stage."""
+    for owner in KEPT.keys() - {keep}:
+        del KEPT[owner]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

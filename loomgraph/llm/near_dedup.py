@@ -116,6 +116,7 @@ def sign(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     m, words = bands * rows, Words()
 
     def signed(batches):
+        common.release()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             at = 0

@@ -35,7 +35,7 @@ from loomgraph.llm import common
 
 MAGIC = b"TPL1"
 BLOCK_IDS = 1 << 18
-CACHE_WORDS, JOINED = 700_000, 400
+CACHE_WORDS, JOINED, PARTS = 600_000, 400, 40
 WRITTEN = "shard long, file string, docs long, ids long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -153,8 +153,6 @@ class WordEncoder:
     ASCII white space, so a text's ids are those of its pieces one after another.
     """
 
-    _made: dict[str, WordEncoder] = {}
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -167,7 +165,7 @@ class WordEncoder:
     @classmethod
     def of(cls, path: str) -> WordEncoder:
         """One for each Python worker, which keeps its cache from task to task."""
-        return cls._made.get(path) or cls._made.setdefault(path, cls(path))
+        return common.KEPT.setdefault("encoder", {}).get(path) or common.KEPT["encoder"].setdefault(path, cls(path))
 
     def _learn(self, words: list[bytes]) -> None:
         alone = words if self.zero is None else [w for w in words if b"0" in w]
@@ -175,15 +173,16 @@ class WordEncoder:
             self.cache[word] = np.array(x.ids, "<u4").tobytes()
         joined = [] if self.zero is None else [w for w in words if b"0" not in w]
         parts = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        for part, x in zip(parts, self.tokenizer.encode_batch_fast([b" 0 ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.zero).tolist(), len(ids)]
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
-                self.cache[word] = data[4 * begin : 4 * end]
-                begin = end + 1
-
-    def encode(self, texts: list[bytes], at_once: int = 4 << 20) -> Iterator[bytes]:
+        for few in (parts[i : i + PARTS] for i in range(0, len(parts), PARTS)):
+            for part, x in zip(few, self.tokenizer.encode_batch_fast([b" 0 ".join(p).decode() for p in few], add_special_tokens=False), strict=True):
+                ids = np.array(x.ids, "<u4")
+                ends = [*np.flatnonzero(ids == self.zero).tolist(), len(ids)]
+                data, begin = ids.tobytes(), 0
+                for word, end in zip(part, ends, strict=True):
+                    self.cache[word] = data[4 * begin : 4 * end]
+                    begin = end + 1
+
+    def encode(self, texts: list[bytes], at_once: int = 2 << 20) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes; words are looked up for about ``at_once`` bytes of text together."""
         begin = 0
         while begin < len(texts):
@@ -215,11 +214,12 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     def write(batches):
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        common.release("encoder")
         files, path = common.filesystem(folder)
         encoder, writer, stream = WordEncoder.of(tokenizer_path), None, None
         name, temporary = f"shard-{shard:06d}.tpl", f"{path}/.shard-{shard:06d}.{attempt}.tmp"
-        for batch in batches:
-            if writer is None and batch.num_rows:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            if writer is None:
                 files.create_dir(path, recursive=True)
                 stream = files.open_output_stream(temporary, compression=None)
                 writer = PlaneWriter(stream, block_ids, bits)
@@ -231,7 +231,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             stream.close()
             files.move(temporary, f"{path}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "docs": [len(writer.lengths)], "ids": [writer.total]})
-        common.release()
+        common.release("encoder")
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     shards = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(write, WRITTEN)

@@ -28,7 +28,7 @@ LEAST_CHI, LEAST_DF = 30.0, 4
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 16, 128, 0.25
 WORD = re.compile(r"\w+")
 SCORE = "score double, evidence array<long>"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -131,6 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms:
     rows = common.written(rows, common.new_folder(docs.sparkSession, "labelled"))
 
     def presence(batches):
+        common.release()
         seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist(), strict=True):
@@ -156,6 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms:
     vocabulary = Vocabulary(terms)
 
     def frequency(batches):
+        common.release()
         seen, n = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for text in _texts(batch):
@@ -163,6 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms:
                 if found := vocabulary.counts(text):
                     seen[list(found)] += 1
         yield pa.RecordBatch.from_pydict({"term": np.arange(-1, len(terms)), "df": np.append(n, seen)})
+        common.release()
 
     df = {r.term: r.df for r in docs.select("text").mapInArrow(frequency, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     total = df.get(-1, 0)
@@ -189,10 +192,13 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE examples of TERMS terms
 
     def scored(batches):
+        common.release()
         index, vocabulary = shared.value.index, Vocabulary(shared.value.terms)
         for batch in batches:
             found = [index.score(vocabulary.counts(text)) for text in _texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=[*batch.schema.names, "score", "evidence"])
+        vocabulary.clear()
+        common.release()
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(scored, f"{kinds}, {SCORE}")
