@@ -50,6 +50,7 @@ def connected(edges: DataFrame) -> DataFrame:
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         stars = low.join(least, "u")
         edges = common.cut(stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        # Stars: no node that edges lead to has an edge to a lesser one.
-        if edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty():
+        # Stars: each node has one edge to a lesser one, and none leads on from there.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -48,7 +48,9 @@ def connected_components(g, out: str = "component") -> DataFrame:
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(least, "u")
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        if edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty():
+        # Stars: each node has one edge to a lesser one, and none leads on from there.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             break
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("value"))
     return named(g, vertices(g).join(found, "id", "left").withColumn("value", F.coalesce("value", "id")), out)
