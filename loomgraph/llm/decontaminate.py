@@ -6,12 +6,14 @@ of the benchmark items.  Matches of one item that lie on one diagonal (position
 in the document less position in the item) are one occurrence; it counts if its
 literal words agree and its slots are consistent: one value of the document for
 one value of the item and the reverse.  So a question asked again with other
-numbers or names is found, a mere sequence of placeholders isn't.
+numbers or names is found, a mere sequence of placeholders isn't: windows with
+few literal words match word for word only.  Items shorter than a window are
+one window of their own length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, LEAST_LITERALS = 8, 4
@@ -37,55 +39,77 @@ def template(text: Column) -> Column:
     return F.regexp_replace(text, f"{MARK}(.)[^ ]*", f"{MARK}$1")
 
 
-def windows(rows: DataFrame, n: int, at: str) -> DataFrame:
-    """``rows`` (id, text) to (id, words, n_windows, ``at``, h): a row for each window of ``n`` template words, of
-    the whole text where it is shorter, none where it is empty.
+def windows(rows: DataFrame, sizes: list[int], at: str, short: bool = False) -> DataFrame:
+    """``rows`` (id, text) to (id, words, n_windows, ``at``, k, few, h): a row for each window of k template words
+    for each k of ``sizes``; ``short``: of the whole text where it is shorter than the only size.
 
-    All of it is generated code, up to a join on ``h`` too as long as no lambda stands in between: so
+    ``few`` windows have under ``LEAST_LITERALS`` literal words (in shorter windows: any slot); their ``h`` is of the words too, slots' values
+    included.  All of it is generated code, up to a join on ``h`` too as long as no lambda stands in between: so
     ``words`` is passed on by reference and never copied for each window.
     """
-    rows = rows.withColumn("text", canonical(F.col("text")))
-    rows = rows.withColumns({"words": F.split("text", " "), "templates": F.split(template(F.col("text")), " "), "some": F.length("text") > 0}).drop("text")
-    last = F.greatest(F.size("words") - n, F.lit(0))
-    rows = rows.select("*", (last + 1).alias("n_windows"), F.explode(F.when(F.col("some"), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))).alias(at))
-    return rows.withColumn("h", F.xxhash64(F.slice("templates", F.col(at) + 1, F.lit(n)))).drop("templates", "some")
+    rows = rows.withColumn("text", canonical(F.col("text"))).withColumn("template", template(F.col("text")))
+    # A letter for each literal word, nothing for a slot.
+    letters = F.regexp_replace(F.regexp_replace("template", f"{MARK}.", ""), "[^ ]+", "x")
+    rows = rows.withColumns({"words": F.split("text", " "), "templates": F.split("template", " "), "letters": F.split(letters, " "), "size": F.when(F.length("text") > 0, F.size(F.split("text", " "))).otherwise(0)}).drop("text", "template")
+    if len(sizes) == 1:
+        k = F.least(F.lit(sizes[0]), F.col("size")) if short else F.lit(sizes[0])
+        rows = rows.withColumn("k", k).withColumn("n_windows", F.when(F.col("size") > 0, F.greatest(F.col("size") - F.col("k") + 1, F.lit(0))).otherwise(0))
+        rows = rows.select("*", F.explode(F.when(F.col("n_windows") > 0, F.sequence(F.lit(0), F.col("n_windows") - 1)).otherwise(F.array().cast("array<int>"))).alias(at))
+    else:
+        every = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") * len(sizes) - 1)).otherwise(F.array().cast("array<int>"))
+        rows = rows.select("*", F.lit(0).alias("n_windows"), F.explode(every).alias("i"))
+        rows = rows.withColumns({at: F.floor(F.col("i") / len(sizes)).cast("int"), "k": F.element_at(F.array(*map(F.lit, sizes)), F.col("i") % len(sizes) + 1)}).filter(F.col(at) + F.col("k") <= F.col("size")).drop("i")
+    part = lambda name: F.slice(name, F.col(at) + 1, F.col("k"))
+    few = F.length(F.array_join(part("letters"), "")) < F.least(F.lit(LEAST_LITERALS), F.col("k"))
+    rows = rows.withColumn("few", few)
+    return rows.withColumn("h", F.xxhash64(part("templates"), F.when(F.col("few"), part("words")))).drop("templates", "letters", "size")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """A row for each document (doc_id, text) and benchmark item (item_id, text) that it leaks:
     doc_id, item_id, n_windows (of the item), matched, share, exact (no slot differs).
 
-    Null and empty texts have no windows; an item of fewer than ``n`` words is
-    leaked by texts of its whole template only; repeated rows and equal items give
+    Windows with enough literal words count first, as a share of the item's windows
+    of that sort; where they aren't enough, all windows that agree word for word
+    count, as a share of all.  An item of fewer than ``n`` words is leaked by each
+    text that has all of them in a row, so an item of one word by each text with
+    that word.  Null and empty texts have no windows; repeated rows and equal items give
     one row for each pair of ids; rows of a null id pair under the null id; empty
     tables give no rows; other columns are not read.
     """
-    items = windows(benchmark.select("item_id", "text"), n, "item_at")
-    items = items.withColumn("item_words", F.slice("words", F.col("item_at") + 1, F.lit(n))).drop("words")
-    literals = F.size(F.filter("item_words", lambda w: ~F.startswith(w, F.lit(MARK))))
-    items = items.filter(literals >= F.least(F.lit(LEAST_LITERALS), F.size("item_words"))).distinct()
-    found, own = windows(docs.select("doc_id", "text"), n, "at").drop("n_windows"), F.slice("words", F.col("at") + 1, F.lit(n))
+    items = windows(benchmark.select("item_id", "text"), [n], "item_at", short=True)
+    items = items.withColumn("item_words", F.slice("words", F.col("item_at") + 1, F.col("k"))).withColumn("row", F.xxhash64("words")).drop("words").distinct()
+    items = items.withColumn("able", F.sum((~F.col("few")).cast("int")).over(Window.partitionBy("item_id", "row"))).drop("row").distinct()
+    size = items.agg(F.count(F.lit(1)), F.collect_set(F.when(F.col("k") < n, F.col("k")))).first()
+    items = items.drop("k")
+    found, own = windows(docs.select("doc_id", "text"), [*sorted(size[1]), n], "at").drop("n_windows", "few"), F.slice("words", F.col("at") + 1, F.col("k"))
     # The bound is checked here; a larger benchmark is joined by a shuffle on the hash, with no more of the text than the window.
-    if items.count() <= BROADCAST_WINDOWS:
+    if size[0] <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
     else:
         found, own = found.withColumn("words", own), F.col("words")
     found = found.join(items, "h")
-    hit = F.struct("item_at", own.alias("doc"), F.col("item_words").alias("item"))
-    found = found.select("doc_id", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal"), hit.alias("hit"))
+    hit = F.struct("item_at", F.col("few").alias("few"), own.alias("doc"), F.col("item_words").alias("item"))
+    found = found.select("doc_id", "item_id", "n_windows", "able", (F.col("at") - F.col("item_at")).alias("diagonal"), hit.alias("hit"))
     # An occurrence has at most the windows of its item.
-    runs = found.groupBy("doc_id", "item_id", "diagonal").agg(F.first("n_windows").alias("n_windows"), F.collect_set("hit").alias("hits"))
+    runs = found.groupBy("doc_id", "item_id", "diagonal").agg(F.first("n_windows").alias("n_windows"), F.first("able").alias("able"), F.collect_set("hit").alias("hits"))
     same = lambda a, b: (a == b) | (F.startswith(a, F.lit(MARK)) & (F.substring(a, 1, 2) == F.substring(b, 1, 2)))
-    runs = runs.withColumn("hits", F.filter("hits", lambda h: F.forall(F.zip_with(h["doc"], h["item"], same), lambda x: x))).filter(F.size("hits") > 0)
+    runs = runs.withColumn("hits", F.filter("hits", lambda h: F.forall(F.zip_with(h["doc"], h["item"], same), lambda x: x) & (~h["few"] | (h["doc"] == h["item"])))).filter(F.size("hits") > 0)
     slots = lambda h: F.filter(F.zip_with(h["item"], h["doc"], lambda b, a: F.struct(b.alias("item"), a.alias("doc"))), lambda s: F.startswith(s["item"], F.lit(MARK)))
-    runs = runs.select("doc_id", "item_id", "n_windows", F.transform("hits", lambda h: h["item_at"]).alias("ats"), F.array_distinct(F.flatten(F.transform("hits", slots))).alias("slots"))
+    rich, verbatim = F.filter("hits", lambda h: ~h["few"]), F.filter("hits", lambda h: h["doc"] == h["item"])
+    ats = lambda hits: F.transform(hits, lambda h: h["item_at"])
+    runs = runs.select("doc_id", "item_id", "n_windows", "able", ats(rich).alias("ats"), ats(verbatim).alias("verbatim"), F.array_distinct(F.flatten(F.transform(rich, slots))).alias("slots"))
     one_to_one = lambda k: F.size(F.array_distinct(F.transform("slots", lambda s: s[k]))) == F.size("slots")
-    runs = runs.filter(one_to_one("item") & one_to_one("doc"))
+    runs = runs.withColumn("ats", F.when(one_to_one("item") & one_to_one("doc"), F.col("ats")).otherwise(F.array().cast("array<int>")))
+    distinct = lambda name: F.size(F.array_distinct(F.flatten(F.collect_set(name)))).cast("long").alias(name)
     pairs = runs.groupBy("doc_id", "item_id").agg(
-        F.first("n_windows").cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("matched"), F.bool_and(F.forall("slots", lambda s: s["item"] == s["doc"])).alias("exact")
+        F.first("n_windows").cast("long").alias("n_windows"), F.first("able").alias("able"), distinct("ats"), distinct("verbatim"), F.bool_and(F.when(F.size("ats") > 0, F.forall("slots", lambda s: s["item"] == s["doc"]))).alias("exact")
     )
-    share = F.col("matched") / F.col("n_windows")
-    return pairs.filter((F.col("matched") >= LEAST_WINDOWS) | (share >= LEAST_SHARE)).select("doc_id", "item_id", "n_windows", "matched", share.alias("share"), "exact")
+    leaked = lambda m, of: (F.col(m) >= LEAST_WINDOWS) | (F.col(m) >= F.greatest(F.lit(1), F.col(of)) * LEAST_SHARE)
+    first = leaked("ats", "able")
+    pick = lambda a, b: F.when(first, a).otherwise(b)
+    matched, of = pick(F.col("ats"), F.col("verbatim")), pick(F.col("able"), F.col("n_windows"))
+    return pairs.filter(first | leaked("verbatim", "n_windows")).select("doc_id", "item_id", "n_windows", matched.alias("matched"), (matched / of).alias("share"), pick(F.col("exact"), F.lit(True)).alias("exact"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -52,6 +52,21 @@ def test_large_benchmarks_are_shuffled(spark, small, monkeypatch):
     assert got == brute.leaks(small("documents", "doc_id", "text"), small("benchmark", "item_id", "text"))
 
 
+def test_leaks_of_short_and_number_rich_items(spark, docs):
+    short, sums, question = "What is the capital of France?", "Compute 12 + 7 * 3 - 4 and 9 / 2 + 5 * 8", "What is 15 + 27 ?"
+    rows = docs([f"Some words before it. {t} And some more words after it, as texts have." for t in (short, sums, question)] + [sums, question, sums.replace("12", "13").replace("7", "6").replace("5", "1"), "What is 16 + 28 ?", "no item"])
+    items = spark.createDataFrame([(1, short), (2, sums), (3, question)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(rows, items).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 2), (4, 3)} and all(r.exact and r.share == 1 for r in got.values())
+
+
+def test_share_is_of_windows_that_can_match(spark, docs):
+    item = "1 2 3 4 5 6 7 8 9 10 11 12 Anna bought apples with Olga at home"
+    rows = docs(["20 21 22 23 24 25 26 27 28 29 30 31 Anna bought apples with Olga at home"])
+    (got,) = decontaminate.leaks(rows, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert got.matched < 6 and got.matched / got.n_windows < 0.5 and got.share == 1 and not got.exact
+
+
 # ---- context mixing
 
 
