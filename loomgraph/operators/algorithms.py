@@ -7,6 +7,7 @@ Each function takes a graph and gives a DataFrame keyed by its node column, or
 from __future__ import annotations
 
 import math
+import warnings
 from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,10 @@ def named(g, df: DataFrame, out: str) -> DataFrame:
     return df.select(F.col("id").alias(g.node), F.col("value").alias(out))
 
 
+def _unsettled(name: str, most: int) -> None:
+    warnings.warn(f"{name}: not converged in {most} rounds; the result is that of the last", RuntimeWarning, stacklevel=3)
+
+
 def connected_components(g, out: str = "component") -> DataFrame:
     """The least node id of each weakly connected component, by alternating large and small stars."""
     edges = cut(pairs(g, loops=False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -79,23 +84,27 @@ def pagerank(g, out: str = "pagerank", alpha: float = 0.85, tol: float = 1e-6, m
         state = cut(state.join(flow, "id", "left").select("id", "reset", "out", F.col("value").alias("old"), new.alias("value")))
         if state.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0] < n * tol:
             break
+    else:
+        _unsettled("pagerank", most)
     return named(g, state, out)
 
 
 def hits(g, hub: str = "hub", authority: str = "authority", tol: float = 1e-8, most: int = 100) -> DataFrame:
-    """Hub and authority scores, each with the sum 1."""
+    """Hub and authority scores, each with the sum 1; stotals where the hubs change by less than ``tol`` in L1."""
     edges, nodes = cut(pairs(g)), vertices(g)
     n = nodes.count() or 1
     state = cut(nodes.withColumn("h", F.lit(1.0 / n)))
     for _ in range(most):
         a = edges.join(state.select(F.col("id").alias("u"), "h"), "u").groupBy("v").agg(F.sum("h").alias("a"))
-        top = a.agg(F.max("a")).first()[0] or 1.0
-        a = cut(a.withColumn("a", F.col("a") / top))
+        total = a.agg(F.sum("a")).first()[0] or 1.0
+        a = cut(a.withColumn("a", F.col("a") / total))
         h = edges.join(a, "v").groupBy(F.col("u").alias("id")).agg(F.sum("a").alias("new"))
-        top = h.agg(F.max("new")).first()[0] or 1.0
-        state = cut(state.join(h, "id", "left").select("id", F.col("h").alias("old"), (F.coalesce("new", F.lit(0.0)) / top).alias("h")))
-        if state.agg(F.sum(F.abs(F.col("h") - F.col("old")))).first()[0] < tol * n:
+        total = h.agg(F.sum("new")).first()[0] or 1.0
+        state = cut(state.join(h, "id", "left").select("id", F.col("h").alias("old"), (F.coalesce("new", F.lit(0.0)) / total).alias("h")))
+        if (state.agg(F.sum(F.abs(F.col("h") - F.col("old")))).first()[0] or 0.0) < tol:
             break
+    else:
+        _unsettled("hits", most)
     both = state.join(a.select(F.col("v").alias("id"), "a"), "id", "left").withColumn("a", F.coalesce("a", F.lit(0.0)))
     sums = both.agg(F.sum("h"), F.sum("a")).first()
     return both.select(F.col("id").alias(g.node), (F.col("h") / (sums[0] or 1.0)).alias(hub), (F.col("a") / (sums[1] or 1.0)).alias(authority))
@@ -159,18 +168,25 @@ def k_core(g, k: int = 2):
     return g.keep_nodes(chosen)
 
 
-def label_propagation(g, out: str = "community", most: int = 20) -> DataFrame:
-    """Each node takes its neighbours' most frequent label, the least of equals; both sides see the labels of the round before."""
+def label_propagation(g, out: str = "community", most: int = 100) -> DataFrame:
+    """Each node takes its neighbours' most frequent label, its own or else the least of equals, until none would change.
+
+    Each round half of the nodes may change, by hash of id and round: neighbours that change at once swap labels for ever.
+    """
     edges = cut(pairs(g, False, False))
     state = cut(vertices(g).select("id", F.col("id").alias("value")))
-    for _ in range(most):
+    for i in range(most):
         votes = edges.join(state.select(F.col("id").alias("v"), "value"), "v").groupBy("u", "value").agg(F.count(F.lit(1)).alias("n"))
-        # The greatest count, and of equals the least label: two aggregations, no sort.
+        # The greatest count, and of equals the least label: aggregations, no sort.
         top = votes.groupBy("u").agg(F.max("n").alias("n"))
-        won = votes.join(top, ["u", "n"]).groupBy(F.col("u").alias("id")).agg(F.min("value").alias("new"))
-        state = cut(state.join(won, "id", "left").select("id", F.col("value").alias("old"), F.coalesce("new", "value").alias("value")))
-        if state.filter("old != value").isEmpty():
+        won = votes.join(top, ["u", "n"]).join(state.select(F.col("id").alias("u"), F.col("value").alias("own")), "u")
+        won = won.groupBy(F.col("u").alias("id")).agg(F.when(~F.bool_or(F.col("value") == F.col("own")), F.min("value")).alias("new"))
+        turn = F.xxhash64("id", F.lit(i)) % 2 == 0
+        state = cut(state.select("id", "value").join(won, "id", "left").select("id", F.col("new").isNotNull().alias("wants"), F.when(turn, F.coalesce("new", "value")).otherwise(F.col("value")).alias("value")))
+        if state.filter("wants").isEmpty():
             break
+    else:
+        _unsettled("label_propagation", most)
     return named(g, state, out)
 
 

@@ -315,17 +315,17 @@ def cocited(spark, d):
 
 @query()
 def pagerank(spark, d):
-    return A.pagerank(_nations(spark, d), most=15)
+    return A.pagerank(_nations(spark, d))
 
 
 @query()
 def hits(spark, d):
-    return A.hits(_nations(spark, d), most=15)
+    return A.hits(_nations(spark, d))
 
 
 @query()
 def communities(spark, d):
-    return A.label_propagation(_nations(spark, d), most=6)
+    return A.label_propagation(_nations(spark, d))
 
 
 @query("SELECT user_id AS node, date_trunc('hour', ts) AS start, count(*) AS degree FROM events GROUP BY 1, 2")
