@@ -3,7 +3,7 @@
 Credentials that the patterns label are turned into one prefix tree for each
 kind; states whose outgoing frequencies agree by Hoeffding's bound are merged
 (ALERGIA) into a probabilistic automaton.  Every other run of 16 or more
-credential characters that isn't of letters alone is scored by how much likelier
+credential characters, unless a found span covers it, is scored by how much likelier
 the best automaton makes it than a letter-pair model of ordinary long runs.
 """
 
@@ -47,15 +47,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def other_runs(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """Runs that aren't of letters alone and touch no base span."""
+    """Runs that no base span covers; a run may contain one."""
     ends, at = [(s[0], s[2]) for s in base], 0
     for m in RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or not any(map(str.isdigit, run)):
-            continue
         while at < len(ends) and ends[at][1] <= m.start():
             at += 1
-        if not any(a < m.end() and m.start() < b for a, b in ends[at:]):
+        if not any(a <= m.start() and m.end() <= b for a, b in ends[at:]):
             yield m.start(), m.end(), run
 
 
@@ -162,7 +160,7 @@ class Formats:
     """Automata by kind against ordinary runs."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.kinds = {k: Automaton(v) for k, v in labelled.items() if len(v) >= 20}
+        self.kinds = {k: Automaton(v) for k, v in labelled.items() if v}
         self.ordinary = Pairs(ordinary)
 
     def evidence(self, word: str) -> float:

@@ -188,6 +188,18 @@ def test_formats_are_inferred(docs):
     assert secrets.find_secrets(table.limit(0), secrets.learn_formats(table.limit(0))).count() == 0
 
 
+def test_all_runs_are_scored(docs):
+    r = random.Random(5)
+    pick = lambda n: "".join(r.choice("ABCDEFGHKLMNPQRS") for _ in range(n))
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [f"password = tok_{pick(24)}" for _ in range(15)] + [f"see {'-'.join(r.sample(['monthly', 'summary', 'report', 'people', 'office'], 3))}-2024" for _ in range(200)]
+    table = docs([*rows, f"x tok_{pick(24)} end", f"x {pick(28)} end", f"x tok_{pick(8)}{hexes(16)}{pick(8)} end"])
+    runs = [[w for _, _, w in secrets.other_runs(t, secrets.base_spans(t))] for t in ("correct-horse-battery-staple", "q" * 16, "tok_AB" + "0f" * 8 + "CD", "0f" * 8)]
+    assert runs == [["correct-horse-battery-staple"], ["q" * 16], ["tok_AB" + "0f" * 8 + "CD"], []]
+    got = {x.doc_id: x.spans for x in secrets.find_secrets(table, secrets.learn_formats(table)).collect()}
+    assert got[215] == "format:2:30" and not any("format" in got[i] for i in range(15, 215))
+
+
 def test_automata_merge_states():
     words = ["ab" * n for n in range(1, 9) for _ in range(40 >> n // 2)]
     automaton = secrets.Automaton(words)
