@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from base64 import b64decode, b64encode
 from collections.abc import Iterator
 from itertools import chain, filterfalse
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ from loomgraph.llm import common
 MAGIC = b"TPL1"
 BLOCK_IDS = 1 << 18
 CACHE_WORDS, JOINED, PARTS = 600_000, 400, 40
+#: Ids after which a shard goes on in another file.
+ROLL_IDS = 1 << 26
+ROWS = 20_000
 WRITTEN = "shard long, file string, docs long, ids long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -146,41 +151,88 @@ class PlaneReader:
             yield doc_id if known else None, np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
+#: The text rules under which a text's ids are those of its white-space separated pieces.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+SPLITTERS = (
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+)
+
+
+class WholeEncoder:
+    """Ids of whole texts, for any tokenizer file."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: list[bytes], at_once: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text as little-endian bytes; texts of about ``at_once`` bytes are encoded together."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and size < at_once:
+                size += len(texts[end])
+                end += 1
+            for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[begin:end]], add_special_tokens=False):
+                yield np.array(x.ids, "<u4").tobytes()
+            begin = end
+
+
 class WordEncoder:
     """Ids of whole texts, through a bounded cache of white-space separated pieces.
 
-    The vocabulary drops white space and none of its patterns, nor NFC, crosses
-    ASCII white space, so a text's ids are those of its pieces one after another.
+    For tokenizers of the rules above only: these drop white space, and none of
+    their patterns, nor NFC, crosses ASCII white space.  A piece of Latin letters
+    and then punctuation is encoded as these two, the letters once for all
+    their cases; other pieces are encoded as they are.
     """
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        # Digits are pieces of their own, so a lone 0 between words can be told from them.
-        zero = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.zero = zero[0] if len(zero) == 1 else None
-
-    @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        """One for each Python worker, which keeps its cache from task to task."""
-        return common.KEPT.setdefault("encoder", {}).get(path) or common.KEPT["encoder"].setdefault(path, cls(path))
+    #: Precomposed Latin letters of which each has one lower-case letter, then ASCII marks.
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
+
+    def __init__(self, tokenizer, suffix: str):
+        self.tokenizer, self.cache, self.parts = tokenizer, {}, {}
+        names = tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith(suffix)]] = True
+
+    def _alone(self, pieces: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(pieces), JOINED):
+            for x in self.tokenizer.encode_batch_fast(pieces[i : i + JOINED], add_special_tokens=False):
+                yield np.array(x.ids, "<u4").tobytes()
+
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        """Words of letters alone: each is one piece, so its last id, and none before, ends a word."""
+        for i in range(0, len(words), JOINED * PARTS):
+            own = [words[k : k + JOINED] for k in range(i, min(i + JOINED * PARTS, len(words)), JOINED)]
+            for part, x in zip(own, self.tokenizer.encode_batch_fast([" ".join(p) for p in own], add_special_tokens=False), strict=True):
+                ids = np.array(x.ids, "<u4")
+                ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+                if len(ends) != len(part):
+                    yield from self._alone(part)
+                    continue
+                data = ids.tobytes()
+                yield from map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))
 
     def _learn(self, words: list[bytes]) -> None:
-        alone = words if self.zero is None else [w for w in words if b"0" in w]
-        for word, x in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(x.ids, "<u4").tobytes()
-        joined = [] if self.zero is None else [w for w in words if b"0" not in w]
-        parts = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        for few in (parts[i : i + PARTS] for i in range(0, len(parts), PARTS)):
-            for part, x in zip(few, self.tokenizer.encode_batch_fast([b" 0 ".join(p).decode() for p in few], add_special_tokens=False), strict=True):
-                ids = np.array(x.ids, "<u4")
-                ends = [*np.flatnonzero(ids == self.zero).tolist(), len(ids)]
-                data, begin = ids.tobytes(), 0
-                for word, end in zip(part, ends, strict=True):
-                    self.cache[word] = data[4 * begin : 4 * end]
-                    begin = end + 1
+        plain, letters, marks, other = [], [], [], []
+        for word in words:
+            if found := self.PLAIN.fullmatch(word.decode()):
+                plain.append(word)
+                letters.append(found[1].lower())
+                marks.append(found[2])
+            else:
+                other.append(word)
+        if len(self.parts) + len(plain) > CACHE_WORDS:
+            self.parts.clear()
+        parts = self.parts
+        new = list(set(letters) - parts.keys())
+        parts.update(zip(new, self._joined(new), strict=True))
+        new = list(set(marks) - parts.keys())
+        parts.update(zip(new, self._alone(new), strict=True))
+        get = parts.__getitem__
+        self.cache.update(zip(plain, map(add, map(get, letters), map(get, marks)), strict=True))
+        self.cache.update(zip(other, self._alone([w.decode() for w in other]), strict=True))
 
     def encode(self, texts: list[bytes], at_once: int = 2 << 20) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes; words are looked up for about ``at_once`` bytes of text together."""
@@ -201,42 +253,78 @@ class WordEncoder:
             begin = end
 
 
-def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, bits: bool = False, block_ids: int = BLOCK_IDS) -> DataFrame:
+def encoder_of(path: str) -> WordEncoder | WholeEncoder:
+    """One for each Python worker, which keeps it from task to task; by words only where the file's rules are the known ones."""
+    known = common.KEPT.setdefault("encoder", {})
+    if path not in known:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as source:
+            rules = json.load(source)
+        steps = lambda key, inner: tuple((rules.get(key) or {}).get(inner, ()))
+        special = rules.get("added_tokens") or []
+        by_words = (
+            steps("normalizer", "normalizers") == NORMALIZERS
+            and steps("pre_tokenizer", "pretokenizers") == SPLITTERS
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"] or t["content"].split() != [t["content"]] for t in special)
+            and rules["model"]["type"] == "BPE"
+            and rules["model"].get("dropout") is None
+            and rules["model"].get("end_of_word_suffix")
+        )
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        known[path] = WordEncoder(tokenizer, rules["model"]["end_of_word_suffix"]) if by_words else WholeEncoder(tokenizer)
+    return known[path]
+
+
+def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, bits: bool = False, block_ids: int = BLOCK_IDS, roll_ids: int = ROLL_IDS) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes them in ascending doc_id order.
 
     A null text counts as empty and holds only ``end_id``; a null doc_id sorts
     first; repeated rows are all kept, equal ids ordered by text; an empty table
-    gives no shard.  Other columns are not read.  Returns the manifest: one row
-    for each shard with ``start``, the ids in the shards before it.
+    gives no shard.  A text of any length is one document; a file ends after the
+    document with which it reaches ``roll_ids``.  Other columns are not read.
+    Returns the manifest: one row for each file with ``start``, the ids in the
+    files before it.
     """
     spark = docs.sparkSession
     end = struct.pack("<I", end_id)
 
     def write(batches):
-        shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        shard, attempt, roll = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         common.release("encoder")
         files, path = common.filesystem(folder)
-        encoder, writer, stream = WordEncoder.of(tokenizer_path), None, None
-        name, temporary = f"shard-{shard:06d}.tpl", f"{path}/.shard-{shard:06d}.{attempt}.tmp"
+        encoder, writer, stream = encoder_of(tokenizer_path), None, None
+
+        def finish():
+            writer.close()
+            stream.close()
+            name = f"shard-{shard:06d}-{roll:04d}.tpl"
+            files.move(temporary, f"{path}/{name}")
+            return pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "docs": [len(writer.lengths)], "ids": [writer.total]})
+
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            if writer is None:
-                files.create_dir(path, recursive=True)
-                stream = files.open_output_stream(temporary, compression=None)
-                writer = PlaneWriter(stream, block_ids, bits)
             texts = batch.column("text").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                if writer is None:
+                    files.create_dir(path, recursive=True)
+                    temporary = f"{path}/.shard-{shard:06d}-{roll:04d}.{attempt}.tmp"
+                    stream = files.open_output_stream(temporary, compression=None)
+                    writer = PlaneWriter(stream, block_ids, bits)
                 writer.add(doc_id, ids + end)
+                if writer.total >= roll_ids:
+                    yield finish()
+                    writer, roll = None, roll + 1
         if writer:
-            writer.close()
-            stream.close()
-            files.move(temporary, f"{path}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "docs": [len(writer.lengths)], "ids": [writer.total]})
+            yield finish()
         common.release("encoder")
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     shards = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(write, WRITTEN)
     listed, start = [], 0
-    for row in sorted(shards.collect()):  # one small row for each shard
+    for row in sorted(shards.collect()):  # one small row for each file
         listed.append([*row, start])
         start += row.ids
     common.publish(folder, "manifest.json", json.dumps({"format": MAGIC.decode(), "columns": ["shard", "file", "docs", "ids", "start"], "shards": listed}).encode())
@@ -244,12 +332,17 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
 
 def read_planes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each stored document, computed from the files of the manifest."""
+    """One row for each stored document, computed from the files of the manifest; none where it lists no file.
+
+    Null and repeated ids come back as they were stored, ``start`` telling them apart.
+    """
     files, path = common.filesystem(folder)
     with files.open_input_file(f"{path}/manifest.json") as source:
         shards = json.loads(source.read())["shards"]
 
     def read(batches):
+        names = [x.split()[0] for x in DOCUMENT.split(", ")]
+        said = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
         for batch in batches:
             for i in batch.column("id").to_pylist():
                 own, at = common.filesystem(folder)
@@ -259,7 +352,11 @@ def read_planes(spark: SparkSession, folder: str) -> DataFrame:
                     for doc_id, ids in PlaneReader(source).documents():
                         rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
                         start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == ROWS:
+                            yield said(rows)
+                            rows = []
+                if rows:
+                    yield said(rows)
 
     if not shards:
         return spark.createDataFrame([], DOCUMENT)

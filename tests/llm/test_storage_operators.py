@@ -5,6 +5,7 @@ import math
 import os
 import zlib
 from collections import Counter
+from functools import cache
 
 import brute
 import numpy as np
@@ -183,12 +184,16 @@ def test_any_ids(rows, bits, block):
         token_planes.PlaneReader(pa.BufferReader(out.getvalue()[:-3]))
 
 
-def encoded(text):
+@cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = encoded.__dict__.setdefault("t", Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def encoded(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def stored(rows):
@@ -218,3 +223,38 @@ def test_tokens_of_odd_rows(spark, docs, tmp_path, bits):
     assert got == stored(order)
     token_planes.write_planes(rows.limit(0), f"{tmp_path}/none", path)
     assert token_planes.read_planes(spark, f"{tmp_path}/none").count() == 0
+
+
+WORDS = st.text("aZbéÉñßİıſǅ́İ'.,!<|>0９٣京 \n\t ​-_", max_size=30)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(WORDS, min_size=1, max_size=6))
+def test_word_ids_are_those_of_whole_texts(texts):
+    import public_tokenizers
+
+    encoder = token_planes.encoder_of(public_tokenizers.path("word_bpe_49k.json"))
+    assert isinstance(encoder, token_planes.WordEncoder)
+    texts = [*texts, "don't <|endoftext|> I'LL 's'sx " + texts[0]]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])]
+    assert got == [encoded(t)[:-1] for t in texts]
+
+
+def test_other_tokenizers_see_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, texts = token_planes.encoder_of(path), ["two  words\n x", "", "0 a 0"]
+    assert isinstance(encoder, token_planes.WholeEncoder)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_files_roll(spark, docs, tmp_path):
+    import public_tokenizers
+
+    rows = docs([(i, "some words here " * (i % 7)) for i in range(60)])
+    manifest = token_planes.write_planes(rows.coalesce(1), f"{tmp_path}/r", public_tokenizers.path("word_bpe_49k.json"), roll_ids=50).collect()
+    assert len(manifest) > 8 and all(r.ids < 50 + 40 for r in manifest)
+    got = sorted(map(tuple, token_planes.read_planes(spark, f"{tmp_path}/r").collect()), key=lambda r: r[1])
+    assert got == stored([(i, "some words here " * (i % 7)) for i in range(60)])
