@@ -31,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/loomgraph-{name}-{uuid.uuid4().hex}"
+    FOLDERS.append(f"{shared_dir(spark).rstrip('/')}/loomgraph-{name}-{uuid.uuid4().hex}")
+    return FOLDERS[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,6 +55,41 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: A key with more than this share of all rows is hot, so at most its inverse are.
+HOT_SHARE = 0.001
+
+
+def joined_by_hot_key(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of ``left`` with ``right`` (one row for each ``key``), whose rows of the keys in ``hot`` are broadcast.
+
+    ``hot`` (``key``, without repeats) comes from ``hot_keys``, which bounds it by 1 / ``HOT_SHARE`` rows, so
+    the rows of a key that holds much of ``left`` stay where they are.
+    """
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(few, key).unionByName(left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key))
+
+
+def hot_keys(sizes: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """The keys of ``sizes`` (key, size) that hold more than ``HOT_SHARE`` of the sum of sizes, as a table that is kept."""
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    return cut(sizes.filter(F.col(size) > max(1000, total * HOT_SHARE)).select(key))
+
+
+#: Folders that were made in this process and not dropped since.
+FOLDERS: list[str] = []
+
+
+def drop_folders(spark: SparkSession, made: list[str]) -> None:
+    """Deletes folders whose rows nobody reads any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in made:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in FOLDERS:
+            FOLDERS.remove(folder)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a path or URI, and the path in it."""
     if "://" in uri:

@@ -39,16 +39,20 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Union-find shrinks each task's edges to a forest, then large-star and
     small-star steps alternate until every edge leads to its component's least node;
-    each step's lineage is cut.
+    each step's lineage is cut.  Links of a null end or of a node to itself are
+    left out, repeated links count once, an empty table gives no rows.  The edges
+    of a node that holds many of them stay in their tasks when its least
+    neighbour is joined to them.
     """
     edges = common.cut(edges.filter("u != v").mapInArrow(forest, EDGE).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        low = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
-        stars = low.join(least, "u")
+        least = common.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("size")))
+        hot = common.hot_keys(least, "u")
+        edges = common.joined_by_hot_key(both, least.drop("size"), "u", hot).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        low = common.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        # A large-star step leaves a node few greater neighbours' worth of edges; what is hot here was hot above.
+        stars = common.joined_by_hot_key(low, low.groupBy("u").agg(F.min("v").alias("m")), "u", hot)
         edges = common.cut(stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
         # Stars: each node has one edge to a lesser one, and none leads on from there.
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))

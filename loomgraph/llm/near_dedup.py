@@ -28,6 +28,8 @@ from loomgraph.llm.components import connected
 MOST_SLOTS = 240
 MISS = 1e-7
 CACHE_WORDS = 150_000
+#: Pairs of one text that meet in one key.
+HUB_PAIRS = 2000
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
@@ -139,7 +141,11 @@ def sign(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose sets are similar enough: den * intersection >= num * union."""
+    """The (u, v) of ``pairs`` whose sets are similar enough: den * intersection >= num * union.
+
+    ``texts`` is (cls, text).  The pairs of a ``v`` with more than ``HUB_PAIRS`` of them are
+    dealt to several keys, and its text is copied to each of these.
+    """
     words = Words()
 
     def compare(batches):
@@ -158,9 +164,13 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
         common.release()
 
-    with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
+    parts = pairs.groupBy(F.col("v").alias("cls")).agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts"))
+    hubs = texts.join(parts, "cls").select(F.col("cls").alias("v"), F.col("text").alias("text_v"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+    many = common.cut(parts.filter("parts > 1"))
+    # Each of these holds HUB_PAIRS pairs, so its rows are few against those of the pairs; Spark picks the join by its size.
+    dealt = pairs.join(many.withColumnRenamed("cls", "v"), "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    with_u = dealt.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("text_u")), "u")
+    return with_u.join(hubs.drop("parts"), ["v", "part"]).select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
 
 
 def by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -185,7 +195,7 @@ def by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(np.array(n, np.int32), n)), pa.array(np.concatenate(sets).view(np.int64))], names=[*names, "token"])
         common.release()
 
-    rows = texts.join(outside.select(F.col("rep").alias("doc_id"), "c", "outside"), "doc_id").select(F.col("doc_id").alias("rep"), "c", "outside", "text")
+    rows = texts.join(outside.select(F.col("rep").alias("cls"), "c", "outside"), "cls").select(F.col("cls").alias("rep"), "c", "outside", "text")
     tokens = common.written(rows.mapInArrow(explode, "rep long, c long, outside boolean, n int, token long"), common.new_folder(texts.sparkSession, "tokens"))
     common_ = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = Window.partitionBy("rep")
@@ -200,15 +210,36 @@ def by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
     return left.join(right, "token").filter((F.col("cu") != F.col("cv")) & (small * den >= large * num) & enough).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def texts_of(classes: DataFrame, docs: DataFrame, several: DataFrame, shingle: int) -> DataFrame:
+    """(cls, text): a text of each class of ``classes`` (cls, doc_id, fp1, fp2), from the rows of its doc_id.
+
+    A row of an id with ``several`` texts is taken only if it has the class's set.
+    """
+    words = Words()
+
+    def of_class(batches):
+        for batch in batches:
+            own = []
+            for text, *fp in zip(*(batch.column(k).to_pylist() for k in ("text", "fp1", "fp2")), strict=True):
+                own.append(np.frombuffer(xxhash.xxh3_128_digest(shingle_set(text, shingle, words).tobytes()), "<i8").tolist() == fp)
+            yield batch.filter(pa.array(own, pa.bool_())).select(["cls", "text"])
+        common.release()
+
+    wanted = docs.join(classes, "doc_id")
+    alone = wanted.join(several, "doc_id", "left_anti").select("cls", "text")
+    picked = wanted.join(several, "doc_id", "left_semi").select("cls", "text", "fp1", "fp2").mapInArrow(of_class, "cls long, text binary")
+    return alone.unionByName(picked).dropDuplicates(["cls"])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents with den * intersection >= num * union of their shingle sets are
     linked; component_id is the least doc_id that links reach.  A null or blank
-    text has an empty set, links to nothing and is kept.  Rows repeated in full
-    share everything, ``kept`` too; rows of one doc_id and different texts are
-    taken for the document of that id each, so they share its component.  A row
-    of null doc_id takes part in no group as its least id; it is kept unless its
+    text has an empty set, links to nothing and is kept; a text of any length is
+    compared whole.  Rows repeated in full share everything, ``kept`` too; rows of
+    one doc_id and different texts are linked to each other, and each to what its own text
+    is similar to.  A row of null doc_id takes part in no group as its least id; it is kept unless its
     set equals that of a row with an id.  An empty table gives no rows; other
     columns are not read.  A pair at the threshold goes unseen with a probability
     under ``MISS``; all that is seen is confirmed on full sets.
@@ -217,28 +248,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     bands, rows = bands_for(num / den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     signed = common.written(sign(docs, shingle, bands, rows), common.new_folder(spark, "signed"))
-    classes = signed.filter("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    reps = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r")).select("r.*")
-    spread = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key"))
-    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = common.written(spread.join(sizes, "key"), common.new_folder(spark, "members"))
+    known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Rows of equal sets have equal bands.  The number of a class is stable once it is written.
+    classes = known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands"))
+    classes = common.written(classes.withColumn("cls", F.monotonically_increasing_id()), common.new_folder(spark, "classes"))
+    print_ = F.struct("fp1", "fp2")
+    several = common.cut(known.groupBy("doc_id").agg(F.min(print_).alias("a"), F.max(print_).alias("b")).filter("a != b").select("doc_id"))
+    same_id = known.join(several, "doc_id", "left_semi").select("doc_id", "fp1", "fp2").distinct().join(classes.select("fp1", "fp2", "cls"), ["fp1", "fp2"])
+    same_id = common.cut(same_id.join(same_id.groupBy("doc_id").agg(F.min("cls").alias("v")), "doc_id").select(F.col("cls").alias("u"), "v").filter("u != v"))
+    spread = classes.select(F.col("cls").alias("rep"), "n", F.explode("bands").alias("key"))
+    sizes = common.cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    hot = common.hot_keys(sizes, "key")
+    members = common.written(common.joined_by_hot_key(spread, sizes, "key", hot), common.new_folder(spark, "members"))
     # A bucket's hub is its member with the largest buckets: near the middle of its group.
     ranks = members.groupBy("rep").agg(F.sum("size").alias("rank"), F.first("n").alias("n"))
     hubs = members.join(ranks.select("rep", "rank"), "rep").groupBy("key").agg(F.max(F.struct("rank", "rep", "n")).alias("hub")).select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m"))
-    members = common.written(members.join(hubs, "key"), common.new_folder(spark, "hubs"))
-    texts = common.written(docs.join(ranks.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), common.new_folder(spark, "texts"))
+    members = common.written(common.joined_by_hot_key(members, hubs, "key", hot), common.new_folder(spark, "hubs"))
+    wanted = classes.join(ranks.select(F.col("rep").alias("cls")), "cls", "left_semi").select("cls", "doc_id", "fp1", "fp2")
+    texts = common.written(texts_of(wanted, docs, several, shingle), common.new_folder(spark, "texts"))
     close = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num  # noqa: E731  a necessary condition
     pairs = members.filter((F.col("rep") != F.col("hub")) & close(F.col("n"), F.col("m"))).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    edges = common.cut(verified(pairs, texts, shingle, num, den))
+    edges = common.cut(verified(common.cut(pairs), texts, shingle, num, den).unionByName(same_id))
     component = connected(edges)
     rest = members.filter("size > 2 AND rep != hub").select("key", "rep", "n").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     split = rest.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("key")
-    rest = common.cut(rest.join(split, "key"))
+    rest = common.cut(common.joined_by_hot_key(rest, split, "key", hot))
     pairs = common.cut(by_prefix(rest, texts, shingle, num, den))
     found = common.cut(verified(pairs, texts, shingle, num, den))
     if not found.isEmpty():
         component = connected(edges.unionByName(found))
-    groups = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("c"))
+    component = common.cut(component.withColumnRenamed("node", "cls"))
+    least = component.join(classes.select("cls", "doc_id"), "cls").groupBy("component").agg(F.min("doc_id").alias("least"))
+    component = component.join(least, "component").select("cls", "least")
+    groups = classes.select("cls", "fp1", "fp2", "doc_id").join(component, "cls", "left").select("fp1", "fp2", F.coalesce("least", "doc_id").alias("c"))
     out = signed.drop("bands").join(groups, ["fp1", "fp2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
