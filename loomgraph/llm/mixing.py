@@ -5,8 +5,9 @@ is bisected in [0, 1]: it is the least flat mixture's, 1, where a target is out
 reach, else it meets a target entropy without repeating any source more often
 than a limit allows.  A source's quota, weight times budget, buys whole passes
 over its documents and the beginning of one more: documents are dealt to blocks
-by a hash, blocks are permuted anew for each pass, and the last pass stops at the
-document at which the quota is used up.
+by a hash, blocks are permuted anew for each source and pass, and the last pass
+takes whole blocks in its own order and stops inside a block, at the document at
+which the quota is used up.
 """
 
 from __future__ import annotations
@@ -65,51 +66,71 @@ def exponent(stats: DataFrame, budget: int | None = None, entropy_gain: float =
     return high, at([high])[high][2], budget
 
 
+def place(block: Column, source: Column, epoch: Column) -> Column:
+    """A block's place in a pass over a source: a permutation of all blocks for each (source, epoch)."""
+    n = F.lit(1 << BLOCKS_BITS)
+    odd = F.pmod(F.xxhash64(F.lit(7), source, epoch), F.lit(1 << BLOCKS_BITS - 1)) * 2 + 1
+    return F.pmod(block * odd + F.pmod(F.xxhash64(F.lit(8), source, epoch), n), n).cast("int")
+
+
+def ending(parts: DataFrame, quotas: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Of ``parts`` (source, ``by``, tokens) the one in which a source's ``rest`` runs out, as (source, ``name``, before).
+
+    ``quotas`` (source, rest, before) says how many tokens lie before all of ``parts``.
+    """
+    order = Window.partitionBy("source").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    found = parts.withColumn("own", F.coalesce(F.sum("tokens").over(order), F.lit(0))).join(quotas, "source").withColumn("before", F.col("before") + F.col("own"))
+    return found.filter("before < rest").groupBy("source").agg(F.max(F.struct(*by, "before")).alias("last")).select("source", *(F.col(f"last.{k}").alias(f"{name}_{k}") for k in by), F.col("last.before").alias("before"))
+
+
 def passes(docs: DataFrame, budget: int | None = None, entropy_gain: float = ENTROPY_GAIN, most_repeats: float = MOST_REPEATS, seed: int = 1, text: str = "text") -> DataFrame:
     """All columns of ``docs`` (doc_id, source, text) and mix_tokens, mix_weight, mix_copies, mix_hash.
 
     A null source is a source of its own (the empty name), a null or empty text has
-    one token, its end; rows repeated in full share a hash and are taken or left
+    one token, its end, a text of any length counts whole; rows repeated in full share a hash and are taken or left
     together, which may pass a quota by their tokens; an empty table gives no rows;
     input columns of the added names are replaced.
     """
     docs = docs.drop("mix_tokens", "mix_weight", "mix_copies", "mix_hash", "mix_source")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text))
     sized = docs.withColumns({"mix_tokens": n_tokens(F.col(text)), "mix_hash": h, "mix_source": F.coalesce("source", F.lit(""))})
-    block = F.shiftright("mix_hash", 64 - BLOCKS_BITS)
-    blocks = sized.groupBy(F.col("mix_source").alias("source"), block.alias("block")).agg(F.sum("mix_tokens").alias("tokens"))
-    blocks = common.cut(blocks)
+    blocks = common.cut(sized.groupBy(F.col("mix_source").alias("source"), own_block(F.col("mix_hash")).alias("block")).agg(F.sum("mix_tokens").alias("tokens")))
     stats = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     a, z, budget = exponent(stats, budget, entropy_gain, most_repeats)
     total = F.lit(float(stats.agg(F.sum("tokens")).first()[0] or 1))
     weight = F.pow(F.col("tokens") / total, F.lit(a)) / F.lit(z)
     quotas = stats.select("source", weight.alias("weight"), F.floor(weight * budget / F.col("tokens")).cast("int").alias("whole"), (F.floor(weight * budget) % F.col("tokens")).alias("rest"))
-    # The block in which the last pass ends: at most 2 ** BLOCKS_BITS rows of a source are in this window.
-    order = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = blocks.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0))).join(quotas, "source")
-    ends = ends.filter("before < rest").groupBy("source").agg(F.max(F.struct("block", "before")).alias("last")).select("source", "last.block", "last.before")
-    quotas = quotas.join(ends, "source", "left")
     few = quotas.count() <= BROADCAST_SOURCES
     hinted = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    # Documents of that block, in order of their hash: one part in 2 ** BLOCKS_BITS of a source.
-    order = Window.partitionBy("source").orderBy("mix_hash").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = sized.select(F.col("mix_source").alias("source"), "mix_hash", "mix_tokens", block.alias("block")).join(hinted(quotas.select("source", "block", "before", "rest")), ["source", "block"])
-    inside = inside.groupBy("source", "mix_hash").agg(F.sum("mix_tokens").alias("t"), F.first("before").alias("before"), F.first("rest").alias("rest"))
-    inside = inside.withColumn("upto", F.col("before") + F.sum("t").over(order)).filter(F.col("upto") - F.col("t") < F.col("rest"))
-    cuts = inside.groupBy("source").agg(F.max("mix_hash").alias("cut"))
-    plan = quotas.join(cuts, "source", "left").select(F.col("source").alias("mix_source"), F.col("weight").alias("mix_weight"), "whole", "cut")
-    plan = common.cut(plan)
-    copies = F.col("whole") + F.coalesce((F.col("mix_hash") <= F.col("cut")).cast("int"), F.lit(0))
-    return sized.join(hinted(plan), "mix_source").withColumn("mix_copies", copies).drop("mix_source", "whole", "cut")
+    # The block in which the last pass ends, the part of it, then the document: each window has at most 2 ** BLOCKS_BITS
+    # rows of a source, but the last, which has one part in 2 ** (2 * BLOCKS_BITS) of a source's documents.
+    placed = blocks.join(hinted(quotas.select("source", "whole")), "source").select("source", place(F.col("block"), F.col("source"), F.col("whole")).alias("place"), "tokens")
+    last = common.cut(ending(placed, quotas.select("source", "rest", F.lit(0).alias("before")), ["place"], "end"))
+    ends = quotas.join(last, "source").select("source", "whole", "rest", "before", "end_place")
+    mine = sized.select(F.col("mix_source").alias("source"), "mix_hash", "mix_tokens").join(hinted(ends), "source")
+    mine = mine.filter(place(own_block(F.col("mix_hash")), F.col("source"), F.col("whole")) == F.col("end_place")).select("source", "mix_hash", F.shiftright("mix_hash", 64 - 2 * BLOCKS_BITS).alias("part"), "mix_tokens")
+    mine = common.cut(mine.groupBy("source", "part", "mix_hash").agg(F.sum("mix_tokens").alias("tokens")))
+    parts = ending(mine.groupBy("source", "part").agg(F.sum("tokens").alias("tokens")), ends.select("source", "rest", "before"), ["part"], "end").withColumnRenamed("end_part", "part")
+    inside = mine.join(hinted(parts.select("source", "part")), ["source", "part"])
+    cuts = ending(inside, parts.join(ends.select("source", "rest"), "source").select("source", "rest", "before"), ["mix_hash"], "end")
+    plan = quotas.join(ends.select("source", "end_place"), "source", "left").join(cuts.select("source", F.col("end_mix_hash").alias("cut")), "source", "left")
+    plan = common.cut(plan.select(F.col("source").alias("mix_source"), F.col("weight").alias("mix_weight"), "whole", "end_place", "cut"))
+    at = place(own_block(F.col("mix_hash")), F.col("mix_source"), F.col("whole"))
+    taken = (at < F.col("end_place")) | (at == F.col("end_place")) & (F.col("mix_hash") <= F.col("cut"))
+    copies = F.col("whole") + F.coalesce(taken.cast("int"), F.lit(0))
+    return sized.join(hinted(plan), "mix_source").withColumn("mix_copies", copies).drop("mix_source", "whole", "end_place", "cut")
+
+
+def own_block(h: Column) -> Column:
+    """A document's block, from 0, by the first bits of its hash."""
+    return F.shiftright(h, 64 - BLOCKS_BITS) + (1 << BLOCKS_BITS - 1)
 
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
-    """A row for each time that a document is used: all columns of ``docs``, the columns of ``passes`` but mix_copies, mix_epoch, and mix_block, its block's place in that pass."""
+    """A row for each time that a document is used: all columns of ``docs``, the columns of ``passes`` but mix_copies, mix_epoch, and mix_block, its block's place in that pass.
+
+    In each pass over a source blocks have places of their own, all of them permuted; the order of use is
+    by mix_epoch, mix_block, mix_hash.  Null sources, empty texts, repeated rows and empty tables: as in ``passes``.
+    """
     used = passes(docs, **options).filter("mix_copies > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    n = 1 << BLOCKS_BITS
-    odd = F.pmod(F.xxhash64(F.lit(7), "mix_epoch"), F.lit(n // 2)) * 2 + 1
-    shift = F.pmod(F.xxhash64(F.lit(8), "mix_epoch"), F.lit(n))
-    own = F.shiftright("mix_hash", 64 - BLOCKS_BITS) + n // 2
-    # The last, unfinished pass takes blocks in the order of their hashes, which is the order that its quota was measured in.
-    last = F.col("mix_epoch") == F.col("mix_copies") - 1
-    return used.withColumn("mix_block", F.when(last, own).otherwise(F.pmod(own * odd + shift, F.lit(n))).cast("int")).drop("mix_copies")
+    return used.withColumn("mix_block", place(own_block(F.col("mix_hash")), F.coalesce("source", F.lit("")), F.col("mix_epoch"))).drop("mix_copies")
