@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows, with DataFrame expressions only.
 
-Numbers, units after numbers, and capitalised words inside sentences become
-typed placeholders; windows of template words are hashed and joined with those
+Numbers, units after numbers, and names (up to four words
+that begin with a capital inside a sentence, in whatever case they go on) become
+typed placeholders, a name being one; windows of template words are hashed and joined with those
 of the benchmark items.  Matches of one item that lie on one diagonal (position
 in the document less position in the item) are one occurrence; it counts if its
 literal words agree and its slots are consistent: one value of the document for
@@ -21,17 +22,21 @@ WINDOW, LEAST_LITERALS = 8, 4
 LEAST_WINDOWS, LEAST_SHARE = 6, 0.5
 #: Benchmark windows that are broadcast at most; beyond it Spark shuffles both sides.
 BROADCAST_WINDOWS = 500_000
-UNITS = "kilograms?|kilometers?|kilometres?|centimeters?|meters?|metres?|grams?|miles?|feet|foot|inches|inch|pounds?|ounces?|lit(?:er|re)s?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|degrees?|kg|km|cm|mm|mg|ml|lb|oz|mph|kmh|hz|usd|eur"
-MARK = "\u0002"
+#: Bytes of their words that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
+UNITS = "kilograms?|kilometers?|kilometres?|centimeters?|meters?|metres?|grams?|miles?|feet|foot|inches|inch|pounds?|ounces?|lit(?:er|re)s?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|degrees?|kg|km|cm|mm|mg|ml|lb|oz|mph|kmh|hz|usd|eur|Kilogramm|Gramm|Meilen?|Pfund|Unzen?|Stunden?|Minuten?|Sekunden?|Tagen?|Wochen?|Monaten?|Jahren?|Prozent|Grad|kilogrammes?|milles?|livres?|onces?|heures?|secondes?|jours?|semaines?|mois|ans?|ann[ée]es?|pour cent|degr[ée]s?|kilogramos?|gramos?|kil[óo]metros?|cent[íi]metros?|metros?|millas?|libras?|onzas?|litros?|horas?|minutos?|segundos?|d[íi]as?|semanas?|meses|mes|a[ñn]os?|d[óo]lares?|centavos?|por ciento|grados?"
+MARK, JOIN = "\u0002", "\u0003"
+#: One to four words that begin with a capital; not the beginning of a passage in capitals, whose words count as such.
+NAME = r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}+)(?: (\p{Lu}\p{L}*))?+(?: (\p{Lu}\p{L}*))?+(?: (\p{Lu}\p{L}*))?+(?!\p{L}| \p{Lu}{2})"
 
 
 def canonical(text: Column) -> Column:
     """A text as words with one space between them; a slot's word is the mark, its type, and its value."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), MARK, " ")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)\b", f"{MARK}a$1")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARK}{JOIN}]", " ")
+    text = F.regexp_replace(text, NAME, f"{MARK}a$1{JOIN}$2{JOIN}$3{JOIN}$4")
     text = F.regexp_replace(text, r"[$€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*(%?)", f" {MARK}n$0 ")
     text = F.regexp_replace(text, f"(?i)({MARK}n\\S+ +)({UNITS})\\b", f"$1{MARK}u$2")
-    return F.trim(F.regexp_replace(F.lower(text), f"(?:[^\\p{{L}}\\p{{N}}\\p{{M}}{MARK}.%]|\\.(?!\\p{{Nd}}))+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), f"(?:[^\\p{{L}}\\p{{N}}\\p{{M}}{MARK}{JOIN}.%]|\\.(?!\\p{{Nd}}))+", " "))
 
 
 def template(text: Column) -> Column:
@@ -73,18 +78,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     of that sort; where they aren't enough, all windows that agree word for word
     count, as a share of all.  An item of fewer than ``n`` words is leaked by each
     text that has all of them in a row, so an item of one word by each text with
-    that word.  Null and empty texts have no windows; repeated rows and equal items give
+    that word.  A text of any length is cut into all of its windows; an item ties with
+    another where both match, and each is a row.  Null and empty texts have no windows; repeated rows and equal items give
     one row for each pair of ids; rows of a null id pair under the null id; empty
     tables give no rows; other columns are not read.
     """
     items = windows(benchmark.select("item_id", "text"), [n], "item_at", short=True)
     items = items.withColumn("item_words", F.slice("words", F.col("item_at") + 1, F.col("k"))).withColumn("row", F.xxhash64("words")).drop("words").distinct()
     items = items.withColumn("able", F.sum((~F.col("few")).cast("int")).over(Window.partitionBy("item_id", "row"))).drop("row").distinct()
-    size = items.agg(F.count(F.lit(1)), F.collect_set(F.when(F.col("k") < n, F.col("k")))).first()
+    size = items.agg(F.count(F.lit(1)), F.collect_set(F.when(F.col("k") < n, F.col("k"))), F.sum(F.length(F.array_join("item_words", " ")))).first()
     items = items.drop("k")
     found, own = windows(docs.select("doc_id", "text"), [*sorted(size[1]), n], "at").drop("n_windows", "few"), F.slice("words", F.col("at") + 1, F.col("k"))
-    # The bound is checked here; a larger benchmark is joined by a shuffle on the hash, with no more of the text than the window.
-    if size[0] <= BROADCAST_WINDOWS:
+    # The bounds are checked here; a larger benchmark is joined by a shuffle on the hash, with no more of the text than the window.
+    if size[0] <= BROADCAST_WINDOWS and (size[2] or 0) <= BROADCAST_BYTES:
         items = F.broadcast(items)
     else:
         found, own = found.withColumn("words", own), F.col("words")
