@@ -2,9 +2,10 @@
 
 Credentials that the patterns label are turned into one prefix tree for each
 kind; states whose outgoing frequencies agree by Hoeffding's bound are merged
-(ALERGIA) into a probabilistic automaton.  Every other run of 16 or more
+(ALERGIA) into a probabilistic automaton.  Every other run of ``LEAST`` or more
 credential characters, unless a found span covers it, is scored by how much likelier
-the best automaton makes it than a letter-pair model of ordinary long runs.
+the best automaton makes it than a letter-pair model of ordinary long runs.  Dots
+inside a run belong to it, dots around it don't.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The shortest credential that a fixed pattern takes.
+LEAST = 12
+RUN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{%d,}(?<!\.)" % (LEAST - 1))
 WORDS = ("passw", "secret", "token", "api")
 #: Distinct labelled credentials of each kind, and ordinary runs, that are learned from: those of least hash over all texts.
 SAMPLE = 400
+GROUPS = 16
 SIGMA = 66
 END = ""
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -173,7 +177,12 @@ def _texts(batch) -> list[str]:
 
 
 def learn_formats(docs: DataFrame, sample: int = SAMPLE) -> Formats:
-    """Learns from all texts; at most ``sample`` strings of each kind reach the driver."""
+    """Learns from all texts (``text``); at most ``sample`` whole strings of each kind reach the driver.
+
+    Of all distinct strings of a kind those of least hash are taken, equal hashes
+    by the strings, so that order and repeats of rows don't matter.  Null and empty
+    texts hold none; a kind without strings, as in an empty table, has no automaton.
+    """
 
     def gather(batches):
         least = defaultdict(dict)
@@ -181,9 +190,9 @@ def learn_formats(docs: DataFrame, sample: int = SAMPLE) -> Formats:
             for text in _texts(batch):
                 base = base_spans(text)
                 for _, kind, _, word in base:
-                    least[KINDS[kind]][word[:256]] = 0
+                    least[KINDS[kind]][word] = 0
                 for _, _, word in other_runs(text, base):
-                    least["other"][word[:256]] = 0
+                    least["other"][word] = 0
             for kind, words in least.items():
                 if len(words) > 4 * sample:
                     least[kind] = dict.fromkeys(heapq.nsmallest(sample, words, key=lambda w: (xxhash.xxh64_intdigest(w), w)), 0)
@@ -192,8 +201,11 @@ def learn_formats(docs: DataFrame, sample: int = SAMPLE) -> Formats:
             yield pa.RecordBatch.from_pydict(dict(zip(("kind", "hash", "word"), map(list, zip(*rows, strict=True)), strict=True)))
 
     rows = docs.select("text").mapInArrow(gather, "kind string, hash long, word string").distinct()
-    # Each task has kept at most `sample` strings of a kind, so a kind's rows are as many as the tasks times that.
-    least = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("hash", "word"))).filter(F.col("rank") <= sample)
+    # Each task has kept at most `sample` strings of a kind; parts of them by another hash first, then a kind's GROUPS * sample.
+    order = ["hash", "word"]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(GROUPS)))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "part").orderBy(*order))).filter(F.col("rank") <= sample)
+    least = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("rank") <= sample)
     words = defaultdict(list)
     for row in sorted(least.collect()):
         words[row.kind].append(row.word)
@@ -206,7 +218,8 @@ def find_secrets(docs: DataFrame, formats: Formats, least: float = 6.0) -> DataF
     ``spans`` is ``kind:start:end`` in code points, end exclusive, by start and
     then kind, comma-joined; ``format`` spans are those that the automata add
     (evidence of at least ``least`` powers of ten).  A null or empty text has no
-    spans (digest of the empty string); repeated rows give repeated rows; an empty
+    spans (digest of the empty string), a text of any length is searched whole; spans
+    of one place and kind don't repeat; repeated rows give repeated rows; an empty
     table gives none; other columns are not read.
     """
 
