@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their 4- and 5-letter beginnings.  A bounded sample of
-labelled documents gives the examples and picks the terms whose presence goes
-with the label (chi-square); document frequencies of those terms are counted
-over all documents.  Examples are numbered block by block; each term keeps its
+labelled documents gives the examples and picks the ``TERMS`` terms whose presence
+goes best with the label (by rank of chi-square, whatever the sample's size);
+document frequencies of those terms are counted over all documents.  Examples are numbered block by block; each term keeps its
 postings and, for each block, its greatest weight.  A query visits blocks in
 order of their bound and stops when no bound can reach the k-th best cosine, so
-its neighbours are exactly those of a full scan.
+its neighbours are exactly those of a full scan.  The neighbours' votes become
+scores by isotonic regression on the examples, each voted on by all others.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm import common
 
 #: Labelled rows that are learned from at most (those of least hash), and terms that are kept at most.
-SAMPLE, TERMS = 6000, 4096
-LEAST_CHI, LEAST_DF = 30.0, 4
+SAMPLE, TERMS = 4000, 512
+LEAST_DF = 4
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 16, 128, 0.25
 WORD = re.compile(r"\w+")
 SCORE = "score double, evidence array<long>"
@@ -56,7 +57,7 @@ class Vocabulary(dict):
 class Index:
     """Examples (id, label, term counts) behind block-max postings."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = NEIGHBOURS, block: int = BLOCK):
+    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = NEIGHBOURS, block: int = BLOCK, calibrate: bool = True):
         self.idf, self.k, self.block = idf, k, block
         bare = [label for _, label, counts in examples if not counts]
         self.prior = (sum(x[1] for x in examples) + 0.5) / (len(examples) + 1)
@@ -76,14 +77,19 @@ class Index:
                 ws.append(w)
                 self.bound[t, e // block] = max(self.bound[t, e // block], w)
         self.postings = {key: (np.array(at), np.array(ws)) for key, (at, ws) in lists.items()}
+        self.map = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        if calibrate and vectors:
+            counts = {i: c for i, _, c in examples}
+            votes = np.array([self.votes(self.nearest(counts[i], e)) for e, i in enumerate(self.ids.tolist())])
+            self.map = isotonic(votes, self.labels, self.prior)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts))
         weights = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms]
         return terms, weights / math.sqrt(float(weights @ weights))
 
-    def nearest(self, counts: dict[int, int]) -> list[tuple[float, int]]:
-        """(cosine, example) of the ``k`` best, ties by example."""
+    def nearest(self, counts: dict[int, int], skip: int = -1) -> list[tuple[float, int]]:
+        """(cosine, example) of the ``k`` best, ties by example; never ``skip``."""
         if not counts or not len(self.ids):
             return []
         terms, weights = self.vector(counts)
@@ -97,16 +103,35 @@ class Index:
                 if found := self.postings.get((t, b)):
                     sums[found[0]] += w * found[1]
             sums = np.round(sums, 9)
+            if skip // self.block == b:
+                sums[skip % self.block] = 0
             best = sorted(best + [(-sums[e], e + b * self.block) for e in np.flatnonzero(sums).tolist()])[: self.k]
         return [(-s, e) for s, e in best]
 
+    def votes(self, near: list[tuple[float, int]]) -> float:
+        """Labels weighted by squared cosine, drawn to the prior where there are few."""
+        votes = sum(s * s * self.labels[e] for s, e in near) + PRIOR_WEIGHT * self.prior
+        return float(votes / (sum(s * s for s, _ in near) + PRIOR_WEIGHT))
+
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """Votes weighted by squared cosine, drawn to the prior where there are few; the neighbours' ids."""
+        """The calibrated votes of the neighbours, and their ids."""
         if not counts:
             return self.bare, []
         near = self.nearest(counts)
-        votes = sum(s * s * self.labels[e] for s, e in near) + PRIOR_WEIGHT * self.prior
-        return float(votes / (sum(s * s for s, _ in near) + PRIOR_WEIGHT)), [int(self.ids[e]) for _, e in near]
+        return float(np.interp(self.votes(near), *self.map)), [int(self.ids[e]) for _, e in near]
+
+
+def isotonic(votes: np.ndarray, labels: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Votes and shares of label 1, both rising: adjacent groups in the wrong order are pooled, and each is drawn to the prior by one label."""
+    pools: list[list[float]] = []  # sum of labels, examples, sum of votes
+    order = np.argsort(votes, kind="stable")
+    for v, y in zip(votes[order].tolist(), labels[order].tolist(), strict=True):
+        pools.append([y, 1, v])
+        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][2] / pools[-2][1] == pools[-1][2] / pools[-1][1]):
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    shares = [(y + prior) / (n + 1) for y, n, _ in pools]
+    return np.array([t / n for _, n, t in pools]), np.maximum.accumulate(shares)
 
 
 class Model:
@@ -121,13 +146,16 @@ def _texts(batch) -> list[str]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: int = TERMS) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, toxic 0/1, the rows to learn from).
 
-    Rows of a null id or label are left out, of repeated labels the least counts.
+    Rows of a null id or label are left out, of repeated labels the least counts,
+    of an id's texts the least; null and empty texts have no terms.  Of all labelled ids those of
+    least hash are the sample, ties by id; of terms of equal chi-square the first by
+    name are kept.  Without labels of both sorts there are no terms and one score.
     At most ``sample`` examples, reduced to kept terms, and ``most_terms`` terms
     reach the driver and are sent to tasks.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.min("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
     rows = common.written(rows, common.new_folder(docs.sparkSession, "labelled"))
 
     def presence(batches):
@@ -153,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms:
         counts = rows.mapInArrow(presence, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter(F.col("c") + F.col("t") >= LEAST_DF)
         df = F.col("c") + F.col("t")
         chi = F.pow(F.col("t") / n1 - F.col("c") / n0, 2) * (n0 + n1) / (df / (n0 + n1) * (1 - df / (n0 + n1) + 1e-9)) * (n0 * n1 / (n0 + n1) ** 2)
-        terms = [r.term for r in counts.withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(most_terms).collect()]
+        terms = [r.term for r in counts.withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(most_terms).collect()]
     vocabulary = Vocabulary(terms)
 
     def frequency(batches):
@@ -183,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms:
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and score (0 to 1), evidence (ids of the neighbours, nearest first).
 
-    Only ``text`` is looked at; null and empty texts, like all texts without a
+    Only ``text`` is looked at, the whole of it; of equally near examples the one of less number counts; null and empty texts, like all texts without a
     kept term, get the share of toxic examples among examples of that sort;
     repeated rows are scored alike; an empty table gives no rows; input columns of
     the added names are replaced.
