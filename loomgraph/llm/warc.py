@@ -1,7 +1,7 @@
 """Deterministic sharded WARC archives and their reader.
 
 Pages are dealt to ranges of ``page_id`` whose bounds depend on the rows alone
-(a byte histogram over equal steps of the id), each range is written by one
+(a byte histogram over steps of the id, finer where it is heavy), each range is written by one
 task in id order, and files roll once their compressed size reaches a limit, so
 any cluster writes the same bytes.  Every record is a gzip member of its own.
 Files are written under temporary names and renamed; the manifest, a Parquet
@@ -15,6 +15,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,21 +93,43 @@ def read_page(data: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def in_ranges(pages: DataFrame, ranges: int = RANGES, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, int]:
-    """A table (step, shard) of id steps, the step of an id being ``step_of``, and the number of shards.
+    """``pages`` with a shard for each row, and the number of shards.
 
-    At most ``STEPS`` steps for each shard come to the driver.
+    Ids are counted in equal steps; a step with more than its share of the bytes
+    is cut into equal steps again, until it is light or of one id.  Each round brings at
+    most ``STEPS`` steps for each shard to the driver, and no more rounds than an id has digits
+    in that base are needed.
     """
-    size = F.octet_length(F.coalesce("html", F.lit(""))) + 200
+    spark, size, number = pages.sparkSession, F.octet_length(F.coalesce("html", F.lit(""))) + 200, "decimal(20,0)"
     low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(size)).first()
     low, high, total = low or 0, high or 0, total or 0
     n = max(ranges, -(-total // range_bytes))
-    width = -(-(high - low + 1) // (n * STEPS))
-    step = F.coalesce(F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long"), F.lit(0))
-    seen, rows = 0, []
-    for at, weight in sorted(pages.groupBy(step.alias("step")).agg(F.sum(size)).collect()):
-        rows.append((at, min(n - 1, seen * n // total)))
+    # Each row knows the part of the ids that it is in, until a light step of one takes it for its leaf.
+    parts = {0: (low, -(-(high - low + 1) // (n * STEPS)))}  # first id, ids in a step
+    placed = pages.withColumns({"leaf": F.lit(None).cast("long"), "part": F.when(F.col("page_id").isNotNull(), F.lit(0)), "first": F.lit(low).cast(number), "width": F.lit(parts[0][1]).cast(number)})
+    leaves: list[tuple[int, int, int]] = []  # first id, bytes, number
+    while parts:
+        placed = placed.withColumn("step", F.floor((F.col("page_id").cast(number) - F.col("first")) / F.col("width")).cast("long"))
+        found = sorted(placed.filter("part IS NOT NULL").groupBy("part", "step").agg(F.sum(size).alias("bytes")).collect())
+        heavy = {(part, step): i for i, (part, step) in enumerate((p, k) for p, k, weight in found if parts[p][1] > 1 and weight * n > 2 * total)}
+        rows, new = [], {}
+        for part, step, weight in found:
+            first, width = parts[part][0] + step * parts[part][1], parts[part][1]
+            if (i := heavy.get((part, step))) is None:
+                rows.append((part, step, len(leaves), None, None, None))
+                leaves.append((first, weight, len(leaves)))
+            else:
+                new[i] = first, -(-width // max(2, n * STEPS // len(heavy)))
+                rows.append((part, step, None, i, *map(Decimal, new[i])))
+        into = F.broadcast(spark.createDataFrame(rows, f"part int, step long, to_leaf long, to_part int, to_first {number}, to_width {number}"))
+        placed = placed.join(into, ["part", "step"], "left").withColumn("leaf", F.coalesce("leaf", "to_leaf")).drop("part", "first", "width", "step", "to_leaf").withColumnsRenamed({"to_part": "part", "to_first": "first", "to_width": "width"})
+        parts = new
+    seen, shards = 0, []
+    for _, weight, leaf in sorted(leaves):
+        shards.append((leaf, min(n - 1, seen * n // max(1, total))))
         seen += weight
-    return pages.withColumn("step", step).join(F.broadcast(pages.sparkSession.createDataFrame(rows, "step long, shard int")), "step").drop("step"), n
+    into = F.broadcast(spark.createDataFrame(shards, "leaf long, shard int"))
+    return placed.join(into, "leaf", "left").withColumn("shard", F.coalesce("shard", F.lit(0))).drop("leaf", "part", "first", "width"), n
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -116,7 +139,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, roll_bytes:
     has the id ``urn:page:``.  Of rows with equal payloads of at least ``least``
     bytes those with the smallest page_id are responses (all of them, where a row
     is repeated), the others revisit that id; a payload known by null ids only has
-    no smallest id, and its records are responses.  Other columns are not read.
+    no smallest id, and its records are responses.  A payload of any length is one
+    record; rows of one id are ordered by payload; an empty table gives an empty
+    manifest.  Other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     dealt, n = in_ranges(rows)
@@ -170,7 +195,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, roll_bytes:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each record of the files that the manifest lists."""
+    """One row for each record of the files that the manifest lists: none for an empty one; repeated pages come back as often as they were written, null ids as null."""
 
     def read(batches):
         files, path = common.filesystem(folder)
