@@ -38,16 +38,11 @@ def running(lengths: Column, block: int = 256) -> Column:
 
 
 def merged(turns: Column) -> Column:
-    """Sorted turns to runs (role, texts) of adjacent turns of one role, in one aggregation over the array."""
-    runs = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def add(acc: Column, turn: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        alone = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        return F.when(last["role"] == turn["role"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
-
-    return F.aggregate(turns, runs, add)
+    """Sorted turns to runs (role, texts) of adjacent turns of one role: the first turn of each run, then the slice up to the next."""
+    begins = lambda i: (i == 0) | (F.get(turns, i - 1)["role"] != F.get(turns, i)["role"])
+    firsts = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), begins)
+    bounds = F.zip_with(firsts, F.concat(F.slice(firsts, F.lit(2), F.size(firsts)), F.array(F.size(turns))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.transform(bounds, lambda x: F.struct(F.get(turns, x["a"])["role"].alias("role"), F.transform(F.slice(turns, x["a"] + 1, x["b"] - x["a"]), lambda t: t["text"]).alias("texts")))
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -59,7 +54,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     full are turns of their own.  A null text or role counts as empty; a null
     conv_id is a conversation of its own; an empty table gives no rows; other
     columns are not read.  Turns are first merged in chunks of ``CHUNK`` turn
-    numbers, so a long conversation is put together by many tasks; its one output
+    numbers, each in time in proportion to its turns, so a long conversation is put together by many tasks; its one output
     row must fit Spark's limit of 2 GB.
     """
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in ("role", "text")))
@@ -87,6 +82,17 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     return whole.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss"))
 
 
+def cut_out(text: Column, spans: Column, many: int = 128) -> Column:
+    """The spans (start, chars) of a text, in order: first the stretch of ``many`` spans, then each from its stretch, so that
+    a long text isn't walked through for each span."""
+    last = lambda group: F.element_at(group, -1)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / many).cast("int")), lambda k: F.slice(spans, k * many + 1, F.lit(many)))
+    stretch = lambda g: F.substring(text, (g[0]["start"] + 1).cast("int"), (last(g)["start"] + last(g)["chars"] - g[0]["start"]).cast("int"))
+    parts = F.transform(groups, lambda g: F.struct(stretch(g).alias("text"), g.alias("spans")))
+    texts = F.transform(parts, lambda p: F.transform(p["spans"], lambda s: F.substring(p["text"], (s["start"] - p["spans"][0]["start"] + 1).cast("int"), s["chars"].cast("int"))))
+    return F.when(F.size(spans) > 0, F.flatten(texts)).otherwise(F.array().cast("array<string>"))
+
+
 def parse_conversations(formatted: DataFrame) -> DataFrame:
     """Adds ``turns``, the (role, text) of each turn, and ``loss_texts``, both unescaped, read from the output alone."""
     runs = F.filter(F.split("formatted", TURN), lambda r: r != "")
@@ -94,5 +100,5 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
         F.split(F.substring_index(F.substring_index(r, END, 1), SAYS, -1), ALSO),
         lambda text: F.struct(unescaped(F.substring_index(r, SAYS, 1)).alias("role"), unescaped(text).alias("text")),
     )))
-    loss = F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["chars"].cast("int"))))
+    loss = F.transform(cut_out(F.col("formatted"), F.col("loss")), unescaped)
     return formatted.withColumns({"turns": turns, "loss_texts": loss})

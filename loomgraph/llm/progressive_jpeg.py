@@ -652,7 +652,11 @@ def _batches(batch, most: int):
 
 
 def store(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """(doc_id, media): each text (null: empty) of ``docs`` as a progressive JPEG file."""
+    """(doc_id, media): each text (null: empty) of ``docs`` as a progressive JPEG file.
+
+    A text of any length is one file; repeated rows and null ids give a file each,
+    equal texts equal files; an empty table gives none; other columns are not read.
+    """
 
     def run(batches):
         for batch in batches:
@@ -676,23 +680,22 @@ def tensors(media: DataFrame, most: int = 1 << 20) -> DataFrame:
     return rows.filter("media IS NOT NULL").mapInArrow(run, "doc_id long, height int, width int, rgb binary").unionByName(rows.filter("media IS NULL").select("doc_id", *(F.lit(None).cast(t).alias(k) for k, t in (("height", "int"), ("width", "int"), ("rgb", "binary")))))
 
 
-def digests(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): lengths and digests of the payload, read back from its media, and of the media; a feature of the RGB tensor.
+def digests(media: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A row for each file of ``media`` (doc_id, media), as ``store`` makes them: lengths and digests of the payload read back from it, and of the file; a feature of its RGB tensor.
 
-    A null text is empty and stored as one unit of filling; repeated rows give
-    repeated rows of equal values; an empty table gives none; other columns are
-    not read.
+    The media of a null or empty text hold one unit of filling; null media are left
+    out; files of any length are read whole, repeated rows give repeated rows of equal values; an
+    empty table gives none; other columns are not read.
     """
 
     def run(batches):
         for batch in batches:
-            for ids, texts in _batches(batch, most):
-                media, out = encode(texts), []
-                for doc_id, blob, (decoder, n) in zip(ids, media, decode(media), strict=True):
+            for ids, blobs in _batches(batch, most):
+                out = []
+                for doc_id, blob, (decoder, n) in zip(ids, blobs, decode(blobs), strict=True):
                     data, size = payload(decoder, n)
                     out.append((doc_id, size, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), described(decoder.pixels(n))))
                 kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in MEDIA.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, MEDIA)
+    return media.filter("media IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, MEDIA)

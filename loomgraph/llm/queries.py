@@ -16,7 +16,8 @@ TOXIC = 0.3
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progressive_jpeg.digests(common.table(spark, sf_dir, "documents"))
+    media = common.written(progressive_jpeg.store(common.table(spark, sf_dir, "documents")), common.new_folder(spark, "media"))
+    return progressive_jpeg.digests(media)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,8 @@ def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    row = lambda turn, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+    more = spark.range(1).select(F.inline(F.array(row(0, "user"), row(1, "assistant"))))
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     read = chat.parse_conversations(chat.format_conversations(turns))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
