@@ -38,12 +38,33 @@ def components(docs, k, num):
     return {i: (len(sets[i]), root(i)) for i in docs}
 
 
+def names(text):
+    """Marks names word by word: a capital inside a sentence, up to four words, none before a passage in capitals."""
+    out, at, capital = [], 0, lambda w, n: regex.match(r"\p{Lu}\p{L}{%d,}" % n, w)
+    while at < len(text):
+        first = capital(text[at:], 1) if at > 1 and text[at - 1] == " " and (text[at - 2] in ",;" or regex.match(r"\p{Ll}", text[at - 2])) else None
+        if not first:
+            out.append(text[at])
+            at += 1
+            continue
+        own, end = [first[0]], at + len(first[0])
+        while len(own) < 4 and text[end : end + 1] == " " and (more := capital(text[end + 1 :], 0)):
+            own.append(more[0])
+            end += 1 + len(more[0])
+        if regex.match(r" \p{Lu}{2}", text[end:]):
+            out.append(text[at])
+            at += 1
+            continue
+        out.append("\2a" + "".join(x + "\3" for x in own[:-1]) + own[-1] + "\3" * (4 - len(own)))
+        at = end
+    return "".join(out)
+
+
 def template_words(text):
-    text = (text or "").replace("\2", " ")
-    text = regex.sub(r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)\b", "\2a\\1", text)
+    text = names((text or "").replace("\2", " ").replace("\3", " "))
     text = regex.sub(r"[$€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*(%?)", " \2n\\g<0> ", text)
     text = regex.sub(f"(?i)(\2n\\S+ +)({decontaminate.UNITS})\\b", "\\1\2u\\2", text)
-    return [w for w in regex.sub("[^\\p{L}\\p{N}\\p{M}\2.%]+|\\.(?!\\p{Nd})", " ", text.lower()).split(" ") if w]
+    return [w for w in regex.sub("[^\\p{L}\\p{N}\\p{M}\2\3.%]+|\\.(?!\\p{Nd})", " ", text.lower()).split(" ") if w]
 
 
 def leaks(docs, items, n=8):

@@ -37,6 +37,28 @@ def test_stages(spark, small):
     assert last == stored(sorted((r.doc_id, r.text) for r in rows))
 
 
+LONG = "some long text of many words " * 20_000
+ODD = [(1, "one text of its own here, twice the same row"), (1, "one text of its own here, twice the same row"), (2, None), (2, "second text under an id that is used again"), (3, ""), (4, LONG), (5, LONG), (6, "tie"), (7, "tie"), (None, "a row without an id"), (None, "a row without an id"), (None, "tie"), (None, None), (8, " \t")]
+
+
+def test_odd_rows(spark):
+    """Nulls, empty, long, tied and repeated rows, and columns of other names, through each stage."""
+    docs = spark.createDataFrame([(i, t, None, None if i == 4 else "web", None, 0.5, 1, 2, "x") for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long, score double, kept_id long, mix_hash long, words string")
+    stages = dict(corpus_pipeline.STAGES)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    for name in ("toxicity", "decontaminate"):
+        out = stages[name](spark, docs, DATA)
+        assert out.columns == columns and rows(out) == sorted(ODD, key=str), name
+    out = stages["near_dedup"](spark, docs, DATA)
+    assert out.columns == columns
+    assert rows(out) == sorted([ODD[0], ODD[3], (3, ""), (4, LONG), (6, "tie"), (8, " \t"), (None, "a row without an id")], key=str)
+    out = stages["mix"](spark, docs, DATA)
+    assert out.columns == columns and set(rows(out)) <= set(ODD)
+    last = sorted(map(tuple, stages["token_planes"](spark, docs, DATA).collect()), key=lambda r: r[1])
+    assert last == stored(sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
+
+
 def test_no_documents(spark):
     docs = common.table(spark, DATA, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:

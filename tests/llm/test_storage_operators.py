@@ -35,11 +35,11 @@ def test_payloads_come_back(spark, small):
 
 def test_media_of_odd_rows(docs):
     rows = docs([*ODD, (None, "one")])
-    got = sorted(progressive_jpeg.digests(rows).collect(), key=str)
+    got = sorted(progressive_jpeg.digests(progressive_jpeg.store(rows)).collect(), key=str)
     by = {r.doc_id: r for r in got}
     same = lambda a, b: by[a][1:] == by[b][1:]
     assert len(got) == 10 and same(0, 1) and same(3, 4) and same(3, None) and by[7].payload_bytes == 576
-    assert progressive_jpeg.digests(rows.limit(0)).count() == 0
+    assert progressive_jpeg.digests(progressive_jpeg.store(rows.limit(0))).count() == 0
     media = progressive_jpeg.store(rows)
     t = {r.doc_id: r for r in progressive_jpeg.tensors(media.unionByName(rows.sparkSession.createDataFrame([(99, None)], media.schema))).collect()}
     assert t[99].rgb is None and all(len(r.rgb) == r.height * r.width * 3 for i, r in t.items() if i != 99)
@@ -105,6 +105,16 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_far_out_ids_leave_ranges_even(spark):
+    rows = [(i * 3, "u", "x" * 300) for i in range(2000)] + [(2**62, "u", "y"), (-(2**62), "u", "z"), (7, "u", "x" * 300), (None, "u", "n")]
+    dealt, n = warc.in_ranges(spark.createDataFrame(rows, "page_id long, url string, html string"), ranges=8)
+    got = dealt.collect()
+    sizes = Counter(r.shard for r in got)
+    assert n == 8 and len(got) == len(rows) and max(sizes.values()) < 2 * len(rows) / 8
+    order = sorted((r for r in got if r.page_id is not None), key=lambda r: r.page_id)
+    assert [r.shard for r in order] == sorted(r.shard for r in order) and [r.shard for r in got if r.page_id is None] == [0]
+
+
 # ---- mixing
 
 
@@ -145,6 +155,36 @@ def test_mixture_meets_its_targets(spark, small):
     assert entropy(weights.values()) == pytest.approx(entropy(mixture(high).values()), abs=1e-5)
 
 
+@pytest.mark.parametrize("passes", [0.4, 1.5, 3.0])
+def test_blocks_are_permuted_in_each_pass(docs, passes):
+    rows = docs([(i, f"word {i} " + "more " * (i % 5), "a" if i % 3 else "b") for i in range(3000)])
+    total = sum(3 + i % 5 for i in range(3000))
+    got = mixing.schedule(rows, budget=int(passes * total), entropy_gain=0.0).collect()
+    own = lambda h: (h >> 54) + 512
+    seen, used = {}, Counter()
+    for r in got:
+        assert seen.setdefault((r.source, r.mix_epoch, r.mix_block), own(r.mix_hash)) == own(r.mix_hash)
+        used[r.source] += r.mix_tokens
+    # Of each source's passes all but the last are whole; the last takes its blocks in order, each whole but the one that it ends in.
+    for s in ("a", "b"):
+        every = {}
+        for i, h, t in {(r.doc_id, r.mix_hash, r.mix_tokens) for r in mixing.passes(rows).collect() if r.source == s}:
+            every.setdefault(own(h), []).append((h, i, t))
+        n = sum(map(len, every.values()))
+        for epoch in range(math.ceil(passes)):
+            mine = [r for r in got if r.source == s and r.mix_epoch == epoch]
+            if len(mine) == n:
+                continue
+            assert epoch == math.ceil(passes) - 1
+            places = {p: [r.doc_id for r in mine if r.mix_block == p] for p in {r.mix_block for r in mine}}
+            cut = max(places)
+            assert all(len(ids) == len(every[seen[s, epoch, p]]) for p, ids in places.items() if p != cut)
+            assert sorted(places[cut]) == sorted(i for _, i, _ in sorted(every[seen[s, epoch, cut]])[: len(places[cut])])
+        share = sum(t for b in every.values() for _, _, t in b)
+        assert abs(used[s] - passes * share) <= 9
+    assert (len({k[2] for k in seen}) > 900 or passes < 1) and any(k[2] != v for k, v in seen.items())
+
+
 def test_repeats_are_limited(spark):
     stats = spark.createDataFrame([("hot", 1_000_000)] + [(f"s{i}", 1000 + i) for i in range(30)], "source string, tokens long")
     tokens = {r.source: r.tokens for r in stats.collect()}

@@ -60,6 +60,16 @@ def test_leaks_of_short_and_number_rich_items(spark, docs):
     assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 2), (4, 3)} and all(r.exact and r.share == 1 for r in got.values())
 
 
+def test_names_of_any_case_and_length(spark, docs):
+    item = "A long letter from Mary to her friend in Berlin says that the old harbour there is closed for the winter."
+    changed = [item.replace("Mary", a).replace("Berlin", b) for a, b in (("Mary Jane", "New York"), ("MARY", "BERLIN"), ("Ana María López", "SAN JOSÉ"), ("Mary", "mary"))]
+    rows = docs([*changed, "they said " + item.upper(), item.replace("old", "new").replace("long", "short").replace("closed", "open").replace("friend", "sister").replace("winter", "summer")])
+    got = {r.doc_id: r.exact for r in decontaminate.leaks(rows, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {0, 1, 2} <= set(got) and not got[0] and got[1] and not got[2] and 5 not in got
+    plain = "The water of the lake is cold in the spring and warm in the autumn of each year."
+    assert [r.exact for r in decontaminate.leaks(docs(["they said " + plain.upper()]), spark.createDataFrame([(1, plain)], "item_id long, text string")).collect()] == [True]
+
+
 def test_share_is_of_windows_that_can_match(spark, docs):
     item = "1 2 3 4 5 6 7 8 9 10 11 12 Anna bought apples with Olga at home"
     rows = docs(["20 21 22 23 24 25 26 27 28 29 30 31 Anna bought apples with Olga at home"])
@@ -200,6 +210,26 @@ def test_all_runs_are_scored(docs):
     assert got[215] == "format:2:30" and not any("format" in got[i] for i in range(15, 215))
 
 
+def test_dotted_and_long_strings(docs):
+    r = random.Random(7)
+    pick = lambda n: "".join(r.choice("ABCDEFGHKLMNPQRS23456789") for _ in range(n))
+    long = ["ab." + pick(700) for _ in range(3)]
+    rows = [f"token: key.{pick(8)}.{pick(8)}" for _ in range(60)] + [f"secret={x}" for x in long] + [f"see {'-'.join(r.sample(['monthly', 'summary', 'report', 'people', 'office'], 3))}.html" for _ in range(100)]
+    table = docs([*rows, f"x key.{pick(8)}.{pick(8)}. Then more."])
+    formats = secrets.learn_formats(table)
+    assert max(map(len, (w for w in long))) == 703 and formats.evidence(long[0]) > formats.evidence(long[0][:100])
+    got = {x.doc_id: x.spans for x in secrets.find_secrets(table, formats).collect()}
+    assert got[163] == "format:2:23" and not any("format" in got[i] for i in range(63, 163))
+    assert [w for _, _, w in secrets.other_runs("...abc.defgh.ijkl... q", [])] == ["abc.defgh.ijkl"]
+
+
+def test_automata_of_very_long_strings():
+    r = random.Random(8)
+    words = ["".join(r.choice("0123456789abcdefXYZ") for _ in range(n)) for n in [24] * 300 + [60_000]]
+    automaton = secrets.Automaton(words)
+    assert len(automaton.states) < 60 and automaton.score(words[0]) > automaton.score("-" * 24)
+
+
 def test_automata_merge_states():
     words = ["ab" * n for n in range(1, 9) for _ in range(40 >> n // 2)]
     automaton = secrets.Automaton(words)
@@ -242,6 +272,21 @@ def test_groups_of_odd_rows(docs):
     assert near(docs([])) == []
 
 
+def test_texts_of_one_id_keep_their_links(docs):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    got = near(docs([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "c d e f g h")]))
+    assert [(i, c) for i, _, c, _ in got] == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_a_hot_group_is_one_component(docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HUB_PAIRS", 7)
+    own = [f"w{i}" for i in range(80)]
+    rows = [" ".join([*own[:i], f"x{i}", *own[i + 1 :]]) for i in range(80)] + [f"other {i} text of its own" for i in range(40)]
+    got = near(docs([(i + 5, t) for i, t in enumerate(rows)]), shingle=3, num=85)
+    want = brute.components({i + 5: t for i, t in enumerate(rows)}, 3, 85)
+    assert [(i, c) for i, _, c, _ in sorted(got)] == [(i, c) for i, (_, c) in sorted(want.items())]
+
+
 def test_super_minhash_estimates_similarity():
     r = np.random.default_rng(1)
     both, a, b = (r.integers(1, 1 << 62, n).astype(np.uint64) for n in (600, 200, 200))
