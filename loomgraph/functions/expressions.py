@@ -6,6 +6,7 @@ comparisons) are chosen at translation, and no valid query trips over ANSI mode.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.errors import SchemaProblem, SyntaxProblem, TypeProblem, Unsupported
+from loomgraph.functions import temporal
 
 TOKEN = re.compile(r"""\s*(?:(?P<number>0[xX][0-9a-fA-F]+|0[oO][0-7]+|\d+\.\d+(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)|\d+|(?<![\w\]\)])\.\d+)|(?P<string>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<param>\$\w+)|(?P<op><=|>=|<>|!=|=~|->|<-|\.\.|[-+*/%^=<>()\[\]{},.:|;]))""")
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -329,9 +331,44 @@ NULL = T.NullType()
 
 def compile_(node: Node, scope: Scope) -> Typed:
     """Column and type of an expression without aggregates."""
+    if node.op in FOLDED and (value := temporal.fold(node)) is not temporal.NO:
+        return _constant(value)
     return _COMPILE.get(node.op, _operator)(node, scope)
 
 
+#: Nodes that a constant temporal expression may begin with.
+FOLDED = {"call", "prop", "unary-", "+", "-", "*", "/", "=", "<>", "<", "<=", ">", ">="}
+
+
+def _constant(value: Any) -> Typed:
+    """A date and a local date and time (an offset of 0 counts as local) are literals, other temporal values their texts."""
+    if isinstance(value, temporal.Moment) and value.day is not None and value.nanos is None:
+        return F.lit(value.day), T.DateType()
+    if isinstance(value, temporal.Moment) and value.day is not None and not value.offset and not value.zone and value.nanos % 1000 == 0:
+        at = dt.datetime.combine(value.day, dt.time()) + dt.timedelta(microseconds=value.nanos // 1000)
+        return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz"), T.TimestampNTZType()
+    if isinstance(value, (temporal.Moment, temporal.Duration)):
+        return F.lit(str(value)), T.StringType()
+    return _lit(Node("lit", (value,)), None)
+
+
+def _shifted(node: Node, scope: Scope) -> Typed | None:
+    """A date or time column plus or minus a constant duration."""
+    sides = [temporal.fold(a) for a in node.args]
+    at = next((i for i, v in enumerate(sides) if isinstance(v, temporal.Duration)), None)
+    if at is None or node.op == "-" and at == 0:
+        return None
+    c, kind = compile_(node.args[1 - at], scope)
+    d = -sides[at] if node.op == "-" else sides[at]
+    if isinstance(kind, T.DateType):
+        return F.date_add(F.add_months(c, d.months), d.days + int(d.nanos / temporal.DAY)), kind
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        months = F.make_ym_interval(F.lit(0), F.lit(d.months))
+        rest = F.make_dt_interval(F.lit(d.days), F.lit(0), F.lit(0), F.lit(d.nanos / temporal.SECOND).cast("decimal(18,6)"))
+        return c + months + rest, kind
+    return None
+
+
 def column(text: str, scope: Scope, params: dict[str, Any] | None = None) -> Column:
     return compile_(parse(text, params), scope)[0]
 
@@ -555,6 +592,8 @@ def _number(c, kind):
 
 def _operator(node, scope):
     op = node.op
+    if op in ("+", "-") and (shifted := _shifted(node, scope)):
+        return shifted
     parts = [compile_(a, scope) for a in node.args]
     boolean = T.BooleanType()
     if op in ("AND", "OR", "XOR", "NOT"):
@@ -584,7 +623,7 @@ def _operator(node, scope):
         if not (isinstance(ka, T.StringType) and isinstance(kb, T.StringType)):
             return F.lit(None).cast("boolean"), boolean
         if op == "=~":
-            return F.rlike(a, F.concat(F.lit("^(?:"), b, F.lit(")$"))), boolean
+            return F.rlike(a, F.concat(F.lit("^(?:"), b, F.lit(")\\z"))), boolean
         return {"CONTAINS": F.contains, "STARTS WITH": F.startswith, "ENDS WITH": F.endswith}[op](a, b), boolean
     if op == "unary-":
         return -_number(a, ka), common_type([ka])
