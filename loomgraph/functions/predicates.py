@@ -1,11 +1,14 @@
 """Column predicates for node and edge filters.
 
 Each predicate becomes one native Column; nulls never match unless it says so.
+String predicates of a null, or of a column that isn't text, are null unless
+``na`` is given; a filter keeps only rows of which its test is true.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -18,7 +21,7 @@ from loomgraph.errors import SchemaProblem, TypeProblem
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORALS = (T.DateType, T.TimestampType, T.TimestampNTZType)
-TITLE = r"^(?:[^\p{L}]*\p{Lu}[\p{Ll}\p{M}]*)+[^\p{L}]*$"
+TITLE = r"\A(?:[^\p{L}]*\p{Lu}[\p{Ll}\p{M}]*)+[^\p{L}]*\z"
 
 
 @dataclass(frozen=True)
@@ -32,21 +35,32 @@ class Predicate:
         return BUILD[self.name](c, kind, **self.args)
 
     def to_json(self) -> dict[str, Any]:
+        """The wire form: the type's public name, and ``val`` for the one operand of a comparison."""
         plain = lambda v: v.to_json() if isinstance(v, Predicate) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else v.isoformat() if isinstance(v, (dt.date, dt.datetime)) else v
-        return {"type": self.name, **{k: plain(v) for k, v in self.args.items()}}
+        return {"type": WIRE[self.name], **{"val" if k == "value" else k: plain(v) for k, v in self.args.items()}}
 
 
 def from_json(data: dict[str, Any]) -> Predicate:
-    """The inverse of ``Predicate.to_json``."""
-    args = dict(data)
-    name = args.pop("type")
-    if name not in BUILD:
-        raise SchemaProblem(f"no predicate is called {name!r}")
+    """The inverse of ``Predicate.to_json``; also takes this module's own names and spelled-out dates and times."""
+    args = {"value" if k == "val" else k: _untagged(v) for k, v in data.items()}
+    name = READ.get(args.pop("type"))
+    if name is None:
+        raise SchemaProblem(f"no predicate is called {data['type']!r}")
     if name == "all_of":
         args["predicates"] = [from_json(p) for p in args["predicates"]]
     return Predicate(name, args)
 
 
+def _untagged(value: Any) -> Any:
+    """A value of the wire form: ``{"type": "date" | "datetime" | "time", "value": ISO text}`` is the value itself."""
+    if isinstance(value, list):
+        return [_untagged(v) if not isinstance(v, dict) or v.get("type") in ("date", "datetime", "time") else v for v in value]
+    if isinstance(value, dict) and value.get("type") in ("date", "datetime", "time"):
+        read = {"date": dt.date.fromisoformat, "datetime": dt.datetime.fromisoformat, "time": dt.time.fromisoformat}[value["type"]]
+        return read(value["value"])
+    return value
+
+
 def _fits(kind: T.DataType, value: Any) -> bool:
     if isinstance(value, bool):
         return isinstance(kind, T.BooleanType)
@@ -81,15 +95,24 @@ def _missing(c, kind):
 def _text(test):
     def build(c: Column, kind: T.DataType, na: bool | None = None, **args: Any) -> Column:
         if not isinstance(kind, T.StringType):
-            return F.lit(bool(na))
-        return F.coalesce(test(c, **args), F.lit(bool(na)))
+            return F.lit(na).cast("boolean")
+        out = test(c, **args)
+        return out if na is None else F.coalesce(out, F.lit(na))
 
     return build
 
 
+def pattern(pat: str, case: bool = True, flags: int = 0) -> str:
+    """A Python regular expression with its flags in Java's spelling: lines end at \\n only, classes are Unicode's unless ASCII is asked for."""
+    names = {re.I: "i", re.M: "m", re.S: "s", re.X: "x"}
+    on = "".join(c for f, c in names.items() if flags & f)
+    on += ("" if case or "i" in on else "i") + ("" if flags & re.A else "U")
+    return f"(?d{on}{'u' if 'i' in on and not flags & re.A else ''}){pat}"
+
+
 def _contains(c, pat, case=True, regex=True, flags=0):
     if regex:
-        return c.rlike(pat if case else f"(?i){pat}")
+        return c.rlike(pattern(pat, case, flags))
     return F.contains(c, F.lit(pat)) if case else F.contains(F.lower(c), F.lit(pat.lower()))
 
 
@@ -102,7 +125,8 @@ def _affix(test):
 
 
 def _like(before, after):
-    return lambda c, pat, case=True, flags=0: c.rlike(f"{'' if case else '(?i)'}{before}(?:{pat}){after}")
+    # A verbose pattern may end in a comment, so its group is closed on a line of its own.
+    return lambda c, pat, case=True, flags=0: c.rlike(pattern(f"{before}(?:{pat}{chr(10) if flags & re.X else ''}){after}", case, flags))
 
 
 def _cased(one, other):
@@ -133,9 +157,9 @@ BUILD = {
     "is_in": lambda c, k, options: F.coalesce(c.isin([o for o in options if o is not None]), F.lit(False)) | (c.isNull() if None in options else F.lit(False)),
     "duplicated": _duplicated,
     "all_of": lambda c, k, predicates: reduce(lambda a, b: a & b, [p.column(c, k) for p in predicates], F.lit(True)),
-    "contains": _text(_contains), "startswith": _text(_affix(F.startswith)), "endswith": _text(_affix(F.endswith)), "match": _text(_like("^", "")), "fullmatch": _text(_like("^", "$")),
-    "isnumeric": _text(lambda c: c.rlike(r"^\p{N}+$")), "isalpha": _text(lambda c: c.rlike(r"^\p{L}+$")), "isdigit": _text(lambda c: c.rlike(r"^[\p{Nd}²³¹⁰-₉]+$")),
-    "isdecimal": _text(lambda c: c.rlike(r"^\p{Nd}+$")), "isalnum": _text(lambda c: c.rlike(r"^[\p{L}\p{N}]+$")), "isspace": _text(lambda c: c.rlike(r"^[\s\p{Z}]+$")),
+    "contains": _text(_contains), "startswith": _text(_affix(F.startswith)), "endswith": _text(_affix(F.endswith)), "match": _text(_like(r"\A", "")), "fullmatch": _text(_like(r"\A", r"\z")),
+    "isnumeric": _text(lambda c: c.rlike(r"\A\p{N}+\z")), "isalpha": _text(lambda c: c.rlike(r"\A\p{L}+\z")), "isdigit": _text(lambda c: c.rlike(r"\A[\p{Nd}²³¹⁰-₉]+\z")),
+    "isdecimal": _text(lambda c: c.rlike(r"\A\p{Nd}+\z")), "isalnum": _text(lambda c: c.rlike(r"\A[\p{L}\p{N}]+\z")), "isspace": _text(lambda c: c.rlike(r"\A[\s\p{Z}]+\z")),
     "islower": _text(_cased("Ll", "Lu")), "isupper": _text(_cased("Lu", "Ll")), "istitle": _text(lambda c: c.rlike(TITLE)),
     "never_match": lambda c, k: F.lit(False),
     "is_month_start": _date(lambda d: F.dayofmonth(d) == 1), "is_month_end": _date(lambda d: d == F.last_day(d)),
@@ -145,6 +169,16 @@ BUILD = {
 }
 
 
+#: The public type names of the wire form.
+WIRE = {
+    "gt": "GT", "lt": "LT", "ge": "GE", "le": "LE", "eq": "EQ", "ne": "NE", "between": "Between", "is_na": "IsNA", "not_na": "NotNA", "is_null": "IsNull", "not_null": "NotNull", "is_in": "IsIn", "duplicated": "Duplicated", "all_of": "AllOf",
+    "contains": "Contains", "startswith": "Startswith", "endswith": "Endswith", "match": "Match", "fullmatch": "Fullmatch", "isnumeric": "IsNumeric", "isalpha": "IsAlpha", "isdigit": "IsDigit", "isdecimal": "IsDecimal", "isalnum": "IsAlnum",
+    "isspace": "IsSpace", "islower": "IsLower", "isupper": "IsUpper", "istitle": "IsTitle", "never_match": "NeverMatch", "is_month_start": "IsMonthStart", "is_month_end": "IsMonthEnd", "is_quarter_start": "IsQuarterStart",
+    "is_quarter_end": "IsQuarterEnd", "is_year_start": "IsYearStart", "is_year_end": "IsYearEnd", "is_leap_year": "IsLeapYear",
+}
+READ = {v: k for k, v in WIRE.items()} | {k: k for k in WIRE}
+
+
 def _named(name, *params):
     def make(*args, **options):
         return Predicate(name, dict(zip(params, args, strict=False)) | options)
@@ -158,7 +192,10 @@ between = _named("between", "lower", "upper", "inclusive")
 is_na, not_na, is_null, not_null, never_match = (_named(k) for k in ("is_na", "not_na", "is_null", "not_null", "never_match"))
 is_in = _named("is_in", "options")
 duplicated = _named("duplicated", "keep")
-contains, startswith, endswith, match, fullmatch = (_named(k, "pat", "case") for k in ("contains", "startswith", "endswith", "match", "fullmatch"))
+contains = _named("contains", "pat", "case", "flags", "na", "regex")
+startswith, endswith = (_named(k, "pat", "case", "na") for k in ("startswith", "endswith"))
+match, fullmatch = (_named(k, "pat", "case", "flags", "na") for k in ("match", "fullmatch"))
+isna, notna, isnull, notnull = is_na, not_na, is_null, not_null
 isnumeric, isalpha, isdigit, isdecimal, isalnum, isspace, islower, isupper, istitle = (_named(k) for k in ("isnumeric", "isalpha", "isdigit", "isdecimal", "isalnum", "isspace", "islower", "isupper", "istitle"))
 is_month_start, is_month_end, is_quarter_start, is_quarter_end, is_year_start, is_year_end, is_leap_year = (_named(f"is_{k}") for k in ("month_start", "month_end", "quarter_start", "quarter_end", "year_start", "year_end", "leap_year"))
 

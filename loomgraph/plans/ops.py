@@ -146,7 +146,7 @@ def _plain(value):
 
 
 def _read(value):
-    if isinstance(value, dict) and value.get("type") in predicates.BUILD:
+    if isinstance(value, dict) and value.get("type") in predicates.READ:
         return predicates.from_json(value)
     return {k: _read(v) for k, v in value.items()} if isinstance(value, dict) else value
 

@@ -5,6 +5,7 @@ All is one lazy plan; only closures without a bound run a loop of jobs.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Any
 
@@ -18,16 +19,25 @@ from loomgraph.plans.ops import EdgeOp, NodeOp
 from loomgraph.plans.storage import cut
 
 MOST_ROUNDS = 1000
+#: Quoted texts and names, each whole, and the stretches between them.
+QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|[^'"`]+|['"`]""")
+OPERATORS = re.compile(r"=~|==|&&?|\|\|?|~|\bTrue\b|\bFalse\b|\bNone\b|\bnot\s+in\b", re.I)
+SPELLINGS = {"==": "=", "&": " and ", "&&": " and ", "|": " or ", "||": " or ", "~": " not ", "none": "null"}
 
 
 def query_filter(df: DataFrame, query: str | None) -> DataFrame:
     """Rows for which a query string holds; Python spellings of operators are taken too."""
     if not query:
         return df
-    text = query.replace("==", "=").replace("&", " and ").replace("|", " or ").replace("~", " not ")
+    text = "".join(part if part[0] in "'\"`" else _spelled(part) for part in QUOTED.findall(query))
     return df.filter(F.coalesce(expressions.column(text, expressions.Scope(df)).cast("boolean"), F.lit(False)))
 
 
+def _spelled(text: str) -> str:
+    """A stretch of a query string without quotes, in the spelling of the expression language."""
+    return OPERATORS.sub(lambda m: SPELLINGS.get(m[0].lower(), m[0]), text)
+
+
 def oriented(g, op: EdgeOp) -> DataFrame:
     """Matching edges as (eid, u, v) in the direction of travel."""
     edges = query_filter(filter_by_dict(g.edges, op.edge_match), op.edge_query)
