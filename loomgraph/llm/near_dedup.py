@@ -173,7 +173,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
     return with_u.join(hubs.drop("parts"), ["v", "part"]).select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
 
 
-def by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, hot: DataFrame) -> DataFrame:
     """Pairs (u, v) that may still be linked, of ``rest`` (key, rep, n, c: component): members of
     different components in one bucket, of which one is outside of the bucket's largest component.
 
@@ -183,7 +183,7 @@ def by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
     words = Words()
     sized = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
     largest = sized.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
-    outside = rest.join(largest, "key").groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.bool_or(F.col("c") != F.col("top")).alias("outside"))
+    outside = common.joined_by_hot_key(rest, largest, "key", hot).groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.bool_or(F.col("c") != F.col("top")).alias("outside"))
 
     def explode(batches):
         for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     rest = members.filter("size > 2 AND rep != hub").select("key", "rep", "n").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     split = rest.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("key")
     rest = common.cut(common.joined_by_hot_key(rest, split, "key", hot))
-    pairs = common.cut(by_prefix(rest, texts, shingle, num, den))
+    pairs = common.cut(by_prefix(rest, texts, shingle, num, den, hot))
     found = common.cut(verified(pairs, texts, shingle, num, den))
     if not found.isEmpty():
         component = connected(edges.unionByName(found))
