@@ -120,17 +120,26 @@ class Graph:
 
     # Traversal
 
-    def hop(self, nodes: DataFrame | None = None, **options) -> Graph:
-        """Edges walked from ``nodes`` (default: all) and the nodes at their ends; options as for an edge matcher, and ``direction``."""
+    def hop(self, nodes: DataFrame | None = None, return_as_wave_front: bool = False, target_wave_front: DataFrame | None = None, **options) -> Graph:
+        """Edges walked from ``nodes`` (default: all) and the nodes at their ends; options as for an edge matcher, and ``direction``.
+
+        ``return_as_wave_front``: only nodes that were reached, so not those it began at unless walked back to;
+        ``target_wave_front``: nodes that the last step must end at.
+        """
         g = self.with_nodes().with_edge_ids()
         op = O.EdgeOp(**options)
-        _, high = op.bounds()
-        start = O.NodeOp()
-        if nodes is None:
-            return traverse(g, [start, op, O.NodeOp()])
-        marked = g.replace(nodes=g.nodes.join(nodes.select(F.col(nodes.columns[0]).alias(g.node)).distinct().withColumn("__seed", F.lit(True)), g.node, "left"))
-        out = traverse(marked, [O.NodeOp({"__seed": True}), op, O.NodeOp()])
-        return out.replace(nodes=out.nodes.drop("__seed"))
+        marks = {"__seed": nodes, "__target": target_wave_front}
+        for name, chosen in marks.items():
+            if chosen is not None:
+                g = g.replace(nodes=g.nodes.join(chosen.select(F.col(chosen.columns[0]).alias(g.node)).distinct().withColumn(name, F.lit(True)), g.node, "left"))
+        ends = [O.NodeOp({name: True} if chosen is not None else None) for name, chosen in marks.items()]
+        if return_as_wave_front:
+            label = op.label_node_hops or "__hop"
+            out = traverse(g, [ends[0], O.replaced(op, label_node_hops=label), ends[1]])
+            kept = out.nodes.filter(F.col(f"`{[c for c in out.nodes.columns if c not in g.nodes.columns][0]}`").isNotNull())
+            return out.replace(nodes=kept.drop("__seed", "__target", "__hop"))
+        out = traverse(g, [ends[0], op, ends[1]])
+        return out.replace(nodes=out.nodes.drop("__seed", "__target"))
 
     def reachable(self, nodes: DataFrame, most: int | None = None, direction: str = "forward") -> DataFrame:
         """(node id, hops) in breadth-first order of distance."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from dataclasses import replace as replaced
 from typing import Any
 
 from loomgraph.errors import SchemaProblem
@@ -18,7 +19,12 @@ class NodeOp:
 
 @dataclass(frozen=True)
 class EdgeOp:
-    """``min_hops`` to ``max_hops`` steps (``hops``: exactly up to it from 1); ``to_fixed_point``: any number."""
+    """``min_hops`` to ``max_hops`` steps (``hops``: exactly up to it from 1); ``to_fixed_point``: any number.
+
+    ``output_min_hops`` and ``output_max_hops`` keep the edges of these steps, and their ends; ``label_node_hops`` and
+    ``label_edge_hops`` name columns for the least step that reached a node or walked an edge, 0 for seeds
+    where ``label_seeds`` is set; ``prune_to_endpoints`` leaves out the nodes between the first and the last.
+    """
 
     direction: str = "forward"
     edge_match: dict[str, Any] | None = None
@@ -32,6 +38,13 @@ class EdgeOp:
     destination_node_query: str | None = None
     edge_query: str | None = None
     name: str | None = None
+    output_min_hops: int | None = None
+    output_max_hops: int | None = None
+    label_node_hops: str | None = None
+    label_edge_hops: str | None = None
+    label_seeds: bool = False
+    prune_to_endpoints: bool = False
+    include_zero_hop_seed: bool = False
 
     def bounds(self) -> tuple[int, int | None]:
         """(least, most) hops; most None: no bound."""
@@ -39,8 +52,19 @@ class EdgeOp:
         high = None if self.to_fixed_point else self.max_hops if self.max_hops is not None else self.hops
         if low < 0 or (high is not None and (high < 0 or low > high)):
             raise SchemaProblem(f"hops from {low} to {high} aren't a range")
+        first, last = self.output_min_hops, self.output_max_hops
+        if first is not None and (first < 0 or last is not None and first > last):
+            raise SchemaProblem(f"output_min_hops ({first}) cannot exceed output_max_hops ({last}) or be negative")
+        if first is not None and high is not None and first > high:
+            raise SchemaProblem(f"output_min_hops ({first}) cannot exceed max_hops ({high})")
+        if last is not None and last < low:
+            raise SchemaProblem(f"output_max_hops ({last}) cannot be below min_hops ({low})")
         return low, high
 
+    @property
+    def sliced(self) -> bool:
+        return self.output_min_hops is not None or self.output_max_hops is not None
+
 
 @dataclass(frozen=True)
 class Call:
