@@ -30,6 +30,7 @@ class Graph:
     dst: str = "dst"
     node: str = "id"
     edge: str | None = None
+    settings: dict[str, Any] | None = None
 
     def replace(self, **changes) -> Graph:
         return dataclasses.replace(self, **changes)
@@ -161,9 +162,11 @@ class Graph:
             if not isinstance(call, O.Call):
                 raise GraphError("a matcher can't follow a row call")
             if call.function == "rows":
-                frame = g.with_nodes().nodes if call.params.get("table", "nodes") == "nodes" else g.edges
+                frame = self._rows(g, call.params)
                 if source := call.params.get("source"):
                     frame = frame.filter(F.col(f"`{source}`"))
+            elif call.function in R.APPLIES and "binding_ops" in call.params:
+                frame = R.applied(call.function, frame if frame is not None else g.with_nodes().nodes, self, call.params)
             elif call.function in R.CALLS:
                 frame = R.apply(g.with_nodes().nodes if frame is None else frame, call.function, call.params)
             else:
@@ -172,6 +175,20 @@ class Graph:
                 g = run(g, call.function, call.params)
         return g if frame is None else frame
 
+    def _rows(self, g: Graph, params: dict[str, Any]) -> DataFrame:
+        """The table that a ``rows`` call begins: nodes or edges, bindings of matchers, or edges with the nodes at their ends."""
+        from loomgraph.plans.bindings import bound_rows, endpoint_rows
+
+        if params.get("binding_ops"):
+            frame = bound_rows(self, O.from_json({"chain": params["binding_ops"]}))
+        elif params.get("alias_endpoints"):
+            frame = endpoint_rows(g, params["alias_endpoints"])
+        else:
+            return g.with_nodes().nodes if params.get("table", "nodes") == "nodes" else g.edges
+        for alias, filters in (params.get("alias_prefilters") or {}).items():
+            frame = filter_by_dict(frame, {f"{alias}.{k}": v for k, v in filters.items()})
+        return frame
+
     def query(self, text: str | list | dict, params: dict[str, Any] | None = None, where=None):
         """A chain, or a query text (``MATCH ... RETURN ...``) to its rows."""
         if not isinstance(text, str):
@@ -180,6 +197,19 @@ class Graph:
 
         return run(self, text, params)
 
+    def validate(self, query: str | list | dict, params: dict[str, Any] | None = None, strict: bool = True) -> list[dict[str, str]]:
+        """The problems of a chain or a query text, without running it: code and message of each; ``strict``: unknown columns too."""
+        from loomgraph.plans.cypher import parse_query
+
+        try:
+            if isinstance(query, str):
+                parse_query(query, params)
+            ops = [] if isinstance(query, str) else O.from_json(query) if isinstance(query, dict) else list(query)
+            O.check(ops, self if strict else None)
+        except (GraphError, KeyError, TypeError) as problem:
+            return [{"code": getattr(problem, "code", "E105"), "message": str(problem)}]
+        return []
+
     def explain(self, text, params: dict[str, Any] | None = None) -> str:
         """The formatted physical plan of a query."""
         out = self.query(text, params)

@@ -10,10 +10,11 @@ import math
 import warnings
 from collections import defaultdict, deque
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.errors import Unsupported
+from loomgraph.errors import GraphError, Unsupported
 from loomgraph.plans.cypher import multi_source
 from loomgraph.plans.storage import cut
 
@@ -231,14 +232,16 @@ def bfs(g, start, out: str = "distance", directed: bool = True, most: int | None
     return named(g, found.select("id", F.col("hops").cast("long").alias("value")), out)
 
 
-def sssp(g, start, weight: str, out: str = "distance", directed: bool = True, most: int = 1000) -> DataFrame:
-    """Least weight from one node, by relaxation of the edges of nodes that improved."""
+def sssp(g, start, weight: str, out: str = "distance", directed: bool = True) -> DataFrame:
+    """Least weight from one node, by relaxation of the edges of nodes that improved, until none does; weights mustn't be negative."""
     e = g.edges.select(F.col(f"`{g.src}`").alias("u"), F.col(f"`{g.dst}`").alias("v"), F.col(f"`{weight}`").cast("double").alias("w"))
     e = e if directed else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     e = cut(e.groupBy("u", "v").agg(F.min("w").alias("w")))
+    if not e.filter("w < 0").isEmpty():
+        raise GraphError(f"a weight in {weight!r} is negative")
     best = cut(vertices(g).filter(F.col("id") == F.lit(start)).withColumn("value", F.lit(0.0)))
     front = best
-    for _ in range(most):
+    while True:
         offers = front.join(e, F.col("id") == F.col("u")).groupBy(F.col("v").alias("id")).agg(F.min(F.col("value") + F.col("w")).alias("offer"))
         front = cut(offers.join(best, "id", "left").filter(F.col("value").isNull() | (F.col("offer") < F.col("value"))).select("id", F.col("offer").alias("value")))
         if front.isEmpty():
@@ -343,33 +346,161 @@ def _adjacency(g, directed: bool):
     return near, [r.id for r in vertices(g).toLocalIterator()]
 
 
-def betweenness_centrality(g, out: str = "betweenness_centrality", directed: bool = False, normalized: bool = True) -> DataFrame:
-    """Brandes' algorithm, in one place; the size is checked."""
+def _paths_between(g, directed: bool) -> DataFrame:
+    """(a, b, value): the shares of shortest paths through node ``a`` (b null) or edge a -> b, over all sources.
+
+    Brandes' algorithm from each source; sources are dealt to tasks, each with the edges, whose number is checked.
+    """
     near, nodes = _adjacency(g, directed)
-    score = dict.fromkeys(nodes, 0.0)
-    for s in nodes:
-        order, before, paths, dist, queue = [], defaultdict(list), defaultdict(float), {s: 0}, deque([s])
-        paths[s] = 1.0
-        while queue:
-            u = queue.popleft()
-            order.append(u)
-            for v in near[u]:
-                if v not in dist:
-                    dist[v] = dist[u] + 1
-                    queue.append(v)
-                if dist[v] == dist[u] + 1:
-                    paths[v] += paths[u]
-                    before[v].append(u)
-        share = defaultdict(float)
-        for v in reversed(order):
-            for u in before[v]:
-                share[u] += paths[u] / paths[v] * (1 + share[v])
-            if v != s:
-                score[v] += share[v]
-    n = len(nodes)
-    scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else (1.0 if directed else 0.5)
+    number = {v: i for i, v in enumerate(nodes)}
+    spark = g.edges.sparkSession
+    shared = spark.sparkContext.broadcast([[number[v] for v in near.get(u, ())] for u in nodes])
+
+    def run(batches):
+        ahead = shared.value
+        through, along = defaultdict(float), defaultdict(float)
+        for batch in batches:
+            for s in batch.column("id").to_pylist():
+                order, before, paths, dist, queue = [], defaultdict(list), defaultdict(float), {s: 0}, deque([s])
+                paths[s] = 1.0
+                while queue:
+                    u = queue.popleft()
+                    order.append(u)
+                    for v in ahead[u]:
+                        if v not in dist:
+                            dist[v] = dist[u] + 1
+                            queue.append(v)
+                        if dist[v] == dist[u] + 1:
+                            paths[v] += paths[u]
+                            before[v].append(u)
+                share = defaultdict(float)
+                for v in reversed(order):
+                    for u in before[v]:
+                        part = paths[u] / paths[v] * (1 + share[v])
+                        share[u] += part
+                        along[u, v] += part
+                    if v != s:
+                        through[v] += share[v]
+        rows = [(a, None, x) for a, x in through.items()] + [(*e, x) for e, x in along.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "value"])
+
+    sums = spark.range(len(nodes)).mapInArrow(run, "a long, b long, value double").groupBy("a", "b").agg(F.sum("value").alias("value"))
     kind = g.with_nodes().nodes.schema[g.node].dataType.simpleString()
-    return g.edges.sparkSession.createDataFrame([(k, v * scale) for k, v in score.items()], f"`{g.node}` {kind}, `{out}` double")
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(nodes)], f"a long, id {kind}")
+    found = sums.join(table.withColumnRenamed("id", "from"), "a").join(table.withColumnsRenamed({"a": "b", "id": "to"}), "b", "left")
+    return cut(found.select("from", "to", "value"))
+
+
+def betweenness_centrality(g, out: str = "betweenness_centrality", directed: bool = False, normalized: bool = True) -> DataFrame:
+    found = _paths_between(g, directed).filter("to IS NULL").select(F.col("from").alias("id"), "value")
+    n = vertices(g).count()
+    scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else (1.0 if directed else 0.5)
+    return named(g, vertices(g).join(found, "id", "left").select("id", (F.coalesce("value", F.lit(0.0)) * scale).alias("value")), out)
+
+
+def edge_betweenness_centrality(g, out: str = "betweenness_centrality", directed: bool = False, normalized: bool = True) -> DataFrame:
+    """Shares of shortest paths over each pair of neighbours; undirected: source <= destination."""
+    found = _paths_between(g, directed).filter("to IS NOT NULL")
+    n = vertices(g).count()
+    if not directed:
+        found = found.groupBy(F.least("from", "to").alias("from"), F.greatest("from", "to").alias("to")).agg((F.sum("value") / 2).alias("value"))
+    scale = (1 / (n * (n - 1) / (1 if directed else 2)) if n > 1 else 1.0) if normalized else 1.0
+    return found.select(F.col("from").alias(g.src), F.col("to").alias(g.dst), (F.col("value") * scale).alias(out))
+
+
+def bfs_edges(g, start, directed: bool = True, most: int | None = None) -> DataFrame:
+    """The edges of a breadth-first tree: each node that is reached, from its least neighbour one step nearer."""
+    far = cut(bfs(g, start, "d", directed, most).select(F.col(g.node).alias("id"), "d"))
+    e = pairs(g, directed, False).distinct()
+    tree = e.join(far.select(F.col("id").alias("u"), F.col("d").alias("du")), "u").join(far.select(F.col("id").alias("v"), F.col("d").alias("dv")), "v").filter("dv = du + 1")
+    return tree.groupBy("v").agg(F.min("u").alias("u")).select(F.col("u").alias(g.src), F.col("v").alias(g.dst))
+
+
+def _weighted(formula, name):
+    def run(g, weight: str, out: str = name, directed: bool = False) -> DataFrame:
+        one = g.edges.select(F.col(f"`{g.src}`").alias("u"), F.col(f"`{g.dst}`").alias("v"), F.col(f"`{weight}`").cast("double").alias("w")).filter("u != v")
+        near = one if directed else one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+        near = near.groupBy("u", "v").agg(F.max("w").alias("w"))
+        total = near.groupBy("u").agg(F.sum("w").alias("t"))
+        sides = [near.select(F.col("u").alias(x), "v", F.col("w").alias(f"w{x}")) for x in "ab"]
+        both = sides[0].join(sides[1], "v").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("low"))
+        sized = both.join(total.select(F.col("u").alias("a"), F.col("t").alias("ta")), "a").join(total.select(F.col("u").alias("b"), F.col("t").alias("tb")), "b")
+        return sized.select(F.col("a").alias(g.src), F.col("b").alias(g.dst), formula(F.col("low"), F.col("ta"), F.col("tb")).alias(out))
+
+    run.__doc__ = f"{name} of weighted neighbourhoods: shared weight is the sum of the lesser weights."
+    return run
+
+
+jaccard_w = _weighted(lambda n, a, b: n / (a + b - n), "jaccard_coeff")
+overlap_w = _weighted(lambda n, a, b: n / F.least(a, b), "overlap_coeff")
+sorensen_w = _weighted(lambda n, a, b: 2 * n / (a + b), "sorensen_coeff")
+
+
+def _moved(edges: DataFrame, state: DataFrame, m2: float, most: int) -> DataFrame:
+    """(id, c): nodes change to the neighbouring community of greatest modularity gain, half of them a round, until none gains."""
+    degree = edges.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"))
+    state = cut(state.join(degree, "id", "left").select("id", "c", F.coalesce("k", F.lit(0.0)).alias("k")))
+    plain = edges.filter("u != v")
+    for i in range(most):
+        total = state.groupBy("c").agg(F.sum("k").alias("t"))
+        to = plain.join(state.select(F.col("id").alias("v"), "c"), "v").groupBy(F.col("u").alias("id"), "c").agg(F.sum("w").alias("inside"))
+        offers = state.select("id", F.col("c").alias("own"), "k").join(to.unionByName(state.select("id", "c", F.lit(0.0).alias("inside"))).groupBy("id", "c").agg(F.max("inside").alias("inside")), "id").join(total, "c")
+        rest = F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
+        gain = F.round(F.col("inside") - rest * F.col("k") / m2, 9)
+        best = offers.groupBy("id").agg(F.max(F.struct(gain.alias("gain"), (F.col("c") == F.col("own")).alias("stay"))).alias("top"), F.first("own").alias("own"))
+        won = offers.withColumn("gain", gain).join(best.select("id", F.col("top.gain").alias("most"), F.col("top.stay").alias("stay")), "id").filter("gain = most")
+        won = won.groupBy("id").agg(F.when(~F.bool_or("stay"), F.min("c")).alias("new"))
+        turn = F.xxhash64("id", F.lit(i)) % 2 == 0
+        state = cut(state.select("id", "c", "k").join(won, "id", "left").select("id", F.when(turn, F.coalesce("new", "c")).otherwise(F.col("c")).alias("c"), "k", F.col("new").isNotNull().alias("wants")))
+        if state.filter("wants").isEmpty():
+            break
+    else:
+        _unsettled("modularity", most)
+    return state.select("id", "c")
+
+
+def modularity(g, community: DataFrame, weight: str | None = None) -> float:
+    """Of communities (node, community), over undirected edges."""
+    e = _undirected(g, weight)
+    c = community.toDF("id", "c")
+    m2 = e.agg(F.sum("w")).first()[0] or 1.0
+    inside = e.join(c.toDF("u", "cu"), "u").join(c.toDF("v", "cv"), "v").filter("cu = cv").agg(F.sum("w")).first()[0] or 0.0
+    total = e.join(c.toDF("u", "cu"), "u").groupBy("cu").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+    return inside / m2 - total / m2**2
+
+
+def _undirected(g, weight: str | None) -> DataFrame:
+    one = g.edges.select(F.col(f"`{g.src}`").alias("u"), F.col(f"`{g.dst}`").alias("v"), (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("w"))
+    return one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
+
+
+def louvain(g, out: str = "community", weight: str | None = None, most: int = 60, refine: bool = False) -> DataFrame:
+    """Communities of high modularity: nodes move, communities become nodes of a lesser graph, until none moves.
+
+    ``refine``: communities are cut into their connected parts before they become nodes.  Named by the least node.
+    """
+    edges = cut(_undirected(g, weight))
+    m2 = edges.agg(F.sum("w")).first()[0] or 1.0
+    of = cut(vertices(g).select("id", F.col("id").alias("c")))
+    while True:
+        moved = _moved(edges, edges.select(F.col("u").alias("id")).distinct().select("id", F.col("id").alias("c")), m2, most)
+        if refine:
+            ends = edges.filter("u != v").join(moved.toDF("u", "cu"), "u").join(moved.toDF("v", "cv"), "v").filter("cu = cv")
+            parts = connected_components(type(g)(edges=ends.select(F.col("u").alias("src"), F.col("v").alias("dst"))), "part")
+            moved = moved.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("c"))
+        least = moved.groupBy("c").agg(F.min("id").alias("name"))
+        moved = cut(moved.join(least, "c").select("id", F.col("name").alias("c")))
+        if moved.filter("id != c").isEmpty():
+            break
+        of = cut(of.join(moved.toDF("c", "new"), "c", "left").select("id", F.coalesce("new", "c").alias("c")))
+        edges = cut(edges.join(moved.toDF("u", "cu"), "u").join(moved.toDF("v", "cv"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+    return named(g, of.withColumnRenamed("c", "value"), out)
+
+
+def leiden(g, out: str = "community", weight: str | None = None, most: int = 60) -> DataFrame:
+    """As ``louvain``, with communities that are connected."""
+    return louvain(g, out, weight, most, refine=True)
 
 
 def articulation_points(g, out: str = "articulation_point") -> DataFrame:
@@ -408,8 +539,10 @@ NODE = {
     "pagerank": pagerank, "connected_components": connected_components, "clusters": connected_components, "strongly_connected_components": strongly_connected_components, "core_number": core_number, "coreness": core_number,
     "hits": hits, "community_label_propagation": label_propagation, "label_propagation": label_propagation, "eigenvector_centrality": eigenvector_centrality, "katz_centrality": katz_centrality, "degree_centrality": degree_centrality,
     "closeness": closeness_centrality, "closeness_centrality": closeness_centrality, "harmonic_centrality": harmonic_centrality, "eccentricity": eccentricity, "betweenness": betweenness_centrality, "betweenness_centrality": betweenness_centrality,
+    "louvain": louvain, "community_multilevel": louvain, "leiden": leiden, "community_leiden": leiden, "shortest_path": bfs,
     "articulation_points": articulation_points, "constraint": constraint, "bfs": bfs, "shortest_path_length": bfs, "sssp": sssp, "personalized_pagerank": pagerank,
     "hub_score": lambda g, out="hub_score": hits(g, hub=out).drop("authority"), "authority_score": lambda g, out="authority_score": hits(g, authority=out).drop("hub"),
 }
-EDGE = {"jaccard": jaccard, "overlap": overlap, "overlap_coefficient": overlap, "sorensen": sorensen, "sorensen_coefficient": sorensen, "cocitation": cocitation, "bibcoupling": bibcoupling}
+EDGE = {"jaccard": jaccard, "overlap": overlap, "overlap_coefficient": overlap, "sorensen": sorensen, "sorensen_coefficient": sorensen, "cocitation": cocitation, "bibcoupling": bibcoupling,
+        "jaccard_w": jaccard_w, "overlap_w": overlap_w, "sorensen_w": sorensen_w, "edge_betweenness": edge_betweenness_centrality, "edge_betweenness_centrality": edge_betweenness_centrality, "bfs_edges": lambda g, out=None, **k: bfs_edges(g, **k)}
 GRAPH = {"k_core": k_core, "minimum_spanning_tree": minimum_spanning_tree, "spanning_tree": minimum_spanning_tree, "ego_graph": ego_graph}

@@ -33,6 +33,44 @@ def hypergraph(events: DataFrame, entity_types: list[str], event_id: str | None
     return Graph(edges=edges, nodes=nodes, src="src", dst="dst", node="nodeID")
 
 
+def hypergraph_of(g, entity_types: list[str] | None = None, from_edges: bool = True, event_id: str | None = None, opts: dict | None = None, drop_edge_attrs: bool = True, **options) -> Graph:
+    """The hypergraph of a graph's edge rows, or of its node rows.
+
+    ``opts``: ``SKIP`` names columns that are no entities, ``CATEGORIES`` maps a category to the columns whose values
+    are one entity whichever of them holds it; ``drop_edge_attrs=False`` keeps the event's columns on its edges.
+    """
+    events, opts = g.edges if from_edges else g.with_nodes().nodes, opts or {}
+    chosen = [c for c in (entity_types or events.columns) if c not in opts.get("SKIP", ()) and c != event_id]
+    category = {c: name for name, columns in (opts.get("CATEGORIES") or {}).items() for c in columns}
+    out = hypergraph(events, chosen, event_id, **options)
+    if category:
+        lookup = F.create_map(*(F.lit(x) for kv in category.items() for x in kv))
+        renamed = lambda c: F.coalesce(F.concat(F.try_element_at(lookup, F.substring_index(c, "::", 1)), F.lit("::"), F.expr(f"substring({c}, instr({c}, '::') + 2)")), F.col(c))
+        kind = F.coalesce(F.try_element_at(lookup, F.col("type")), F.col("type"))
+        out = out.replace(nodes=out.nodes.withColumns({"nodeID": renamed("nodeID"), "type": kind}).distinct(), edges=out.edges.withColumns({k: renamed(k) for k in ("src", "dst")}))
+    if not drop_edge_attrs and event_id:
+        own = events.withColumn("EventID", F.col(f"`{event_id}`").cast("string")).drop(event_id, "src", "dst", "edgeType")
+        out = out.replace(edges=out.edges.join(own, "EventID", "left"))
+    return out
+
+
+def modularity_weighted_layout(g, community_col: str | None = None, community_alg: str = "community_multilevel", community_params: dict | None = None, same_community_weight: float = 2.0, cross_community_weight: float = 0.3, **_) -> Graph:
+    """Edges with ``same_community`` and a ``weight`` that draws communities together."""
+    from loomgraph.operators.algorithms import NODE
+
+    g = g.with_nodes()
+    if community_col is None:
+        community_col = community_alg
+        found = NODE[community_alg](g, **({"out": community_alg} | (community_params or {})))
+        g = g.replace(nodes=g.nodes.drop(community_alg).join(found, g.node, "left"))
+    of = g.nodes.select(F.col(f"`{g.node}`").alias("__id"), F.col(f"`{community_col}`").alias("__c"))
+    edges = g.edges
+    for end, name in ((g.src, "__a"), (g.dst, "__b")):
+        edges = edges.join(of.toDF("__id", name), F.col(f"`{end}`") == F.col("__id"), "left").drop("__id")
+    same = F.coalesce(F.col("__a") == F.col("__b"), F.lit(False))
+    return g.replace(edges=edges.withColumns({"same_community": same, "weight": F.when(same, same_community_weight).otherwise(cross_community_weight)}).drop("__a", "__b"))
+
+
 def topological_levels(g, level: str = "level", allow_cycles: bool = True, remove_self_loops: bool = True) -> Graph:
     """Peels nodes without an edge in; on a cycle the node of greatest degree (least id of equals) goes."""
     g = g.with_nodes()

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.errors import GraphError, Unsupported
+from loomgraph.errors import GraphError, SchemaProblem, Unsupported
 from loomgraph.functions import expressions as X
 from loomgraph.functions.predicates import condition
 from loomgraph.plans.ops import Compare, EdgeOp, NodeOp
@@ -87,6 +87,8 @@ class Matcher:
     def __init__(self, g):
         self.g = g.with_nodes().with_edge_ids()
         self.used: list[tuple[str, bool]] = []
+        #: Conditions between aliases; each holds from the step that binds its last alias.
+        self.where: list[Compare] = []
 
     def node_entity(self) -> dict[str, Any]:
         return {"id": self.g.node, "hidden": {self.g.node} if self.g.node.startswith("__") else set(), "kind": "node"}
@@ -125,11 +127,22 @@ class Matcher:
                 left = [replace(e, direction=flip[e.direction]) if isinstance(e, RelPattern) else e for e in elements[bound::-1]]
                 rows = self.path(rows, left)
                 return self.path(rows, elements[bound:]) if bound < len(elements) - 1 else rows
-        rows = self.start(rows, elements[0], len(elements) == 1)
+        rows = self.held(self.start(rows, elements[0], len(elements) == 1))
         for i in range(1, len(elements), 2):
-            rows = self.step(rows, elements[i - 1].alias, elements[i], elements[i + 1])
+            rows = self.held(self.step(rows, elements[i - 1].alias, elements[i], elements[i + 1]))
         return rows
 
+    def held(self, rows: Rows) -> Rows:
+        """The rows for which the conditions hold whose aliases are all bound by now."""
+        df, later = rows.df, []
+        for c in self.where:
+            if {c.left[0], c.right[0]} <= rows.entities.keys():
+                df = df.filter(F.coalesce(compared(c.op, key(*c.left), key(*c.right)), F.lit(False)))
+            else:
+                later.append(c)
+        self.where = later
+        return Rows(df, rows.entities)
+
     def edges(self, r: RelPattern) -> list[tuple[DataFrame, str, str]]:
         """(edges, column of the near end, of the far end) for each way."""
         e, s, d = _matching(self.g.edges, r, self.rel_entity()), f"{r.alias}.{self.g.src}", f"{r.alias}.{self.g.dst}"
@@ -204,21 +217,38 @@ def bindings(g, ops: list[Any]) -> Rows:
     return Matcher(g).path(None, pattern_of(ops))
 
 
+def bound_rows(g, ops: list[Any], neq: list[str] | None = None) -> DataFrame:
+    """The rows of ``bindings`` without the columns of unnamed matchers; ``neq``: two aliases whose nodes must differ."""
+    rows = bindings(g, ops)
+    df = rows.df
+    if neq:
+        a, b = (key(x, g.node) for x in neq)
+        df = df.filter(a != b)
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("__") and not c.partition(".")[2].startswith("__")))
+
+
+def endpoint_rows(g, endpoints: dict[str, str]) -> DataFrame:
+    """A row for each edge, with the columns of the node at its ``src`` or ``dst`` end under each alias."""
+    g = g.with_nodes()
+    out = g.edges
+    for alias, end in endpoints.items():
+        column = {"src": g.src, "dst": g.dst}.get(end)
+        if column is None:
+            raise SchemaProblem(f"an edge has no end {end!r}")
+        out = out.join(prefixed(g.nodes, alias), F.col(f"`{column}`") == key(alias, g.node))
+    return out
+
+
 def same_path(g, ops: list[Any], where: list[Compare]):
     """The subgraph of the matches for which conditions between aliases hold, with a boolean column for each name."""
     matcher = Matcher(g)
     pattern = pattern_of(ops)
+    matcher.where = list(where)
     rows = matcher.path(None, pattern).df
-    for c in where:
-        rows = rows.filter(F.coalesce(compared(c.op, key(*c.left), key(*c.right)), F.lit(False)))
-    g = matcher.g
-    node_ids = [rows.select(key(p.alias, g.node).alias(g.node)) for p in pattern if isinstance(p, NodePattern)]
-    edge_ids = [rows.select((F.explode(key(p.alias, "__trail")) if p.many else key(p.alias, g.edge)).alias(g.edge)) for p in pattern if isinstance(p, RelPattern)]
-    chosen = reduce(DataFrame.unionByName, edge_ids).distinct()
-    edges = g.edges.join(chosen, g.edge, "left_semi")
-    if any(p.many for p in pattern if isinstance(p, RelPattern)):
-        node_ids += [edges.select(F.col(f"`{x}`").alias(g.node)) for x in (g.src, g.dst)]
-    nodes = g.nodes.join(reduce(DataFrame.unionByName, node_ids).distinct(), g.node, "left_semi")
+    if matcher.where:
+        raise SchemaProblem(f"no matcher is called {', '.join(sorted({c.left[0] for c in matcher.where} | {c.right[0] for c in matcher.where}))}")
+    g = kept(matcher, rows, pattern)
+    nodes, edges = g.nodes, g.edges
     for p in pattern:
         if not p.alias.startswith("__"):
             if isinstance(p, NodePattern):
@@ -226,3 +256,15 @@ def same_path(g, ops: list[Any], where: list[Compare]):
             elif not p.many:
                 edges = flagged(edges, g.edge, rows.select(key(p.alias, g.edge).alias(g.edge)), p.alias)
     return g.replace(nodes=nodes, edges=edges)
+
+
+def kept(matcher: Matcher, rows: DataFrame, pattern: list[Any]):
+    """The graph of the nodes and edges of some matches."""
+    g = matcher.g
+    node_ids = [rows.select(key(p.alias, g.node).alias(g.node)) for p in pattern if isinstance(p, NodePattern)]
+    edge_ids = [rows.select((F.explode(key(p.alias, "__trail")) if p.many else key(p.alias, g.edge)).alias(g.edge)) for p in pattern if isinstance(p, RelPattern)]
+    edges = g.edges.join(reduce(DataFrame.unionByName, edge_ids).distinct(), g.edge, "left_semi") if edge_ids else g.edges.limit(0)
+    if any(p.many for p in pattern if isinstance(p, RelPattern)):
+        node_ids += [edges.select(F.col(f"`{x}`").alias(g.node)) for x in (g.src, g.dst)]
+    nodes = g.nodes.join(reduce(DataFrame.unionByName, node_ids).distinct(), g.node, "left_semi")
+    return g.replace(nodes=nodes, edges=edges)

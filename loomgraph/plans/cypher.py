@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.errors import SchemaProblem, SyntaxProblem, Unsupported
 from loomgraph.functions import expressions as X
-from loomgraph.plans.bindings import Matcher, NodePattern, RelPattern, Rows, key
+from loomgraph.plans.bindings import kept, Matcher, NodePattern, RelPattern, Rows, key
 from loomgraph.plans.rows import sort_key, whole_number
 
 CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "WITH", "RETURN", "UNWIND", "UNION", "ORDER", "SKIP", "LIMIT", "CALL", "YIELD", ""}
@@ -50,6 +50,21 @@ class Project:
     last: bool = False
 
 
+@dataclass
+class GraphBody:
+    use: str | None
+    clauses: list[Any]
+
+
+@dataclass
+class Program:
+    named: list[tuple[str, GraphBody]]
+    use: str | None
+    graph: GraphBody | None
+    branches: list[list[Any]]
+    every: list[bool]
+
+
 class QueryParser(X.Parser):
     fresh = 0
 
@@ -57,6 +72,42 @@ class QueryParser(X.Parser):
         self.fresh += 1
         return f"__{kind}{self.fresh}"
 
+    def program(self) -> Program:
+        """Named graphs, the graph that is used, and a query or a graph."""
+        named = []
+        while self.peek() == "GRAPH" and self.kind(1) == "name":
+            self.next()
+            name = self.name()
+            self.expect("=")
+            named.append((name, self.graph()))
+        use = self.name() if self.accept("USE") else None
+        if self.peek() == "GRAPH" and self.peek(1) == "{":
+            out = Program(named, use, self.graph(), [], [])
+            self.accept(";")
+            if self.i < len(self.tokens):
+                raise SyntaxProblem(f"unexpected {self.peek()!r}")
+            return out
+        return Program(named, use, None, *self.query())
+
+    def graph(self) -> GraphBody:
+        """``GRAPH { [USE name] MATCH ... [WHERE ...] | CALL name.write(...) }``: what matches, or what a call makes."""
+        self.expect("GRAPH")
+        self.expect("{")
+        body = GraphBody(self.name() if self.accept("USE") else None, [])
+        while not self.accept("}"):
+            if self.peek() == "MATCH":
+                body.clauses.append(self.match())
+            elif self.accept("CALL"):
+                call = self.procedure()
+                if not call.name.endswith(".write") or call.columns:
+                    raise Unsupported(f"CALL {call.name} gives rows; inside GRAPH it is written {call.name}.write()")
+                body.clauses.append(call)
+            else:
+                raise Unsupported(f"{self.peek() or 'the end'} inside GRAPH, which takes MATCH and CALL only")
+        if not body.clauses:
+            raise SyntaxProblem("GRAPH { } is empty")
+        return body
+
     def query(self) -> tuple[list[list[Any]], list[bool]]:
         """Branches of a union, and whether each union keeps duplicates."""
         branches, every = [self.single()], []
@@ -231,11 +282,14 @@ class QueryParser(X.Parser):
 
 @lru_cache(256)
 def _parsed(text: str):
-    return QueryParser(text).query()
+    return QueryParser(text).program()
 
 
 def parse(text: str, params: dict[str, Any] | None = None):
-    return QueryParser(text, params).query() if params else _parsed(text)
+    return QueryParser(text, params).program() if params else _parsed(text)
+
+
+parse_query = parse
 
 
 def conjuncts(node: X.Node | None) -> list[X.Node]:
@@ -244,19 +298,63 @@ def conjuncts(node: X.Node | None) -> list[X.Node]:
     return [c for a in node.args for c in conjuncts(a)] if node.op == "AND" else [node]
 
 
-def run(g, text: str, params: dict[str, Any] | None = None) -> DataFrame:
-    """Rows of a query over a graph."""
-    branches, every = parse(text, params)
-    frames = [Translator(g).branch(b) for b in branches]
+def run(g, text: str, params: dict[str, Any] | None = None):
+    """Rows of a query over a graph, or the graph of ``GRAPH { }`` or ``CALL name.write(...)``."""
+    program, graphs = parse(text, params), {}
+
+    def used(name: str | None, otherwise):
+        if name is None:
+            return otherwise
+        if name not in graphs:
+            raise SchemaProblem(f"no graph is called {name!r}")
+        return graphs[name]
+
+    for name, body in program.named:
+        graphs[name] = constructed(used(body.use, g), body)
+    g = used(program.use, g)
+    if program.graph is not None:
+        return constructed(used(program.graph.use, g), program.graph)
+    if len(program.branches) == 1 and len(program.branches[0]) == 1 and isinstance(only := program.branches[0][0], CallProcedure) and only.name.endswith(".write"):
+        return called(g, only)
+    frames = [Translator(g).branch(b) for b in program.branches]
     if any(set(f.columns) != set(frames[0].columns) for f in frames):
         raise SchemaProblem("branches of a union have the same columns")
     out = frames[0]
-    for frame, keep in zip(frames[1:], every, strict=True):
+    for frame, keep in zip(frames[1:], program.every, strict=True):
         out = out.unionByName(frame)
         out = out if keep else out.distinct()
     return out
 
 
+def called(g, clause: CallProcedure):
+    from loomgraph.operators.registry import written
+
+    args = [a.args[0] if a.op == "lit" else {k: v.args[0] for k, v in a.args} for a in clause.args]
+    return written(g, clause.name, *args)
+
+
+def constructed(g, body: GraphBody):
+    """The graph of a body: each MATCH keeps the nodes and edges of its matches, each CALL adds its results."""
+    for clause in body.clauses:
+        if isinstance(clause, CallProcedure):
+            g = called(g, clause)
+            continue
+        tests = conjuncts(clause.where)
+        matcher, rows = Matcher(g), None
+        for _, shortest, elements in clause.paths:
+            if shortest:
+                raise Unsupported("a shortest path inside GRAPH")
+            rows = matcher.path(rows, elements)
+        for test in tests:
+            if any(n.op == "pattern" for n in X.walk(test)) or len({n.args[0] for n in X.walk(test) if n.op == "name" and n.args[0] in rows.entities}) > 1:
+                raise Unsupported("a condition inside GRAPH is on one node or relationship")
+        df = rows.df
+        for test in tests:
+            df = df.filter(F.coalesce(X.compile_(test, rows.scope())[0].cast("boolean"), F.lit(False)))
+        g = kept(matcher, df, [e for _, _, elements in clause.paths for e in elements])
+    return g
+
+
 class Translator:
     def __init__(self, g):
         self.g = g.with_nodes().with_edge_ids() if g.edges is not None else g

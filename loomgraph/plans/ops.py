@@ -6,7 +6,7 @@ from dataclasses import asdict, dataclass, field
 from dataclasses import replace as replaced
 from typing import Any
 
-from loomgraph.errors import SchemaProblem
+from loomgraph.errors import SchemaProblem, Unsupported
 from loomgraph.functions import predicates
 
 
@@ -104,8 +104,38 @@ def call(function: str, params: dict[str, Any] | None = None) -> Call:
     return Call(function, params or {})
 
 
-def rows(table: str = "nodes", source: str | None = None) -> Call:
-    return Call("rows", {"table": table, "source": source})
+def rows(table: str = "nodes", source: str | None = None, alias_endpoints=None, binding_ops=None, alias_prefilters=None) -> Call:
+    """The table that row calls work on; ``binding_ops`` are matchers, or their wire form."""
+    params = {"table": table, "source": source, "alias_endpoints": alias_endpoints, "binding_ops": _wired(binding_ops), "alias_prefilters": alias_prefilters}
+    return Call("rows", {k: v for k, v in params.items() if v is not None})
+
+
+def _wired(ops) -> list[dict[str, Any]] | None:
+    return None if ops is None else [op if isinstance(op, dict) else to_json([op])["chain"][0] for op in ops]
+
+
+def anti_semi_apply(binding_ops, join_aliases, neq=None) -> Call:
+    return Call("anti_semi_apply", {"binding_ops": _wired(binding_ops), "join_aliases": join_aliases, "neq": neq})
+
+
+def semi_apply_mark(binding_ops, join_aliases, out_col: str, neq=None) -> Call:
+    return Call("semi_apply_mark", {"binding_ops": _wired(binding_ops), "join_aliases": join_aliases, "out_col": out_col, "neq": neq})
+
+
+def join_apply(binding_ops, join_aliases, how: str = "inner") -> Call:
+    return Call("join_apply", {"binding_ops": _wired(binding_ops), "join_aliases": join_aliases, "how": how})
+
+
+def search_any(term: str, **options) -> Call:
+    return Call("search_any", {"term": term, **options})
+
+
+def fill_empty_row() -> Call:
+    return Call("fill_empty_row", {})
+
+
+def count_table(alias: str = "count") -> Call:
+    return Call("count_table", {"alias": alias})
 
 
 def select(items) -> Call:
@@ -190,3 +220,29 @@ def from_json(data: dict[str, Any]) -> list[Any]:
             raise SchemaProblem(f"no operation is called {item['type']!r}")
         out.append(kind(**args))
     return out
+
+
+def check(ops: list[Any], g=None) -> None:
+    """Raises for a chain that can't run: unknown calls, bounds that aren't ranges, adjacent matchers, and columns that ``g`` lacks."""
+    from loomgraph.operators.registry import known
+    from loomgraph.plans.rows import APPLIES, CALLS
+
+    called = False
+    for i, op in enumerate(ops):
+        if isinstance(op, Call):
+            called = True
+            if op.function != "rows" and op.function not in CALLS and op.function not in APPLIES and not known(op.function):
+                raise Unsupported(f"there is no call {op.function!r}")
+            continue
+        if not isinstance(op, (NodeOp, EdgeOp)):
+            raise SchemaProblem(f"{op!r} is no step of a chain")
+        if called:
+            raise SchemaProblem("a matcher can't follow a row call")
+        if isinstance(op, NodeOp) and i and isinstance(ops[i - 1], NodeOp):
+            raise SchemaProblem("two node matchers follow each other")
+        if isinstance(op, EdgeOp):
+            op.bounds()
+        if g is not None:
+            tables = {"filter_dict": g.with_nodes().nodes} if isinstance(op, NodeOp) else {"edge_match": g.edges, "source_node_match": g.with_nodes().nodes, "destination_node_match": g.with_nodes().nodes}
+            for name, table in tables.items():
+                predicates.condition(table, {k: v for k, v in (getattr(op, name) or {}).items() if not (isinstance(v, predicates.Predicate) and v.name == "duplicated")})

@@ -51,11 +51,19 @@ def whole_number(value: Any) -> int:
 
 
 def group_by(df, keys, aggregations):
-    """Aggregations are (alias, function) or (alias, function, expression)."""
+    """Aggregations are (alias, function) or (alias, function, expression).
+
+    Lists are collected in the order of the rows, distinct ones by first appearance;
+    for that alone the rows are numbered, where their order comes from ``order_by``.
+    """
+    ordinal = None
+    if any(function.lower() in ("collect", "collect_distinct") for _, function, *_ in aggregations):
+        ordinal = "__at"
+        df = df.withColumn(ordinal, F.monotonically_increasing_id())
     scope, out = X.Scope(df), []
     for alias, function, *expr in aggregations:
         args = tuple(X.parse(e) for e in expr if e not in (None, "*"))
-        out.append(X.aggregate(X.Node("call", (function, False, args)), scope)[0].alias(alias))
+        out.append(X.aggregate(X.Node("call", (function, False, args)), scope, ordinal)[0].alias(alias))
     keyed = [X.column(k, scope).alias(k) if isinstance(k, str) else X.column(k[1], scope).alias(k[0]) for k in keys]
     return df.groupBy(*keyed).agg(*out) if keyed else df.agg(*out)
 
@@ -94,6 +102,33 @@ def semi_apply_mark(df, other, on, name):
     return df.join(keys, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+#: Row calls that match a pattern for each row, given as ``binding_ops``.
+APPLIES = ("anti_semi_apply", "semi_apply_mark", "join_apply")
+
+
+def applied(function: str, df: DataFrame, g, params: dict[str, Any]) -> DataFrame:
+    """Rows against the matches of ``binding_ops`` that share the nodes of ``join_aliases``: those without, a mark, or joined."""
+    from loomgraph.plans import ops as O
+    from loomgraph.plans.bindings import bound_rows
+
+    other = bound_rows(g, O.from_json({"chain": params["binding_ops"]}), params.get("neq"))
+    on = [c for c in (f"{a}.{g.node}" for a in params["join_aliases"]) if c in df.columns and c in other.columns]
+    if not on:
+        raise SchemaProblem(f"the rows and the pattern share none of {params['join_aliases']}")
+    quoted = [f"`{c}`" for c in on]
+    if function == "join_apply":
+        fresh = [f"`{c}`" for c in other.columns if c not in df.columns]
+        right = other.select(*(F.col(q).alias(f"__on{i}") for i, q in enumerate(quoted)), *fresh)
+        test = [F.col(q) == F.col(f"__on{i}") for i, q in enumerate(quoted)]
+        return df.join(right, test, params.get("how", "inner")).drop(*(f"__on{i}" for i in range(len(on))))
+    keys = other.select(*(F.col(q).alias(f"__on{i}") for i, q in enumerate(quoted))).distinct()
+    test = [F.col(q) == F.col(f"__on{i}") for i, q in enumerate(quoted)]
+    if function == "anti_semi_apply":
+        return df.join(keys, test, "left_anti")
+    marked = df.join(keys.withColumn("__mark", F.lit(True)), test, "left")
+    return marked.withColumn(params["out_col"], F.coalesce("__mark", F.lit(False))).drop("__mark", *(f"__on{i}" for i in range(len(on))))
+
+
 CALLS = {
     "select": select, "return_": select, "with_": with_, "where_rows": where_rows, "order_by": order_by, "group_by": group_by, "unwind": unwind, "fill_empty_row": fill_empty_row,
     "skip": lambda df, count: df.offset(whole_number(count)), "limit": lambda df, count: df.limit(whole_number(count)), "distinct": lambda df: df.distinct(),

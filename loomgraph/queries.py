@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -339,5 +340,255 @@ def let_steps(spark, d):
     return g.let({"big": [O.n(), O.e_forward(), O.n({"totalprice": P.gt(300000)})], "counts": lambda step: step("big").query("MATCH (c)-->(o) RETURN c.segment AS seg, count(*) AS n")})
 
 
+# Query strings, flags and nulls of predicates
+
+
+@query("SELECT p_partkey FROM part WHERE (p_size > 40 AND NOT p_brand = 'A&B') OR p_name IN ('a|b', 'x ~ y') OR p_size = 7")
+def pred_query_string(spark, d):
+    g = Graph(edges=table(spark, d, "nation"), nodes=table(spark, d, "part"), node="p_partkey")
+    return g.node_query("p_size > 40 & ~(p_brand == 'A&B') | p_name in ['a|b', \"x ~ y\"] | p_size == 7").nodes.select("p_partkey")
+
+
+@query("SELECT p_partkey, regexp_matches(p_name, '[A-M]', 'i') AS i, regexp_full_match(p_name || chr(10) || p_brand, '(?s).*') AS s, false AS dot, regexp_matches(p_name || chr(10) || p_brand, '(?m)^[A-Z]') AS m, regexp_matches(p_name, '^[aeiou]', 'i') AS start FROM part")
+def pred_flags(spark, d):
+    part = table(spark, d, "part").withColumn("two", F.concat_ws("\n", "p_name", "p_brand"))
+    own = {"i": P.contains("[A-M]", flags=re.I), "start": P.match("[aeiou]", flags=re.I)}
+    two = {"s": P.fullmatch(".*", flags=re.S), "dot": P.fullmatch(".*"), "m": P.contains("^[A-Z]", flags=re.M)}
+    return _suite(part, "p_partkey", "p_name", own).join(_suite(part, "p_partkey", "two", two), "p_partkey")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN contains(c_name, '1') END AS plain, coalesce(c_acctbal > 0 AND contains(c_name, '1'), false) AS no, c_acctbal <= 0 OR contains(c_name, '1') AS yes,
+  c_acctbal <= 0 AS gone, c_acctbal > 0 AS there FROM customer""")
+def pred_na_policy(spark, d):
+    df = table(spark, d, "customer").withColumn("t", F.when(F.col("c_acctbal") > 0, F.col("c_name")))
+    return _suite(df, "c_custkey", "t", {"plain": P.contains("1"), "no": P.contains("1", na=False), "yes": P.contains("1", na=True), "gone": P.isna(), "there": P.notnull()})
+
+
+@query("SELECT p_partkey, regexp_full_match(p_name, '[a-z ]*[a-z][a-z ]*') AS low, regexp_full_match(upper(p_brand), '.*[A-Z].*') AS up, regexp_full_match(p_size::VARCHAR, '[0-9]+') AS digits, false AS never FROM part")
+def pred_case_suite(spark, d):
+    part = table(spark, d, "part").withColumns({"u": F.upper("p_brand"), "s": F.col("p_size").cast("string")})
+    parts = [_suite(part, "p_partkey", "p_name", {"low": P.islower()}), _suite(part, "p_partkey", "u", {"up": P.isupper()}), _suite(part, "p_partkey", "s", {"digits": P.isdigit(), "never": P.never_match()})]
+    return parts[0].join(parts[1], "p_partkey").join(parts[2], "p_partkey")
+
+
+# Hop labels and slices
+
+WALK = """WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn FROM conversations), r AS (SELECT conv_id, turn FROM t WHERE turn = 0 UNION SELECT t.conv_id, t.turn FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn + 1) """
+
+
+def _first_turns(g):
+    return g.nodes.filter("turn = 0").select("id")
+
+
+@query(WALK + "SELECT conv_id || ':' || turn AS id, turn::INT AS hop FROM r WHERE turn BETWEEN 1 AND 3 OR turn = 0")
+def hop_node_labels(spark, d):
+    g = turns(spark, d)
+    return g.hop(_first_turns(g), hops=3, label_node_hops="hop", label_seeds=True).nodes.select("id", "hop")
+
+
+@query(WALK + "SELECT 'e' || conv_id || ':' || (turn - 1) AS eid, turn::INT AS hop FROM r WHERE turn BETWEEN 2 AND 3")
+def hop_output_slice(spark, d):
+    g = turns(spark, d)
+    return g.hop(_first_turns(g), hops=4, output_min_hops=2, output_max_hops=3, label_edge_hops="hop").edges.select("eid", "hop")
+
+
+@query(WALK + "SELECT conv_id || ':' || turn AS id FROM r WHERE turn BETWEEN 1 AND 2")
+def hop_wave_front(spark, d):
+    g = turns(spark, d)
+    return g.hop(_first_turns(g), return_as_wave_front=True, hops=2, direction="undirected").nodes.select("id")
+
+
+@query(WALK + "SELECT conv_id || ':' || turn AS id FROM r a WHERE turn IN (0, 3) AND EXISTS (FROM r b WHERE b.conv_id = a.conv_id AND b.turn = 3)")
+def hop_end_points(spark, d):
+    return turns(spark, d).chain([O.n({"turn": 0}), O.e_forward(min_hops=3, max_hops=3, prune_to_endpoints=True), O.n()]).nodes.select("id")
+
+
+# Temporal language
+
+text_query(
+    "temporal_columns", ["Order"], ["PLACED"],
+    "MATCH (o:Order) WHERE o.orderdate >= localdatetime('1995-03-01T00:00') AND o.orderdate < localdatetime('1995-01-01T00:00') + duration({months: 6}) RETURN o.key AS k, o.orderdate + duration('P1M2DT3H') AS later, o.orderdate - duration('P1Y') AS earlier, o.orderdate.year AS y",
+    "SELECT o_orderkey AS k, o_orderdate + INTERVAL 1 MONTH + INTERVAL 2 DAY + INTERVAL 3 HOUR AS later, o_orderdate - INTERVAL 1 YEAR AS earlier, year(o_orderdate)::BIGINT AS y FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-07-01'",
+)
+text_query(
+    "temporal_constants", ["Region"], ["IN_REGION"],
+    "MATCH (r:Region) RETURN r.key AS k, toString(duration.between(date('1984-10-11'), date('2015-06-24'))) AS a, toString(duration.inDays(date('1984-10-11'), date('2015-06-24'))) AS b, time('12:00') AS c, toString(datetime({year: 2015, month: 7, day: 21, hour: 21, timezone: 'Europe/Stockholm'})) AS d, "
+    "date.truncate('week', date('2017-11-11'), {dayOfWeek: 2}) AS e, toString(duration('P1M') * 1.5) AS f, duration('P1DT1H0.5S').nanosecondsOfSecond AS g, date('2024-01-31') + duration({months: 1}) AS h, localtime({hour: 12, minute: 31, millisecond: 645}) AS i, date({year: 1984, week: 10, dayOfWeek: 3}) AS j",
+    "SELECT r_regionkey::BIGINT AS k, 'P30Y8M13D' AS a, 'P11213D' AS b, '12:00Z' AS c, '2015-07-21T21:00+02:00[Europe/Stockholm]' AS d, DATE '2017-11-07' AS e, 'P1M15DT5H14M33S' AS f, 500000000::BIGINT AS g, DATE '2024-02-29' AS h, '12:31:00.645' AS i, DATE '1984-03-07' AS j FROM region",
+)
+
+# Row calls with patterns, graphs in texts
+
+PLACES = ([O.n({"label": "Customer", "acctbal": P.gt(9000)}, name="c"), O.e_forward({"type": "CUSTOMER_IN"}), O.n(name="n")], [O.n(name="n"), O.e_reverse({"type": "SUPPLIER_IN"}), O.n({"acctbal": P.gt(8000)}, name="s")])
+RICH = "(SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9000) c"
+HAS = "EXISTS (FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 8000)"
+
+
+def _places(spark, d, call):
+    g = commerce(spark, d, ["Customer", "Supplier", "Nation"], ["CUSTOMER_IN", "SUPPLIER_IN"])
+    return g.chain(O.to_json([O.rows(binding_ops=PLACES[0]), call]))
+
+
+@query(f"SELECT c_custkey AS k FROM {RICH} WHERE NOT {HAS}")
+def rows_anti_semi_apply(spark, d):
+    return _places(spark, d, O.anti_semi_apply(PLACES[1], ["n"])).select(F.col("`c.key`").alias("k"))
+
+
+@query(f"SELECT c_custkey AS k, {HAS} AS near FROM {RICH}")
+def rows_semi_apply_mark(spark, d):
+    return _places(spark, d, O.semi_apply_mark(PLACES[1], ["n"], "near")).select(F.col("`c.key`").alias("k"), "near")
+
+
+@query(f"SELECT c_custkey AS k, s_suppkey AS s FROM {RICH} JOIN supplier ON s_nationkey = c_nationkey WHERE s_acctbal > 8000")
+def rows_join_apply(spark, d):
+    return _places(spark, d, O.join_apply(PLACES[1], ["n"])).select(F.col("`c.key`").alias("k"), F.col("`s.key`").alias("s"))
+
+
+@query("SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def rows_alias_endpoints(spark, d):
+    g = commerce(spark, d, ["Nation", "Region"], ["IN_REGION"])
+    return g.chain([O.rows("edges", alias_endpoints={"a": "src", "b": "dst"}), O.select([("nation", "a.name"), ("region", "b.name")])])
+
+
+text_query(
+    "graph_constructor", ["Customer", "Order"], ["PLACED"], "GRAPH dear = GRAPH { MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 300000 AND c.acctbal > 0 } USE dear MATCH (c:Customer)-->(o) RETURN c.key AS k, count(*) AS n",
+    "SELECT c_custkey AS k, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000 AND c_acctbal > 0 GROUP BY 1",
+)
+text_query("not_exists_some", ["Customer", "Order"], ["PLACED"], "MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Order {status: 'P'}) RETURN c.key AS k", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+
+
+@query("SELECT 'n:' || n_nationkey AS id, ((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + 1)::INT AS degree FROM nation")
+def call_degree_write(spark, d):
+    return commerce(spark, d, ["Customer", "Nation", "Region"], ["CUSTOMER_IN", "IN_REGION"]).query("CALL graph.degree.write()").nodes.filter("label = 'Nation'").select("id", "degree")
+
+
+@query("SELECT n_regionkey AS region, string_agg(n_name, ',' ORDER BY n_name DESC) AS names, count(DISTINCT substr(n_name, 1, 3)) AS heads FROM nation GROUP BY 1")
+def collect_in_chain(spark, d):
+    g = Graph(edges=table(spark, d, "nation"), nodes=table(spark, d, "nation"), node="n_nationkey", src="n_nationkey", dst="n_regionkey")
+    out = g.chain([O.rows(), O.order_by([("n_name", "desc")]), O.group_by([("region", "n_regionkey")], [("names", "collect", "n_name"), ("heads", "collect_distinct", "substring(n_name, 0, 3)")])])
+    return out.select("region", F.array_join("names", ",").alias("names"), F.size("heads").cast("long").alias("heads"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer WHERE c_acctbal > 0)")
+def rows_distinct_count(spark, d):
+    g = Graph(edges=table(spark, d, "nation"), nodes=table(spark, d, "customer"), node="c_custkey")
+    return g.chain([O.rows(), O.where_rows(expr="c_acctbal > 0"), O.select(["c_custkey", "c_mktsegment", "c_nationkey"]), O.drop_cols(["c_custkey", "nope"]), O.distinct(), O.count_table("n")])
+
+
+@query("SELECT NULL::BIGINT AS c_custkey")
+def rows_fill_empty(spark, d):
+    g = Graph(edges=table(spark, d, "nation"), nodes=table(spark, d, "customer"), node="c_custkey")
+    return g.chain([O.rows(), O.where_rows(expr="c_custkey < 0"), O.select(["c_custkey"]), O.fill_empty_row()])
+
+
+# Algorithms
+
+RING = "SELECT DISTINCT (o_custkey * 7 + 3) % 60 AS src, (o_custkey * o_custkey + 11) % 60 AS dst FROM orders WHERE o_custkey % 3 = 0"
+STARS = "(SELECT n_nationkey AS n, n_regionkey AS r, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS k FROM nation)"
+
+
+def _ring(spark, d):
+    """A graph of at most 60 nodes with cycles."""
+    c = F.col("o_custkey")
+    return Graph(edges=table(spark, d, "orders").filter("o_custkey % 3 = 0").select(((c * 7 + 3) % 60).alias("src"), ((c * c + 11) % 60).alias("dst")).distinct())
+
+
+@query(f"""WITH RECURSIVE e AS ({RING}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), reach AS (SELECT id AS a, id AS b FROM v UNION SELECT a, dst FROM reach JOIN e ON b = src)
+  SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1""")
+def strong_components_cyclic(spark, d):
+    return A.strongly_connected_components(_ring(spark, d))
+
+
+DISTANCES = f"""WITH RECURSIVE o AS ({RING}), e AS (SELECT src AS u, dst AS v FROM o UNION SELECT dst, src FROM o), n AS (SELECT u AS id FROM e UNION SELECT v FROM e),
+  w AS (SELECT id AS s, id AS t, 0 AS h FROM n UNION SELECT s, v, h + 1 FROM w JOIN e ON t = u WHERE h < 20), d AS (SELECT s, t, min(h) AS h FROM w GROUP BY 1, 2) """
+
+
+@query(DISTANCES + "SELECT s AS id, max(h)::BIGINT AS eccentricity FROM d GROUP BY 1")
+def eccentricities(spark, d):
+    return A.eccentricity(_ring(spark, d))
+
+
+@query(DISTANCES + "SELECT s AS id, round(coalesce((count(*) FILTER (h > 0))::DOUBLE / nullif(sum(h), 0) * (count(*) FILTER (h > 0)) / ((SELECT count(*) FROM n) - 1), 0), 9) AS closeness FROM d GROUP BY 1")
+def closeness(spark, d):
+    return A.closeness_centrality(_ring(spark, d), "closeness").withColumn("closeness", F.round("closeness", 9))
+
+
+@query(DISTANCES + "SELECT s AS id, round(coalesce(sum(1.0::DOUBLE / h) FILTER (h > 0), 0) / ((SELECT count(*) FROM n) - 1), 9) AS harmonic FROM d GROUP BY 1")
+def harmonic(spark, d):
+    return A.harmonic_centrality(_ring(spark, d), "harmonic").withColumn("harmonic", F.round("harmonic", 9))
+
+
+@query(f"""WITH b AS (SELECT *, sum(k + 1) OVER (PARTITION BY r) + 1 AS s FROM {STARS}), v AS (SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM nation) AS n)
+  SELECT 'n:' || n AS src, 'r:' || r AS dst, round((k + 1) * (s - k - 1) / (v.n * (v.n - 1) / 2.0::DOUBLE), 12) AS share FROM b, v
+  UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey, round((s - 1) / (v.n * (v.n - 1) / 2.0::DOUBLE), 12) FROM supplier JOIN b ON b.n = s_nationkey, v""")
+def edge_betweenness(spark, d):
+    g = commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"])
+    g = g.replace(nodes=None)
+    return A.edge_betweenness_centrality(g, "share").withColumn("share", F.round("share", 12))
+
+
+@query(f"""WITH b AS (SELECT *, sum(k + 1) OVER (PARTITION BY r) + 1 AS s FROM {STARS}), v AS (SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM nation) AS n)
+  SELECT 'n:' || b.n AS id, round(((s - 1) * (s - 2) / 2 - (s - k - 1) * (s - k - 2) / 2) * 2 / ((v.n - 1) * (v.n - 2))::DOUBLE, 12) AS share FROM b, v
+  UNION ALL SELECT 'r:' || r, round((any_value((s - 1) * (s - 2) / 2) - sum((k + 1) * k / 2)) * 2 / any_value((v.n - 1) * (v.n - 2))::DOUBLE, 12) FROM b, v GROUP BY r""")
+def betweenness(spark, d):
+    g = commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"]).replace(nodes=None)
+    return A.betweenness_centrality(g, "share").filter("id NOT LIKE 's:%'").withColumn("share", F.round("share", 12))
+
+
+@query(f"WITH b AS (SELECT * FROM {STARS}) SELECT 'r:0' AS src, 'n:' || n AS dst FROM b WHERE r = 0 UNION ALL SELECT 'n:' || n, 's:' || s_suppkey FROM b JOIN supplier ON s_nationkey = n WHERE r = 0")
+def bfs_tree(spark, d):
+    return A.bfs_edges(commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"]), "r:0", directed=False)
+
+
+NEAR = """WITH e AS (SELECT 's:' || s_suppkey AS a, 'n:' || s_nationkey AS b FROM supplier UNION SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d AS (SELECT a, count(*) AS n FROM u GROUP BY 1)
+  SELECT x.a AS src, y.a AS dst, round({0}, 12) AS {1} FROM u x JOIN u y ON x.b = y.b AND x.a < y.a JOIN d dx ON dx.a = x.a JOIN d dy ON dy.a = y.a GROUP BY 1, 2"""
+
+
+@query(NEAR.format("count(*)::DOUBLE / least(any_value(dx.n), any_value(dy.n))", "overlap_coeff"))
+def overlap_suppliers(spark, d):
+    return A.overlap(commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"])).withColumn("overlap_coeff", F.round("overlap_coeff", 12))
+
+
+@query(NEAR.format("2 * count(*)::DOUBLE / (any_value(dx.n) + any_value(dy.n))", "sorensen_coeff"))
+def sorensen_suppliers(spark, d):
+    return A.sorensen(commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"])).withColumn("sorensen_coeff", F.round("sorensen_coeff", 12))
+
+
+@query("SELECT 's:' || a.s_suppkey AS src, 's:' || b.s_suppkey AS dst, 1::BIGINT AS bibcoupling FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND 's:' || a.s_suppkey < 's:' || b.s_suppkey")
+def bibcoupled(spark, d):
+    return A.bibcoupling(commerce(spark, d, ["Supplier", "Nation"], ["SUPPLIER_IN"]))
+
+
+@query("SELECT 'r:0' AS id UNION ALL SELECT 'n:' || n_nationkey FROM nation WHERE n_regionkey = 0")
+def ego(spark, d):
+    return A.ego_graph(_nations(spark, d), "r:0", 1).nodes.select("id")
+
+
+@query("SELECT 'n:' || n_nationkey AS id, round(((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + 1)::DOUBLE / ((SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) - 1), 12) AS share FROM nation")
+def degree_shares(spark, d):
+    g = commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"])
+    return A.degree_centrality(g, "share").filter("id LIKE 'n:%'").withColumn("share", F.round("share", 12))
+
+
+@query("SELECT 'IN_REGION:' || n_nationkey AS eid, CASE WHEN n_name LIKE '%1%' AND n_regionkey % 2 = 1 THEN 2.0 ELSE 0.3 END::DOUBLE AS weight FROM nation")
+def modularity_weights(spark, d):
+    g = commerce(spark, d, ["Nation", "Region"], ["IN_REGION"])
+    group = F.when(F.col("label") == "Region", F.col("key") % 2).otherwise(F.when(F.col("name").contains("1"), 1).otherwise(2))
+    return T.modularity_weighted_layout(g.replace(nodes=g.nodes.withColumn("g", group)), "g").edges.select("eid", "weight")
+
+
+@query("SELECT DISTINCT 'who::' || user_id AS \"nodeID\", 'who' AS type FROM events UNION SELECT 'who::' || event_type, 'who' FROM events UNION SELECT event_id::VARCHAR, 'EventID' FROM events")
+def hypergraph_categories(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    out = T.hypergraph_of(Graph(edges=e), event_id="event_id", opts={"CATEGORIES": {"who": ["user_id", "event_type"]}})
+    return out.nodes.select("nodeID", "type").distinct()
+
+
+@query()
+def louvain(spark, d):
+    return A.louvain(_ring(spark, d))
+
+
+
 def entry(spark: SparkSession, folder: str) -> DataFrame:
     return QUERIES["commerce_segments"](spark, folder)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.plans.storage import cut
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,9 +23,9 @@ def _node(df: DataFrame, prefix: str, label: str, id_column: str, **columns: str
 
 
 def _edge(df: DataFrame, kind: str, src: tuple[str, str], dst: tuple[str, str], unique: str | None) -> DataFrame:
-    eid = F.concat(F.lit(f"{kind}:"), F.col(unique).cast("string")) if unique else F.concat(F.lit(f"{kind}:"), F.monotonically_increasing_id())
-    out = df.select(eid.alias("eid"), key(*src).alias("src"), key(*dst).alias("dst"), F.lit(kind).alias("type"))
-    return out if unique else cut(out)  # an id that isn't in the data is made once
+    """Edges of a table; without a unique column the id is a hash of the whole row, so that nothing is written before a filter."""
+    eid = F.col(unique) if unique else F.xxhash64(*df.columns)
+    return df.select(F.concat(F.lit(f"{kind}:"), eid.cast("string")).alias("eid"), key(*src).alias("src"), key(*dst).alias("dst"), F.lit(kind).alias("type"))
 
 
 NODES = {
