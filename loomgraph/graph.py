@@ -190,7 +190,9 @@ class Graph:
         return frame
 
     def query(self, text: str | list | dict, params: dict[str, Any] | None = None, where=None):
-        """A chain, or a query text (``MATCH ... RETURN ...``) to its rows."""
+        """A chain, named steps (``{"type": "Let", ...}``), or a query text (``MATCH ... RETURN ...``) to its rows."""
+        if isinstance(text, dict) and text.get("type") == "Let":
+            return self.let({name: O.step_from_json(step) for name, step in text["bindings"].items()}, text.get("output"))
         if not isinstance(text, str):
             return self.chain(text, where)
         from loomgraph.plans.cypher import run

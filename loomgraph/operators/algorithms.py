@@ -77,13 +77,15 @@ def pagerank(g, out: str = "pagerank", alpha: float = 0.85, tol: float = 1e-6, m
         total = personalization.agg(F.sum(personalization.columns[1])).first()[0]
         given = personalization.toDF("id", "w")
         state = nodes.join(given, "id", "left").select("id", (F.coalesce("w", F.lit(0)) / total).alias("reset"))
-    state = state.join(degree.select(F.col("u").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("value", F.lit(1.0 / n))
+    state = cut(state.join(degree.select(F.col("u").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("value", F.lit(1.0 / n)))
+    lost = state.filter("out IS NULL").count() / n
     for _ in range(most):
-        lost = state.filter("out IS NULL").agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
         flow = edges.join(state.select(F.col("id").alias("u"), "value"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("value") / F.col("d")).alias("got"))
         new = alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("reset")) + (1 - alpha) * F.col("reset")
         state = cut(state.join(flow, "id", "left").select("id", "reset", "out", F.col("value").alias("old"), new.alias("value")))
-        if state.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0] < n * tol:
+        # One pass for the change and for the next round's mass of nodes without a way out.
+        change, lost = state.agg(F.sum(F.abs(F.col("value") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("value"))), F.lit(0.0))).first()
+        if change < n * tol:
             break
     else:
         _unsettled("pagerank", most)
@@ -91,7 +93,7 @@ def pagerank(g, out: str = "pagerank", alpha: float = 0.85, tol: float = 1e-6, m
 
 
 def hits(g, hub: str = "hub", authority: str = "authority", tol: float = 1e-8, most: int = 100) -> DataFrame:
-    """Hub and authority scores, each with the sum 1; stotals where the hubs change by less than ``tol`` in L1."""
+    """Hub and authority scores, each with the sum 1; stops where the hubs change by less than ``tol`` in L1."""
     edges, nodes = cut(pairs(g)), vertices(g)
     n = nodes.count() or 1
     state = cut(nodes.withColumn("h", F.lit(1.0 / n)))

@@ -222,6 +222,13 @@ def from_json(data: dict[str, Any]) -> list[Any]:
     return out
 
 
+def step_from_json(data: dict[str, Any]) -> Any:
+    """A named step: a chain, one operation, or (``Ref``) a chain on an earlier step's graph."""
+    if data["type"] == "Ref":
+        return "ref", data["ref"], from_json({"chain": data.get("chain", [])})
+    return from_json(data if data["type"] == "Chain" else {"chain": [data]})
+
+
 def check(ops: list[Any], g=None) -> None:
     """Raises for a chain that can't run: unknown calls, bounds that aren't ranges, adjacent matchers, and columns that ``g`` lacks."""
     from loomgraph.operators.registry import known

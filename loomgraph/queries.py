@@ -413,8 +413,8 @@ text_query(
 text_query(
     "temporal_constants", ["Region"], ["IN_REGION"],
     "MATCH (r:Region) RETURN r.key AS k, toString(duration.between(date('1984-10-11'), date('2015-06-24'))) AS a, toString(duration.inDays(date('1984-10-11'), date('2015-06-24'))) AS b, time('12:00') AS c, toString(datetime({year: 2015, month: 7, day: 21, hour: 21, timezone: 'Europe/Stockholm'})) AS d, "
-    "date.truncate('week', date('2017-11-11'), {dayOfWeek: 2}) AS e, toString(duration('P1M') * 1.5) AS f, duration('P1DT1H0.5S').nanosecondsOfSecond AS g, date('2024-01-31') + duration({months: 1}) AS h, localtime({hour: 12, minute: 31, millisecond: 645}) AS i, date({year: 1984, week: 10, dayOfWeek: 3}) AS j",
-    "SELECT r_regionkey::BIGINT AS k, 'P30Y8M13D' AS a, 'P11213D' AS b, '12:00Z' AS c, '2015-07-21T21:00+02:00[Europe/Stockholm]' AS d, DATE '2017-11-07' AS e, 'P1M15DT5H14M33S' AS f, 500000000::BIGINT AS g, DATE '2024-02-29' AS h, '12:31:00.645' AS i, DATE '1984-03-07' AS j FROM region",
+    "toString(date.truncate('week', date('2017-11-11'), {dayOfWeek: 2})) AS e, toString(duration('P1M') * 1.5) AS f, duration('P1DT1H0.5S').nanosecondsOfSecond AS g, toString(date('2024-01-31') + duration({months: 1})) AS h, localtime({hour: 12, minute: 31, millisecond: 645}) AS i, toString(date({year: 1984, week: 10, dayOfWeek: 3})) AS j",
+    "SELECT r_regionkey::BIGINT AS k, 'P30Y8M13D' AS a, 'P11213D' AS b, '12:00Z' AS c, '2015-07-21T21:00+02:00[Europe/Stockholm]' AS d, '2017-11-07' AS e, 'P1M15DT5H14M33S' AS f, 500000000::BIGINT AS g, '2024-02-29' AS h, '12:31:00.645' AS i, '1984-03-07' AS j FROM region",
 )
 
 # Row calls with patterns, graphs in texts
@@ -519,7 +519,7 @@ def harmonic(spark, d):
 
 
 @query(f"""WITH b AS (SELECT *, sum(k + 1) OVER (PARTITION BY r) + 1 AS s FROM {STARS}), v AS (SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM nation) AS n)
-  SELECT 'n:' || n AS src, 'r:' || r AS dst, round((k + 1) * (s - k - 1) / (v.n * (v.n - 1) / 2.0::DOUBLE), 12) AS share FROM b, v
+  SELECT 'n:' || b.n AS src, 'r:' || r AS dst, round((k + 1) * (s - k - 1) / (v.n * (v.n - 1) / 2.0::DOUBLE), 12) AS share FROM b, v
   UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey, round((s - 1) / (v.n * (v.n - 1) / 2.0::DOUBLE), 12) FROM supplier JOIN b ON b.n = s_nationkey, v""")
 def edge_betweenness(spark, d):
     g = commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"])

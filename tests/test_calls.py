@@ -128,3 +128,8 @@ def test_paths_and_communities(g):
         got = dict(rows(run(g), "id", "community"))
         assert len({got[0], got[1], got[2]}) == 1 and got[3] == got[4] == got[5] != got[0]
     assert A.modularity(g, A.louvain(g)) > 0.3
+
+
+def test_named_steps_on_the_wire(g):
+    wire = {"type": "Let", "bindings": {"late": {"type": "Chain", "chain": [{"type": "Node", "filter_dict": {"v": {"type": "GE", "val": 1}}}, {"type": "Edge", "direction": "forward"}, {"type": "Node"}]}, "ends": {"type": "Ref", "ref": "late", "chain": [{"type": "Node", "filter_dict": {"kind": "a"}}]}}}
+    assert rows(g.query(wire).nodes, "id") == [(0,), (2,), (4,)]
