@@ -31,6 +31,14 @@ class Graph:
     node: str = "id"
     edge: str | None = None
     settings: dict[str, Any] | None = None
+    policy: dict[str, Callable] | None = None
+
+    def checked(self, phase: str, **context: Any) -> None:
+        """Calls the policy's function for a phase (``prechain``, ``postcall`` and so on), or that for its ``pre`` or ``post``; one that raises stops the query."""
+        for name in (phase, "pre" if phase.startswith("pre") else "post"):
+            if self.policy and name in self.policy:
+                self.policy[name]({"phase": phase, "graph": self, **context})
+                return
 
     def replace(self, **changes) -> Graph:
         return dataclasses.replace(self, **changes)
@@ -154,6 +162,7 @@ class Graph:
         from loomgraph.plans.bindings import same_path
 
         ops = O.from_json(ops) if isinstance(ops, dict) else list(ops)
+        self.checked("prechain", ops=ops)
         split = next((i for i, op in enumerate(ops) if isinstance(op, O.Call)), len(ops))
         steps, calls = ops[:split], ops[split:]
         g = (same_path(self, steps, where) if where else traverse(self, steps)) if steps else self
@@ -161,6 +170,7 @@ class Graph:
         for call in calls:
             if not isinstance(call, O.Call):
                 raise GraphError("a matcher can't follow a row call")
+            self.checked("precall", function=call.function, params=call.params)
             if call.function == "rows":
                 frame = self._rows(g, call.params)
                 if source := call.params.get("source"):
@@ -173,7 +183,10 @@ class Graph:
                 from loomgraph.operators.registry import run
 
                 g = run(g, call.function, call.params)
-        return g if frame is None else frame
+            self.checked("postcall", function=call.function, result=g if frame is None else frame)
+        out = g if frame is None else frame
+        self.checked("postchain", result=out)
+        return out
 
     def _rows(self, g: Graph, params: dict[str, Any]) -> DataFrame:
         """The table that a ``rows`` call begins: nodes or edges, bindings of matchers, or edges with the nodes at their ends."""
@@ -197,7 +210,10 @@ class Graph:
             return self.chain(text, where)
         from loomgraph.plans.cypher import run
 
-        return run(self, text, params)
+        self.checked("precompile", text=text)
+        out = run(self, text, params)
+        self.checked("postcompile", result=out)
+        return out
 
     def validate(self, query: str | list | dict, params: dict[str, Any] | None = None, strict: bool = True) -> list[dict[str, str]]:
         """The problems of a chain or a query text, without running it: code and message of each; ``strict``: unknown columns too."""
@@ -220,6 +236,7 @@ class Graph:
 
     def let(self, bindings: dict[str, Any], output: str | None = None):
         """Named steps: each is a chain, ``("ref", name, chain)`` on an earlier step, or a function of (results); lazily, in order of need."""
+        self.checked("prelet", bindings=bindings)
         done: dict[str, Any] = {}
 
         def need(name: str, above: tuple[str, ...] = ()):
@@ -238,7 +255,9 @@ class Graph:
 
         for name in bindings:
             need(name)
-        return done[output or list(bindings)[-1]]
+        out = done[output or list(bindings)[-1]]
+        self.checked("postlet", result=out)
+        return out
 
     def node_query(self, query: str) -> Graph:
         return self.replace(nodes=query_filter(self.with_nodes().nodes, query))

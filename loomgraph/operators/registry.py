@@ -17,7 +17,7 @@ METHODS = ("get_degrees", "get_indegrees", "get_outdegrees", "filter_nodes_by_di
 LAYOUTS = {f.__name__: f for f in (T.circle_layout, T.ring_continuous_layout, T.ring_categorical_layout, T.time_ring_layout, T.mercator_layout, T.tree_layout)}
 #: Engines that algorithms are asked of by name; all run here.
 ENGINES = ("compute", "compute_igraph", "compute_cugraph", "compute_networkx")
-GRAPHS = {"get_topological_levels": lambda g, level_col="level", **k: T.topological_levels(g, level_col, **k), "collapse": T.collapse, "hypergraph": lambda g, entity_types=None, **k: T.hypergraph_of(g, entity_types, **k), "modularity_weighted_layout": T.modularity_weighted_layout, **LAYOUTS, **ENCODINGS}
+GRAPHS = {"get_topological_levels": lambda g, level_col="level", **k: T.topological_levels(g, level_col, **k), "collapse": T.collapse, "hypergraph": lambda g, entity_types=None, **k: T.hypergraph_of(g, entity_types, **k), "conditional_graph": T.conditional_graph, "modularity_weighted_layout": T.modularity_weighted_layout, **LAYOUTS, **ENCODINGS}
 
 
 def known(function: str) -> bool:

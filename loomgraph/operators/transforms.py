@@ -116,6 +116,14 @@ def conditional_probs(df: DataFrame, x: str, given: str) -> DataFrame:
     return counts.withColumn("probs", F.col("n") / F.sum("n").over(Window.partitionBy(given))).drop("n")
 
 
+def conditional_graph(g, x: str, given: str, kind: str = "nodes") -> Graph:
+    """A graph of values: an edge given -> x for each pair of values of two columns, with p(x | given)."""
+    table = g.with_nodes().nodes if kind == "nodes" else g.edges
+    probs = conditional_probs(table, x, given).filter(F.col(f"`{x}`").isNotNull() & F.col(f"`{given}`").isNotNull())
+    edges = probs.select(F.col(f"`{given}`").cast("string").alias("src"), F.col(f"`{x}`").cast("string").alias("dst"), "probs")
+    return Graph(edges=edges).materialize_nodes()
+
+
 def drop_orphans(g) -> Graph:
     ends = pairs(g).select(F.explode(F.array("u", "v")).alias(g.node)).distinct()
     return g.replace(nodes=g.with_nodes().nodes.join(ends, g.node, "left_semi"))

@@ -133,3 +133,22 @@ def test_paths_and_communities(g):
 def test_named_steps_on_the_wire(g):
     wire = {"type": "Let", "bindings": {"late": {"type": "Chain", "chain": [{"type": "Node", "filter_dict": {"v": {"type": "GE", "val": 1}}}, {"type": "Edge", "direction": "forward"}, {"type": "Node"}]}, "ends": {"type": "Ref", "ref": "late", "chain": [{"type": "Node", "filter_dict": {"kind": "a"}}]}}}
     assert rows(g.query(wire).nodes, "id") == [(0,), (2,), (4,)]
+
+
+def test_policies(g):
+    seen = []
+    ruled = g.replace(policy={"pre": lambda c: seen.append(c["phase"]), "postchain": lambda c: seen.append(c["phase"])})
+    ruled.chain([O.n({"v": 1}), O.rows(), O.limit(1)])
+    ruled.query("MATCH (a) RETURN a.id AS i")
+    assert seen == ["prechain", "precall", "precall", "postchain", "precompile"]
+
+    def deny(context):
+        raise GraphError(f"{context['function']} isn't allowed")
+
+    with pytest.raises(GraphError, match="limit"):
+        g.replace(policy={"precall": lambda c: deny(c) if c["function"] == "limit" else None}).chain([O.rows(), O.limit(1)])
+
+
+def test_conditional_graph(g):
+    out = g.chain([O.call("conditional_graph", {"x": "id", "given": "kind"})])
+    assert {(r.src, r.dst): round(r.probs, 6) for r in out.edges.collect()} == {("ab"[i % 2], str(i)): round(1 / 3, 6) for i in range(6)}
