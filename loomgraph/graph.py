@@ -87,11 +87,11 @@ class Graph:
 
     # Subgraphs
 
-    def filter_nodes_by_dict(self, filters: dict[str, Any]) -> Graph:
-        return self.replace(nodes=filter_by_dict(self.with_nodes().nodes, filters))
+    def filter_nodes_by_dict(self, filter_dict: dict[str, Any]) -> Graph:
+        return self.replace(nodes=filter_by_dict(self.with_nodes().nodes, filter_dict))
 
-    def filter_edges_by_dict(self, filters: dict[str, Any]) -> Graph:
-        return self.replace(edges=filter_by_dict(self.edges, filters))
+    def filter_edges_by_dict(self, filter_dict: dict[str, Any]) -> Graph:
+        return self.replace(edges=filter_by_dict(self.edges, filter_dict))
 
     def _chosen(self, nodes) -> DataFrame:
         g = self.with_nodes()

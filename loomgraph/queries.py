@@ -584,6 +584,52 @@ def hypergraph_categories(spark, d):
     return out.nodes.select("nodeID", "type").distinct()
 
 
+@query("SELECT 'n:' || n_nationkey AS id, round(6378137.0::DOUBLE * radians(n_nationkey * 5), 3) AS x, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(n_nationkey - 10) / 2)), 3) + 0.0 AS y FROM nation")
+def mercator(spark, d):
+    g = commerce(spark, d, ["Nation"], ["IN_REGION"])
+    g = g.replace(nodes=g.nodes.withColumns({"latitude": F.col("key") - 10, "longitude": F.col("key") * 5}))
+    return T.mercator_layout(g).nodes.select("id", F.round("x", 3).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations), s AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t),
+  l AS (SELECT conv_id || ':' || turn AS id, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level FROM s)
+  SELECT id, ((row_number() OVER (PARTITION BY level ORDER BY id) - 1) * 100.0)::DOUBLE AS x, (0 - level * 100.0)::DOUBLE AS y FROM l""")
+def tree(spark, d):
+    return T.tree_layout(turns(spark, d)).nodes.select("id", "x", (F.col("y") + 0.0).alias("y"))
+
+
+@query(WALK + "SELECT conv_id || ':' || turn AS id, (2 * turn)::DOUBLE AS distance FROM r WHERE conv_id = (SELECT min(conv_id) FROM conversations WHERE turn = 0)")
+def sssp_turns(spark, d):
+    g = turns(spark, d)
+    first = g.nodes.filter("turn = 0").agg(F.min("conv_id")).first()[0]
+    return A.sssp(g.replace(edges=g.edges.withColumn("w", F.lit(2.0))), f"{first}:0", "w")
+
+
+@query("SELECT o_orderkey AS k FROM orders WHERE o_orderpriority ILIKE '%urgent%' OR o_orderstatus ILIKE '%urgent%'")
+def search_edges(spark, d):
+    e = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    return Graph(edges=e, src="o_custkey", dst="o_orderkey").search_edges("urgent", columns=["o_orderpriority", "o_orderstatus"]).edges.select(F.col("o_orderkey").alias("k"))
+
+
+@query("SELECT 'n:' || n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey)::INT AS degree_in FROM nation WHERE n_nationkey >= 10")
+def call_filters(spark, d):
+    g = commerce(spark, d, ["Customer", "Nation"], ["CUSTOMER_IN"])
+    out = g.chain([O.call("get_indegrees", {}), O.call("filter_nodes_by_dict", {"filter_dict": {"label": "Nation", "key": P.ge(10)}})])
+    return out.nodes.select("id", "degree_in")
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def parameters(spark, d):
+    return commerce(spark, d, ["Customer"], ["CUSTOMER_IN"]).query("MATCH (c:Customer) WHERE c.acctbal > $low AND c.segment IN $segments RETURN c.key AS k", {"low": 5000, "segments": ["BUILDING", "MACHINERY"]})
+
+
+text_query(
+    "language_suite", ["Nation", "Region"], ["IN_REGION"],
+    "MATCH (n:Nation)-[e]->(r) RETURN n.key AS k, 3 < n.key < 9 AS c, CASE WHEN n.key > 5 THEN null ELSE n.key END IS NULL AS z, 0x1F + n.key AS h, size([1, 2, 3, 4][1..3]) + size([1, 2][..-1]) AS s, toInteger('7') AS t, type(e) AS y, toInteger('x') IS NULL AS u, n = n AS same, [n.key, 1] = [n.key, 1] AS l",
+    "SELECT n_nationkey::BIGINT AS k, n_nationkey > 3 AND n_nationkey < 9 AS c, n_nationkey > 5 AS z, (31 + n_nationkey)::BIGINT AS h, 3::BIGINT AS s, 7::BIGINT AS t, 'IN_REGION' AS y, true AS u, true AS same, true AS l FROM nation",
+)
+
+
 @query()
 def louvain(spark, d):
     return A.louvain(_ring(spark, d))
