@@ -64,3 +64,12 @@ def test_no_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
         assert out.count() == 0, name
+
+
+def test_drivers_freed_memory_goes_back(spark, tmp_path, monkeypatch):
+    """After each table that is cut or written, the driver's JVM is told to, and can."""
+    told = []
+    real = common.trim_driver
+    monkeypatch.setattr(common, "trim_driver", lambda s: told.append(real(s)))
+    assert common.cut(spark.range(3)).count() == common.written(spark.range(3), str(tmp_path / "t")).count() == 3
+    assert told == [True, True]
