@@ -106,6 +106,22 @@ def test_class_probabilities_sum_to_one():
     assert np.sum(2.0 ** -mixer.class_bits(batch)) == pytest.approx(1, abs=1e-5)
 
 
+def test_places_in_a_class_are_mixed():
+    """A word's place in a shared class follows its context; its words' probabilities sum to one."""
+    own = [(f"w{i}".encode(), 1000) for i in range(context_mixing.OWN)]
+    words = [b"aaing", b"bbing", b"ccing", b"dding"]  # one class
+    head = context_mixing.Head([*own, (b"", 500), *((w, 100) for w in words)], 200_000, 200)
+    tables = context_mixing.Tables(16)
+    tables.learn(head.read([b"w1 aaing", b"w2 bbing", b"w3 ccing", b"w4 dding"] * 100))
+    mixer = context_mixing.Mixer(context_mixing.stretched(tables.plain), [context_mixing.stretched(t) for t in tables.counts], 16)
+    cost = {w: mixer.class_bits(head.read([b"w1 " + w]))[0] for w in words}
+    assert all(cost[w] > cost[b"aaing"] + 2 for w in words[1:])
+    sums = [sum(2.0 ** -b for b in mixer._lanes(head.read([w for w in words]), np.arange(4) * 2, np.ones(4, int)))]
+    one = mixer._lanes(batch := head.read([b"aaing"]), np.zeros(1, int), np.ones(1, int))[0]
+    batch.numbers = np.full(2, len(head.number))  # its class alone
+    assert sums[0] == pytest.approx(2.0 ** -mixer._lanes(batch, np.zeros(1, int), np.ones(1, int))[0], rel=1e-4) and one > 0
+
+
 def test_scores_of_odd_rows(docs):
     rows = docs([*ODD, (None, "one")])
     got = {r.doc_id: r for r in context_mixing.score(rows, docs([(9, "one two"), (10, "one")]), bits=12).collect()}
