@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     edges = common.cut(verified(common.cut(pairs), texts, shingle, num, den).unionByName(same_id))
     component = connected(edges)
     rest = members.filter("size > 2 AND rep != hub").select("key", "rep", "n").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    rest = common.cut(rest)  # read three times below; the join would be made as often
     split = rest.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("key")
     rest = common.cut(common.joined_by_hot_key(rest, split, "key", hot))
     pairs = common.cut(by_prefix(rest, texts, shingle, num, den, hot))

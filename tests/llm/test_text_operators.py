@@ -303,6 +303,15 @@ def test_a_hot_group_is_one_component(docs, monkeypatch):
     assert [(i, c) for i, _, c, _ in sorted(got)] == [(i, c) for i, (_, c) in sorted(want.items())]
 
 
+def test_members_meet_their_components_once(docs, monkeypatch):
+    lefts, join = [], near_dedup.common.joined_by_hot_key
+    monkeypatch.setattr(near_dedup.common, "joined_by_hot_key", lambda left, *a: lefts.append(left) or join(left, *a))
+    own = [f"w{i}" for i in range(80)]
+    near(docs([" ".join([*own[:i], f"x{i}", *own[i + 1 :]]) for i in range(9)]))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in lefts if x.columns == ["rep", "key", "n", "c"]]
+    assert plans and not any("Join" in p for p in plans)  # rows that are kept, not a join that each reader makes anew
+
+
 def test_super_minhash_estimates_similarity():
     r = np.random.default_rng(1)
     both, a, b = (r.integers(1, 1 << 62, n).astype(np.uint64) for n in (600, 200, 200))
