@@ -122,6 +122,18 @@ def test_places_in_a_class_are_mixed():
     assert sums[0] == pytest.approx(2.0 ** -mixer._lanes(batch, np.zeros(1, int), np.ones(1, int))[0], rel=1e-4) and one > 0
 
 
+def test_nodes_of_four_bits_share_a_block():
+    """So that they lie in few lines of the cache; nodes of one block have slots of their own."""
+    code, contexts = np.arange(256).astype(np.uint64), [np.full(256, 77, np.uint64), np.full(256, 1 << 63, np.uint64)]
+    for begin in (0, 4):
+        steps = list(context_mixing.class_slots(code, contexts, 16))[begin : begin + 4]
+        for t in range(2):
+            slot = np.stack([own[t] for _, _, own in steps])
+            assert (slot >> 4 == slot[0] >> 4).all() and slot.min() >= 0 and slot.max() < 1 << 16
+            assert all(len(set(x)) == 4 for x in slot.T.tolist())
+    assert all(len({(int(n), int(x)) for n, x in zip(node, own[0], strict=True)}) == len(set(node.tolist())) for node, _, own in context_mixing.class_slots(code, contexts, 16))
+
+
 def test_scores_of_odd_rows(docs):
     rows = docs([*ODD, (None, "one")])
     got = {r.doc_id: r for r in context_mixing.score(rows, docs([(9, "one two"), (10, "one")]), bits=12).collect()}
