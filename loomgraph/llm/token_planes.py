@@ -23,7 +23,6 @@ import uuid
 import zlib
 from base64 import b64decode, b64encode
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 from operator import add
 
 import numpy as np
@@ -178,6 +177,18 @@ class WholeEncoder:
             begin = end
 
 
+class Pieces(dict):
+    """Ids of words; a word that is looked up for the first time is noted in ``new`` and has its number there for now."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.new)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of whole texts, through a bounded cache of white-space separated pieces.
 
@@ -191,7 +202,7 @@ class WordEncoder:
     PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
 
     def __init__(self, tokenizer, suffix: str):
-        self.tokenizer, self.cache, self.parts = tokenizer, {}, {}
+        self.tokenizer, self.cache, self.parts = tokenizer, Pieces(), {}
         names = tokenizer.get_vocab()
         self.last = np.zeros(max(names.values(), default=0) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith(suffix)]] = True
@@ -217,7 +228,11 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         plain, letters, marks, other = [], [], [], []
         for word in words:
-            if found := self.PLAIN.fullmatch(word.decode()):
+            if word.isalpha():  # ASCII letters alone, as bytes
+                plain.append(word)
+                letters.append(word.lower().decode())
+                marks.append("")
+            elif found := self.PLAIN.fullmatch(word.decode()):
                 plain.append(word)
                 letters.append(found[1].lower())
                 marks.append(found[2])
@@ -242,14 +257,23 @@ class WordEncoder:
             while end < len(texts) and size < at_once:
                 size += len(texts[end])
                 end += 1
-            split = [t.split() for t in texts[begin:end]]
-            if missing := set(filterfalse(self.cache.__contains__, chain.from_iterable(split))):
-                if len(self.cache) + len(missing) > CACHE_WORDS:
-                    self.cache.clear()
-                    missing = set().union(*split)
-                self._learn(list(missing))
-            for own in split:
-                yield b"".join(map(self.cache.__getitem__, own))
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            # One look-up a word: the cache is larger than the processor's.
+            cache, get = self.cache, self.cache.__getitem__
+            try:
+                found = [list(map(get, t.split())) for t in texts[begin:end]]
+                if cache.new:
+                    self._learn(cache.new)
+            except BaseException:  # no number may stay for a word's ids
+                cache.clear()
+                cache.new = []
+                raise
+            late, cache.new = list(map(get, cache.new)), []
+            for own in found:
+                if late:
+                    own = [x if x.__class__ is bytes else late[x] for x in own]
+                yield b"".join(own)
             begin = end
 
 

@@ -280,6 +280,38 @@ def test_word_ids_are_those_of_whole_texts(texts):
     assert got == [encoded(t)[:-1] for t in texts]
 
 
+def test_a_word_is_looked_up_once(monkeypatch):
+    import public_tokenizers
+
+    class Counting(token_planes.Pieces):
+        looked = 0
+
+        def __getitem__(self, word):
+            self.looked += 1
+            return super().__getitem__(word)
+
+        def __contains__(self, word):
+            self.looked += 1
+            return super().__contains__(word)
+
+    encoder = token_planes.encoder_of(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(encoder, "cache", Counting())
+    texts = ["new Words, new words", "known 7 words", "", "new"] * 3
+    want = [encoded(t)[:-1] for t in texts]
+    ids = lambda **k: [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts], **k)]
+    assert ids(at_once=30) == want  # in several blocks, of which the later know the words
+    encoder.cache.looked = 0
+    assert ids() == want and encoder.cache.looked == sum(len(t.split()) for t in texts)
+    monkeypatch.setattr(token_planes, "CACHE_WORDS", 2)
+    assert ids(at_once=1) == want
+    # Words whose encoding failed are new words again.
+    monkeypatch.setattr(encoder, "_learn", lambda words: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        list(encoder.encode([b"other unseen"]))
+    monkeypatch.undo()
+    assert ids() == want
+
+
 def test_other_tokenizers_see_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
