@@ -134,6 +134,124 @@ def test_nodes_of_four_bits_share_a_block():
     assert all(len({(int(n), int(x)) for n, x in zip(node, own[0], strict=True)}) == len(set(node.tolist())) for node, _, own in context_mixing.class_slots(code, contexts, 16))
 
 
+def whole_head():
+    """Words with classes of their own, and others that share classes by fours to eighties, so that places have up to a dozen bits."""
+    own = [(f"w{i}".encode(), 3000 - i) for i in range(context_mixing.OWN)]
+    many = [(f"{i}{'abcd'[i % 4]}ing".encode(), 1 + 2000 // (i + 1)) for i in range(320)]
+    return context_mixing.Head([*own, (context_mixing.END, 900), *many], 600_000, 700), [w for w, _ in own + many]
+
+
+def texts_of_words(words, n, size, seed=7):
+    rng = np.random.default_rng(seed)
+    return [b" ".join([*(words[i] for i in np.minimum(rng.geometric(0.01, size), len(words)) - 1), b"unknown"]) for _ in range(n)]
+
+
+def path(head, batch, i, bits):
+    """(row of weights, node or None for a place, counts' ln odds or None, bit, slots) of each bit of token ``i``, bit by bit."""
+    contexts = [c[i : i + 1] for c in batch.contexts]
+    for d, (node, bit, at) in enumerate(context_mixing.class_slots(batch.classes[i : i + 1].astype(np.uint64), contexts, bits)):
+        yield d, int(node[0]), None, int(bit[0]), [int(s[0]) for s in at]
+    for d, (_, node, bit, _) in enumerate(head.places(batch.numbers[i : i + 1])):
+        if d % context_mixing.NIBBLE == 0:
+            salted, local = context_mixing.salted_place(node), 1
+            blocks = [int(context_mixing.slots(c, salted, bits)[0]) for c in contexts]
+        yield context_mixing.CLASS_BITS + d, None, float(head.odds[node[0]]), int(bit[0]), [b ^ local for b in blocks]
+        local = 2 * local + int(bit[0])
+
+
+def test_tables_and_bits_are_those_of_one_bit_at_a_time():
+    """Counts and costs of all bits of whole texts, of more than a segment, against plain loops."""
+    head, words = whole_head()
+    texts = [*texts_of_words(words, 4, 300), b"", b"unknown", words[-1]]
+    batch, bits = head.read(texts), 9
+    tables = context_mixing.Tables(bits)
+    tables.learn(batch, chunk=500)
+    counts, plain = np.zeros((context_mixing.CONTEXTS, 2 << bits), int), np.zeros(512, int)
+    for i in range(len(batch.numbers)):
+        for _, node, _, bit, at in path(head, batch, i, bits):
+            if node is not None:
+                plain[2 * node + bit] += 1
+            for t, slot in enumerate(at):
+                counts[t, 2 * slot + bit] += 1
+    assert (tables.counts == counts).all() and (tables.plain == plain).all() and head.length.max() > 8
+    mixer = context_mixing.Mixer(context_mixing.stretched(tables.plain), [context_mixing.stretched(t) for t in tables.counts], bits)
+    mixer.begin_from(head.read(texts_of_words(words, 3, 80, seed=8)))
+    want = []
+    for first, size in zip(batch.offsets[:-1], batch.sizes, strict=True):
+        cost = 0.0
+        for k in range(size):
+            if k % context_mixing.SEGMENT == 0:
+                weights, maps = mixer.weights.astype(float), mixer.maps.astype(float)
+            for row, node, odds, bit, at in path(head, batch, first + k, bits):
+                x = np.array([mixer.plain[node] if odds is None else odds, *(t[slot] for t, slot in zip(mixer.tables, at, strict=True))])
+                own = weights[row, :, batch.gate[first + k]]
+                total = float(np.clip(own @ x, -7.99, 7.99))
+                p = 1 / (1 + math.exp(-total))
+                own += context_mixing.RATE * (bit - p) * x
+                low, high = divmod((total + 8) * (context_mixing.STEPS - 1) / 16, 1)
+                knots = maps[row, int(low) : int(low) + 2]
+                final = min(max((p + knots[0] + high * (knots[1] - knots[0])) / 2, 1e-5), 1 - 1e-5)
+                knots += context_mixing.MAP_RATE * np.array([1 - high, high]) * (bit - knots)
+                cost -= math.log2(final if bit else 1 - final)
+        want.append(cost)
+    assert mixer.class_bits(batch) == pytest.approx(want, rel=1e-4)
+
+
+def test_work_of_counting_and_mixing(monkeypatch):
+    """Bits are mixed all at once in a step, and repeats of a path are counted at once."""
+    head, words = whole_head()
+    calls, added = [], []
+
+    class Add:
+        def __getattr__(self, name):
+            return getattr(np.add, name)
+
+        def at(self, counts, where, times):
+            added.append(len(where))
+            np.add.at(counts, where, times)
+
+    class Numpy:
+        add = Add()
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, x, *more, **named):
+            calls.append(np.size(x))
+            return np.exp(x, *more, **named)
+
+    monkeypatch.setattr(context_mixing, "np", Numpy())
+    text, tables, work = texts_of_words(words, 1, 100), context_mixing.Tables(12), []
+    for copies in (10, 200):
+        added.clear()
+        tables.learn(head.read(text * copies))
+        work.append(sum(added))
+    assert work[0] == work[1]
+    mixer = context_mixing.Mixer(context_mixing.stretched(tables.plain), [context_mixing.stretched(t) for t in tables.counts], 12)
+    batch = head.read(text * 10)
+    calls.clear()
+    mixer.class_bits(batch)
+    assert len(calls) == batch.sizes[0] and sum(calls) == (context_mixing.CLASS_BITS + head.length[batch.numbers]).sum()
+
+
+def test_words_are_split_as_bytes_are():
+    """Blanks at the ends and in rows, odd bytes, empty texts; A-Z alone are lower-cased."""
+    texts = [b"", b" ", b"\t\x0b\x0c\r\n ", b" A  b\x1c\x85C \n", "Ünd ÄB\xa0c d".encode(), b"\xff\xfeX \x00", b"x" * 70_000 + b" y"]
+    for some in (texts, texts[3:4], texts[:2], []):
+        words, many = context_mixing.split(some)
+        want = [t.lower().split() for t in some]
+        assert words.to_pylist() == [w for t in want for w in t] and many.tolist() == [len(t) for t in want]
+
+
+def test_word_counts_of_many_words(docs):
+    """More distinct words than a task keeps, with repeats across what it has sent before."""
+    texts = [" ".join(f"w{i}" for i in range(at, at + 350_000)) for at in (0, 200_000, 100_000)]
+    rows = docs([*texts, None, "w1 W1"]).selectExpr("cast(coalesce(text, '') as binary) as text").coalesce(1)
+    got = {bytes(r.word): r.c for r in context_mixing.word_counts(rows).toLocalIterator()}
+    want = Counter(w.encode() for t in [*texts, "w1 w1"] for w in t.split())
+    assert got == want | {b"": 5}
+
+
 def test_scores_of_odd_rows(docs):
     rows = docs([*ODD, (None, "one")])
     got = {r.doc_id: r for r in context_mixing.score(rows, docs([(9, "one two"), (10, "one")]), bits=12).collect()}
