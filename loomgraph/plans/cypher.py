@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache, reduce
 from typing import Any
 
@@ -361,10 +361,53 @@ class Translator:
         self.rows: Rows | None = None
 
     def branch(self, clauses: list[Any]) -> DataFrame:
-        for clause in clauses:
+        for clause in self.counted(clauses):
             getattr(self, f"do_{type(clause).__name__.lower()}")(clause)
         return self.rows.df
 
+    def counted(self, clauses: list[Any]) -> list[Any]:
+        """The clauses still to do.  Where a query begins with two relationships that meet at a node and only counts its matches
+        by that node, each arm is counted by itself: the matches are the product of the two less those that use one relationship
+        in both, so none of them is a row.
+        """
+        if len(clauses) < 2 or not isinstance(clauses[0], Match) or not isinstance(clauses[1], Project):
+            return clauses
+        clause, project = clauses[:2]
+        if clause.optional or len(clause.paths) != 1 or clause.paths[0][0] or clause.paths[0][1] or len(clause.paths[0][2]) != 5 or project.star:
+            return clauses
+        a, r, n, s, b = clause.paths[0][2]
+        sides = {n.alias: [], a.alias: [], b.alias: []}
+        home = {n.alias: n.alias, a.alias: a.alias, r.alias: a.alias, b.alias: b.alias, s.alias: b.alias}
+        if r.many or s.many or len(home) < 5:
+            return clauses
+        names = lambda x: {y.args[0] for y in X.walk(x) if y.op == "name"} & home.keys()
+        for test in conjuncts(clause.where):
+            touched = {home[x] for x in names(test)}
+            if len(touched) > 1 or any(y.op == "pattern" for y in X.walk(test)):
+                return clauses
+            sides[min(touched, default=n.alias)].append(test)
+        exprs = [e for _, e in project.items] + [e for e, _ in project.order]
+        count = X.Node("call", ("count", False, ()))
+        if not any(map(X.is_aggregate, exprs)) or any(names(e) - {n.alias} for e in exprs) or any(y.op == "call" and y.args[0] in X.AGGREGATES and y != count or y.op == "pattern" for e in exprs for y in X.walk(e)):
+            return clauses
+        flip = {"forward": "reverse", "reverse": "forward", "undirected": "undirected"}
+        matcher, arms = Matcher(self.g), []
+        node, edge = matcher.g.node, matcher.g.edge
+        holds = lambda rows, tests: reduce(lambda df, t: df.filter(F.coalesce(X.compile_(t, rows.scope())[0].cast("boolean"), F.lit(False))), tests, rows.df)
+        for rel, far in ((replace(r, direction=flip[r.direction]), a), (s, b)):
+            arm = Rows(matcher.edges(rel).join(matcher.nodes(far), F.col("__far") == key(far.alias, node)), {rel.alias: matcher.rel_entity(), far.alias: matcher.node_entity()})
+            arms.append(holds(arm, sides[far.alias]).select(F.col("__near").alias("m"), key(rel.alias, edge).alias("e")).filter("e IS NOT NULL"))
+        once = F.count(F.lit(1))
+        left, right = (x.groupBy("m").agg(once.alias(c)) for x, c in zip(arms, "xy", strict=True))
+        each = [x.groupBy("m", "e").agg(once.alias(c)) for x, c in zip(arms, "xy", strict=True)]
+        both = each[0].join(each[1], ["m", "e"]).groupBy("m").agg(F.sum(F.col("x") * F.col("y")).alias("z"))
+        sums = left.join(right, "m").join(both, "m", "left").select("m", (F.col("x") * F.col("y") - F.coalesce("z", F.lit(0))).alias("__matches")).filter("__matches > 0")
+        middle = Rows(matcher.nodes(n), {n.alias: matcher.node_entity()})
+        self.rows = Rows(holds(middle, sides[n.alias]).join(sums, key(n.alias, node) == F.col("m")).drop("m"), middle.entities)
+        total = X.Node("call", ("sum", False, (X.Node("name", ("__matches",)),)))
+        counts = lambda x: total if x == count else X.Node(x.op, tuple(map(counts, x.args))) if isinstance(x, X.Node) else tuple(map(counts, x)) if isinstance(x, tuple) else x
+        return [replace(project, items=[(alias, counts(e)) for alias, e in project.items], order=[(counts(e), way) for e, way in project.order]), *clauses[2:]]
+
     # MATCH
 
     def do_match(self, clause: Match) -> None:
