@@ -243,26 +243,79 @@ def same_path(g, ops: list[Any], where: list[Compare]):
     """The subgraph of the matches for which conditions between aliases hold, with a boolean column for each name."""
     matcher = Matcher(g)
     pattern = pattern_of(ops)
-    matcher.where = list(where)
-    rows = matcher.path(None, pattern).df
-    if matcher.where:
-        raise SchemaProblem(f"no matcher is called {', '.join(sorted({c.left[0] for c in matcher.where} | {c.right[0] for c in matcher.where}))}")
-    g = kept(matcher, rows, pattern)
+    known = {p.alias for p in pattern if not getattr(p, "many", False)}
+    if unknown := sorted({x for c in where for x in (c.left[0], c.right[0])} - known):
+        raise SchemaProblem(f"no matcher is called {', '.join(unknown)}")
+    found = arms(matcher, pattern, list(where))
+    if found is None:
+        matcher.where = list(where)
+        rows = matcher.path(None, pattern).df
+        found = {p.alias: rows for p in pattern}
+    g = kept(matcher, found, pattern)
     nodes, edges = g.nodes, g.edges
     for p in pattern:
         if not p.alias.startswith("__"):
             if isinstance(p, NodePattern):
-                nodes = flagged(nodes, g.node, rows.select(key(p.alias, g.node).alias(g.node)), p.alias)
+                nodes = flagged(nodes, g.node, found[p.alias].select(key(p.alias, g.node).alias(g.node)), p.alias)
             elif not p.many:
-                edges = flagged(edges, g.edge, rows.select(key(p.alias, g.edge).alias(g.edge)), p.alias)
+                edges = flagged(edges, g.edge, found[p.alias].select(key(p.alias, g.edge).alias(g.edge)), p.alias)
     return g.replace(nodes=nodes, edges=edges)
 
 
-def kept(matcher: Matcher, rows: DataFrame, pattern: list[Any]):
-    """The graph of the nodes and edges of some matches."""
+def arms(matcher: Matcher, pattern: list[Any], where: list[Compare]) -> dict[str, DataFrame] | None:
+    """Of two single steps that meet at a node, with at most one condition between them: by alias, rows of its arm that are in a match.
+
+    A row is in one if the other arm's extreme value at the node, over the edges but the row's own, fits the condition;
+    so there is no row for each match.  None for other patterns.
+    """
+    if len(pattern) != 5 or len({p.alias for p in pattern}) < 5 or any(p.many for p in pattern[1::2]):
+        return None
+    sides = ({p.alias for p in pattern[:3]}, {p.alias for p in pattern[2:]})
+    across = [c for c in where if not any({c.left[0], c.right[0]} <= s for s in sides)]
+    if len(across) > 1:
+        return None
+    g, middle, rels = matcher.g, pattern[2].alias, (pattern[1].alias, pattern[3].alias)
+    ends = [F.lit(1), F.lit(1)]
+    way = "<="
+    if across:
+        c, way = across[0], across[0].op
+        ends = [key(*c.left), key(*c.right)]
+        if c.left[0] not in sides[0]:
+            ends, way = ends[::-1], {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(way, way)
+    parts = []
+    for side, steps, rel, value in zip(sides, (pattern[:3], pattern[2:]), rels, ends, strict=True):
+        one = Matcher(g)
+        one.where = [c for c in where if {c.left[0], c.right[0]} <= side]
+        df = one.path(None, steps).df
+        parts.append(df.withColumns({"__m": key(middle, g.node), "__e": key(rel, g.edge), "__x": value}).filter("__e IS NOT NULL AND __x IS NOT NULL"))
+    flip = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+    left, right = able(parts[0], parts[1], way), able(parts[1], parts[0], flip.get(way, way))
+    return {p.alias: left if i < 3 else right for i, p in enumerate(pattern)}
+
+
+def able(mine: DataFrame, theirs: DataFrame, way: str) -> DataFrame:
+    """Rows (__m, __e, __x, ...) of ``mine`` with a row of ``theirs`` at the same node, of another edge, for which mine ``way`` theirs."""
+    if way == "==":
+        seen = theirs.groupBy("__m", "__x").agg(F.min("__e").alias("__lo"), F.max("__e").alias("__hi"))
+        return mine.join(seen, ["__m", "__x"]).filter("__lo != __hi OR __lo != __e")
+    each = theirs.groupBy("__m", "__e").agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    first = each.groupBy("__m").agg(F.min(F.struct("lo", "__e")).alias("lo1"), F.max(F.struct("hi", "__e")).alias("hi1"))
+    rest = each.join(first, "__m")
+    second = rest.groupBy("__m").agg(F.min(F.when(F.col("__e") != F.col("lo1.__e"), F.col("lo"))).alias("lo2"), F.max(F.when(F.col("__e") != F.col("hi1.__e"), F.col("hi"))).alias("hi2"))
+    out = mine.join(first.join(second, "__m"), "__m")
+    low = F.when(F.col("__e") == F.col("lo1.__e"), F.col("lo2")).otherwise(F.col("lo1.lo"))
+    high = F.when(F.col("__e") == F.col("hi1.__e"), F.col("hi2")).otherwise(F.col("hi1.hi"))
+    x = F.col("__x")
+    fits = {"<": x < high, "<=": x <= high, ">": x > low, ">=": x >= low, "!=": (x < high) | (x > low)}[way]
+    return out.filter(F.coalesce(fits, F.lit(False))).drop("lo1", "lo2", "hi1", "hi2")
+
+
+def kept(matcher: Matcher, rows: DataFrame | dict[str, DataFrame], pattern: list[Any]):
+    """The graph of the nodes and edges of some matches: rows of them all, or those of each alias."""
     g = matcher.g
-    node_ids = [rows.select(key(p.alias, g.node).alias(g.node)) for p in pattern if isinstance(p, NodePattern)]
-    edge_ids = [rows.select((F.explode(key(p.alias, "__trail")) if p.many else key(p.alias, g.edge)).alias(g.edge)) for p in pattern if isinstance(p, RelPattern)]
+    of = rows if isinstance(rows, dict) else {p.alias: rows for p in pattern}
+    node_ids = [of[p.alias].select(key(p.alias, g.node).alias(g.node)) for p in pattern if isinstance(p, NodePattern)]
+    edge_ids = [of[p.alias].select((F.explode(key(p.alias, "__trail")) if p.many else key(p.alias, g.edge)).alias(g.edge)) for p in pattern if isinstance(p, RelPattern)]
     edges = g.edges.join(reduce(DataFrame.unionByName, edge_ids).distinct(), g.edge, "left_semi") if edge_ids else g.edges.limit(0)
     if any(p.many for p in pattern if isinstance(p, RelPattern)):
         node_ids += [edges.select(F.col(f"`{x}`").alias(g.node)) for x in (g.src, g.dst)]

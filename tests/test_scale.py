@@ -5,6 +5,7 @@ import random
 import pytest
 
 from loomgraph.graph import Graph
+from loomgraph.plans import ops as O
 
 
 def joined_rows(df):
@@ -74,3 +75,30 @@ def test_counts_of_two_steps_without_a_match(star):
     got = star.query("MATCH (a)-->(n)<--(b) WITH n, count(*) AS c WHERE c > 5 MATCH (n)-->(x) RETURN n.id AS k, x.id AS x, c * 2 AS c").collect()
     many = {n: sum(r[2] == n for r in rows) for n in kind}
     assert sorted((r.k, r.x, r.c) for r in got) == sorted((e.src, e.dst, 2 * many[e.src]) for e in star.edges.collect() if many[e.src] > 5)
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">=", "==", "!=", None])
+@pytest.mark.parametrize(("left", "right"), [("a", "b"), ("b", "a")])
+def test_conditions_between_arms(star, op, left, right):
+    steps = {"->": O.e_forward, "<-": O.e_reverse, "--": O.e_undirected}
+    ways = ("--", "<-") if left == "a" else ("->", "--")
+    own = [O.compare(O.col("n", "id"), "!=", O.col("a", "id"))]
+    where = own + ([O.compare(O.col(left, "v"), op, O.col(right, "v"))] if op else [])
+    out = star.chain([O.n(name="a"), steps[ways[0]](name="r"), O.n(name="n"), steps[ways[1]](name="s"), O.n({"label": "Leaf"}, name="b")], where=where)
+    kind, rows = arms(star, *ways)
+
+    def fits(e, a, n, f, b):
+        x, y = (kind[a][1], kind[b][1]) if left == "a" else (kind[b][1], kind[a][1])
+        known = x is not None and y is not None
+        test = {"<": lambda: x < y, "<=": lambda: x <= y, ">": lambda: x > y, ">=": lambda: x >= y, "==": lambda: x == y, "!=": lambda: x != y}
+        return n != a and kind[b][0] == "Leaf" and (op is None or known and test[op]())
+
+    rows = [r for r in rows if fits(*r)]
+    want = {k: {r[i] for r in rows} for i, k in ((1, "a"), (2, "n"), (4, "b"))} | {"r": {r[0].eid for r in rows}}
+    nodes, edges = out.nodes.collect(), out.edges.collect()
+    assert {n.id for n in nodes} == want["a"] | want["n"] | want["b"]
+    assert {k: {n.id for n in nodes if n[k]} for k in "anb"} == {k: want[k] for k in "anb"}
+    assert {e.eid for e in edges} == want["r"] | {r[3].eid for r in rows}
+    assert {e.eid for e in edges if e.r} == want["r"] and {e.eid for e in edges if e.s} == {r[3].eid for r in rows}
+    if op == "<":
+        assert max(joined_rows(out.nodes)) <= 3 * star.edges.count()
