@@ -193,20 +193,66 @@ def label_propagation(g, out: str = "community", most: int = 100) -> DataFrame:
     return named(g, state, out)
 
 
-def _shared(g, directed: bool = False):
-    near = pairs(g, directed, False).distinct()
+#: Nodes with so many neighbours at most are grouped by all of them; a node with so many in all makes grouping worth while.
+FEW = 64
+#: Members of a class in a block, and pairs of a task that puts members together.
+BLOCK, TASK_PAIRS = 512, 1 << 21
+
+
+def twins(near: DataFrame) -> DataFrame:
+    """(u, c) of edges (u, v, ...) without repeats: nodes whose rows are alike but for ``u`` have one class, named by the least.
+
+    Exact; a node with more than FEW rows is a class of its own, so that no list is long.
+    """
     degree = near.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-    two = near.select(F.col("u").alias("a"), F.col("v").alias("m")).join(near.select(F.col("u").alias("b"), F.col("v").alias("m")), "m").filter("a < b")
-    both = two.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    return both.join(degree.select(F.col("u").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("u").alias("b"), F.col("d").alias("db")), "b")
+    rest = [x for x in near.columns if x != "u"]
+    light = near.join(degree.filter(F.col("d") <= FEW), "u", "left_semi").groupBy("u").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("all"))
+    light = cut(light)
+    named_ = light.groupBy("all").agg(F.min("u").alias("c"))
+    return cut(light.join(named_, "all").select("u", "c").unionByName(degree.filter(F.col("d") > FEW).select("u", F.col("u").alias("c"))))
+
+
+def _met(near: DataFrame, combined, size=None, formula=None, out: str = "value", whole=None) -> DataFrame:
+    """(a, b, out) of pairs a < b that share a ``v`` of ``near`` (u, v, w): ``combined(wa, wb)`` over these, or ``formula(that, size a, size b)``.
+
+    Nodes with equal neighbours have equal values with all others, so pairs are counted for classes of such nodes and then
+    spread to their members, block by block: a pair is then made in one place, and isn't shuffled or aggregated.
+    ``whole``: takes repeated (u, v) together, where classes are made.
+    """
+    hubs = near.groupBy("v").agg(F.count(F.lit(1)).alias("d")).agg(F.max("d"), F.sum(F.col("d").cast("double") * F.col("d"))).first()
+    grouped = (hubs[0] or 0) > FEW
+    near = cut(whole(near)) if grouped and whole else near
+    members = twins(near) if grouped else None
+    few = cut(near.join(members.select(F.col("c").alias("u")).distinct(), "u", "left_semi").select("u", "v", "w")) if grouped else near
+    sides = [few.select(F.col("u").alias(x), "v", F.col("w").alias(f"w{x}")) for x in "ab"]
+    found = sides[0].join(sides[1], "v").filter("a <= b" if grouped else "a < b").groupBy("a", "b").agg(combined(F.col("wa"), F.col("wb")).alias(out))
+    if formula is not None:
+        sizes = few.groupBy("u").agg(size.alias("s"))
+        found = found.join(sizes.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(sizes.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", formula(F.col(out), F.col("sa"), F.col("sb")).alias(out))
+    if not grouped:
+        return found
+    many = cut(members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    marks = {x: many.select(F.col("c").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"}
+    found = cut(found.join(marks["a"], "a", "left").join(marks["b"], "b", "left").filter("a != b OR na > 1"))
+    lone = found.filter("na IS NULL AND nb IS NULL").select("a", "b", out)
+    block = F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / BLOCK)).alias("k")
+    blocks = cut(members.join(many, "c", "left").select("u", "c", F.coalesce(block, F.lit(0)).alias("k")).groupBy("c", "k").agg(F.collect_list("u").alias("us")))
+    one, two = (blocks.select(F.col("c").alias(x), F.col("k").alias(f"k{x}"), F.col("us").alias(f"u{x}")) for x in "ab")
+    tasks = max(1, min(4096, math.ceil((hubs[1] or 0) / 2 / TASK_PAIRS)))
+    both = found.filter("na IS NOT NULL OR nb IS NOT NULL").join(one, "a").join(two, "b").filter("a != b OR ka <= kb").repartition(tasks, "a", "b", "ka", "kb")
+    spread = both.select("a", "b", "ka", "kb", out, "ub", F.explode("ua").alias("x")).select("a", "b", "ka", "kb", out, "x", F.explode("ub").alias("y"))
+    # Two of one class once: within a block the lesser first; of two blocks, all.
+    spread = spread.filter("a != b OR ka != kb OR x < y")
+    return lone.unionByName(spread.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), out))
 
 
 def _similarity(formula, name):
-    def run(g, out: str = name, directed: bool = False) -> DataFrame:
-        both, da, db = F.col("both"), F.col("da"), F.col("db")
-        return _shared(g, directed).select(F.col("a").alias(g.src), F.col("b").alias(g.dst), formula(both, da, db).alias(out))
+    def run(g, out: str = name, directed: bool = False, digits: int | None = None) -> DataFrame:
+        shape = formula if digits is None else lambda n, a, b: F.round(formula(n, a, b), digits)
+        near = cut(pairs(g, directed, False).distinct().withColumn("w", F.lit(1)))
+        return _met(near, lambda a, b: F.count(F.lit(1)), F.count(F.lit(1)), shape, out).select(F.col("a").alias(g.src), F.col("b").alias(g.dst), out)
 
-    run.__doc__ = f"{name} of the neighbourhoods of all node pairs that share a neighbour (source < destination)."
+    run.__doc__ = f"{name} of the neighbourhoods of all node pairs that share a neighbour (source < destination); ``digits``: rounded."
     return run
 
 
@@ -215,16 +261,19 @@ overlap = _similarity(lambda n, a, b: n / F.least(a, b), "overlap_coeff")
 sorensen = _similarity(lambda n, a, b: 2 * n / (a + b), "sorensen_coeff")
 
 
+def _coupled(g, u: str, v: str, out: str) -> DataFrame:
+    near = pairs(g).filter("u IS NOT NULL AND v IS NOT NULL").select(F.col(u).alias("u"), F.col(v).alias("v"), F.lit(1).cast("long").alias("w"))
+    return _met(near, lambda a, b: F.sum(a * b), out=out, whole=lambda e: e.groupBy("u", "v").agg(F.sum("w").alias("w"))).select(F.col("a").alias(g.src), F.col("b").alias(g.dst), out)
+
+
 def cocitation(g, out: str = "cocitation") -> DataFrame:
     """Node pairs and how many nodes point to both."""
-    e = pairs(g)
-    return e.select("u", F.col("v").alias("a")).join(e.select("u", F.col("v").alias("b")), "u").filter("a < b").groupBy(F.col("a").alias(g.src), F.col("b").alias(g.dst)).agg(F.count(F.lit(1)).alias(out))
+    return _coupled(g, "v", "u", out)
 
 
 def bibcoupling(g, out: str = "bibcoupling") -> DataFrame:
     """Node pairs and how many nodes both point to."""
-    e = pairs(g)
-    return e.select("v", F.col("u").alias("a")).join(e.select("v", F.col("u").alias("b")), "v").filter("a < b").groupBy(F.col("a").alias(g.src), F.col("b").alias(g.dst)).agg(F.count(F.lit(1)).alias(out))
+    return _coupled(g, "u", "v", out)
 
 
 def bfs(g, start, out: str = "distance", directed: bool = True, most: int | None = None) -> DataFrame:
@@ -423,12 +472,8 @@ def _weighted(formula, name):
     def run(g, weight: str, out: str = name, directed: bool = False) -> DataFrame:
         one = g.edges.select(F.col(f"`{g.src}`").alias("u"), F.col(f"`{g.dst}`").alias("v"), F.col(f"`{weight}`").cast("double").alias("w")).filter("u != v")
         near = one if directed else one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-        near = near.groupBy("u", "v").agg(F.max("w").alias("w"))
-        total = near.groupBy("u").agg(F.sum("w").alias("t"))
-        sides = [near.select(F.col("u").alias(x), "v", F.col("w").alias(f"w{x}")) for x in "ab"]
-        both = sides[0].join(sides[1], "v").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("low"))
-        sized = both.join(total.select(F.col("u").alias("a"), F.col("t").alias("ta")), "a").join(total.select(F.col("u").alias("b"), F.col("t").alias("tb")), "b")
-        return sized.select(F.col("a").alias(g.src), F.col("b").alias(g.dst), formula(F.col("low"), F.col("ta"), F.col("tb")).alias(out))
+        near = cut(near.groupBy("u", "v").agg(F.max("w").alias("w")))
+        return _met(near, lambda a, b: F.sum(F.least(a, b)), F.sum("w"), formula, out).select(F.col("a").alias(g.src), F.col("b").alias(g.dst), out)
 
     run.__doc__ = f"{name} of weighted neighbourhoods: shared weight is the sum of the lesser weights."
     return run

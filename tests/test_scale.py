@@ -1,15 +1,17 @@
 """Queries over hubs: no row for each pair that meets at one, and the results of plain enumeration."""
 
 import random
+from collections import Counter
 
 import pytest
 
 from loomgraph.graph import Graph
+from loomgraph.operators import algorithms as A
 from loomgraph.plans import ops as O
 
 
 def joined_rows(df):
-    """Rows that the plan's joins and generators made."""
+    """Rows that each of the plan's joins made."""
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -23,7 +25,7 @@ def joined_rows(df):
         if "QueryStage" in name:
             todo.append(p.plan())
             continue
-        if ("Join" in name or "Generate" in name) and p.metrics().contains("numOutputRows"):
+        if "Join" in name and p.metrics().contains("numOutputRows"):
             metrics.append(p.metrics().apply("numOutputRows").value())
         children = p.children()
         todo += [children.apply(i) for i in range(children.size())]
@@ -102,3 +104,47 @@ def test_conditions_between_arms(star, op, left, right):
     assert {e.eid for e in edges if e.r} == want["r"] and {e.eid for e in edges if e.s} == {r[3].eid for r in rows}
     if op == "<":
         assert max(joined_rows(out.nodes)) <= 3 * star.edges.count()
+
+
+@pytest.fixture
+def small_classes(monkeypatch):
+    monkeypatch.setattr(A, "FEW", 3)
+    monkeypatch.setattr(A, "BLOCK", 4)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pairs_of_neighbours_by_class(spark, small_classes, seed):
+    """Classes of twins, hubs, parallel edges, loops and weights against plain counting."""
+    r = random.Random(seed)
+    edges = [(f"n{i:02}", f"h{i % 3}", 1.0) for i in range(24)] + [(f"n{i:02}", "h0", 2.0) for i in range(0, 24, 5)] + [("h0", "h1", 1.0), ("h1", "h1", 1.0)]
+    edges += [(f"m{r.randrange(5)}", f"h{r.randrange(4)}", float(r.randrange(1, 3))) for _ in range(14)]
+    g = Graph(edges=spark.createDataFrame(edges, "src string, dst string, w double"))
+    got = lambda df: sorted((x.src, x.dst, round(x[2], 9)) for x in df.collect())
+    ends = sorted({x for e in edges for x in e[:2]})
+    for run, way in ((A.bibcoupling, 0), (A.cocitation, 1)):
+        of = {x: Counter(e[1 - way] for e in edges if e[way] == x) for x in ends}
+        want = [(a, b, sum(of[a][k] * of[b][k] for k in of[a])) for a in ends for b in ends if a < b]
+        assert got(run(g)) == [x for x in want if x[2]]
+    weight = {x: {} for x in ends}
+    for a, b, w in edges:
+        if a != b:
+            weight[a][b] = max(weight[a].get(b, 0), w)
+            weight[b][a] = max(weight[b].get(a, 0), w)
+    found = {k: [] for k in ("jaccard", "overlap", "sorensen", "jaccard_w")}
+    for a in ends:
+        for b in ends:
+            x, y = weight[a], weight[b]
+            n = len(x.keys() & y.keys())
+            if a < b and n:
+                low = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+                for k, v in (("jaccard", n / len(x.keys() | y.keys())), ("overlap", n / min(len(x), len(y))), ("sorensen", 2 * n / (len(x) + len(y))), ("jaccard_w", low / (sum(x.values()) + sum(y.values()) - low))):
+                    found[k].append((a, b, round(v, 9)))
+    for k in ("jaccard", "overlap", "sorensen"):
+        assert got(getattr(A, k)(g)) == found[k]
+    assert got(A.jaccard_w(g, "w")) == found["jaccard_w"]
+
+
+def test_pairs_at_a_hub_are_not_joined(spark):
+    g = Graph(edges=spark.range(900).selectExpr("'s' || id AS src", "'h' || id % 2 AS dst"))
+    df = A.bibcoupling(g)
+    assert df.count() == 2 * 450 * 449 // 2 and max(joined_rows(df)) < 900
