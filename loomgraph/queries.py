@@ -546,12 +546,12 @@ NEAR = """WITH e AS (SELECT 's:' || s_suppkey AS a, 'n:' || s_nationkey AS b FRO
 
 @query(NEAR.format("count(*)::DOUBLE / least(any_value(dx.n), any_value(dy.n))", "overlap_coeff"))
 def overlap_suppliers(spark, d):
-    return A.overlap(commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"])).withColumn("overlap_coeff", F.round("overlap_coeff", 12))
+    return A.overlap(commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"]), digits=12)
 
 
 @query(NEAR.format("2 * count(*)::DOUBLE / (any_value(dx.n) + any_value(dy.n))", "sorensen_coeff"))
 def sorensen_suppliers(spark, d):
-    return A.sorensen(commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"])).withColumn("sorensen_coeff", F.round("sorensen_coeff", 12))
+    return A.sorensen(commerce(spark, d, ["Supplier", "Nation", "Region"], ["SUPPLIER_IN", "IN_REGION"]), digits=12)
 
 
 @query("SELECT 's:' || a.s_suppkey AS src, 's:' || b.s_suppkey AS dst, 1::BIGINT AS bibcoupling FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND 's:' || a.s_suppkey < 's:' || b.s_suppkey")
