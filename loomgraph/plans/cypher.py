@@ -433,18 +433,20 @@ class Translator:
         if len(elements) != 3 or not name:
             raise Unsupported("a shortest path is named and has one relationship")
         a, r, b = elements
-        matcher = Matcher(self.g)
-        for p in (a, b):
-            if self.rows is None or p.alias not in self.rows.entities:
-                self.rows = matcher.start(self.rows, p, True)
-            else:
-                self.rows = matcher.bound(self.rows, p)
+        matcher, known = Matcher(self.g), self.rows.entities if self.rows is not None else {}
+        if a.alias not in known and b.alias in known:
+            a, b, r = b, a, replace(r, direction={"forward": "reverse", "reverse": "forward"}.get(r.direction, r.direction))
+        self.rows = matcher.bound(self.rows, a) if a.alias in known else matcher.start(self.rows, a, True)
         node = matcher.g.node
         hop = matcher.edges(r).select(F.col("__near").alias("u"), F.col("__far").alias("v")).distinct()
-        pairs = self.rows.df.select(key(a.alias, node).alias("s")).distinct()
-        far = multi_source(hop, pairs, r.high).filter(F.col("hops") >= r.low)
-        df = self.rows.df.join(far, (key(a.alias, node) == F.col("s")) & (key(b.alias, node) == F.col("id")), "inner")
-        self.rows = Rows(df.withColumn(f"{name}.__length", F.col("hops").cast("long")).drop("s", "id", "hops"), self.rows.entities)
+        far = multi_source(hop, self.rows.df.select(key(a.alias, node).alias("s")).distinct(), r.high).filter(F.col("hops") >= r.low)
+        df = self.rows.df.join(far, key(a.alias, node) == F.col("s"))
+        if b.alias in self.rows.entities:
+            self.rows = matcher.bound(Rows(df.filter(key(b.alias, node) == F.col("id")), self.rows.entities), b)
+        else:
+            # The far end comes after the hops: no row for each pair of nodes.
+            self.rows = Rows(df.join(matcher.nodes(b), key(b.alias, node) == F.col("id")), self.rows.entities | {b.alias: matcher.node_entity()})
+        self.rows = Rows(self.rows.df.withColumn(f"{name}.__length", F.col("hops").cast("long")).drop("s", "id", "hops"), self.rows.entities)
 
     def optional(self, clause: Match) -> None:
         """A left join with the arm's own matches; its WHERE is part of the join's condition."""
@@ -693,6 +695,7 @@ def multi_source(hop: DataFrame, sources: DataFrame, most: int | None) -> DataFr
     """(s, id, hops): least hops from each source to each node it reaches."""
     from loomgraph.plans.storage import cut
 
+    hop = cut(hop)
     seen = cut(sources.select("s", F.col("s").alias("id"), F.lit(0).alias("hops")))
     front, step = seen, 0
     while most is None or step < most:

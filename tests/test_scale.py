@@ -148,3 +148,16 @@ def test_pairs_at_a_hub_are_not_joined(spark):
     g = Graph(edges=spark.range(900).selectExpr("'s' || id AS src", "'h' || id % 2 AS dst"))
     df = A.bibcoupling(g)
     assert df.count() == 2 * 450 * 449 // 2 and max(joined_rows(df)) < 900
+
+
+def test_shortest_paths_make_no_pair_without_one(spark):
+    """Either end may be bound before, or both."""
+    g = Graph(edges=spark.range(800).filter("id % 4 != 3").selectExpr("id AS eid", "id AS src", "id + 1 AS dst"), nodes=spark.range(800).selectExpr("id", "id % 4 AS turn"), edge="eid")
+    df = g.query("MATCH p = shortestPath((a {turn: 0})-[*..2]->(b)) RETURN a.id AS a, b.id AS b, length(p) AS hops")
+    want = sorted((i, i + h, h) for i in range(0, 800, 4) for h in (1, 2))
+    assert sorted(map(tuple, df.collect())) == want and max(joined_rows(df)) <= 3 * 800
+    head = "MATCH (b) WHERE b.turn > 0 "
+    for text in (head + "MATCH p = shortestPath((a {turn: 0})-[*..2]->(b))", head + "MATCH p = shortestPath((b)<-[*..2]-(a {turn: 0}))"):
+        assert sorted(map(tuple, g.query(text + " RETURN a.id AS a, b.id AS b, length(p) AS hops").collect())) == want
+    both = g.query("MATCH (a {turn: 0})-->(m)-->(b) MATCH p = shortestPath((a)-[*..3]->(b)) RETURN a.id AS a, b.id AS b, length(p) AS hops")
+    assert sorted(map(tuple, both.collect())) == [w for w in want if w[2] == 2]
