@@ -10,6 +10,7 @@ import math
 import warnings
 from collections import defaultdict, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,23 +95,72 @@ def pagerank(g, out: str = "pagerank", alpha: float = 0.85, tol: float = 1e-6, m
 
 def hits(g, hub: str = "hub", authority: str = "authority", tol: float = 1e-8, most: int = 100) -> DataFrame:
     """Hub and authority scores, each with the sum 1; stops where the hubs change by less than ``tol`` in L1."""
-    edges, nodes = cut(pairs(g)), vertices(g)
+    nodes = vertices(g)
     n = nodes.count() or 1
-    state = cut(nodes.withColumn("h", F.lit(1.0 / n)))
+    # Nodes with equal edges out have equal hub scores, those with equal edges in equal authorities: the rounds run over classes.
+    both = pairs(g).filter("v IS NOT NULL").join(nodes.select(F.col("id").alias("u")), "u", "left_semi")
+    both = cut(both.groupBy("u", "v").agg(F.count(F.lit(1)).alias("w")))
+    heads, tails = twins(both), twins(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    sized = lambda x, end: x.groupBy(F.col("c").alias(end)).agg(F.count(F.lit(1)).alias(f"n{end}"))
+    few = both
+    for x, end in ((heads, "u"), (tails, "v")):
+        few = few.join(sized(x, end), end)
+    few = cut(few.select("u", "v", F.col("w").cast("double").alias("w"), "nu", "nv"))
+    state, found, settled = (_hits_here if few.count() <= HERE_EDGES else _hits_rounds)(few, n, tol, most)
+    if not settled:
+        _unsettled("hits", most)
+    scores = nodes
+    for x, end, column, values in ((heads, "u", "h", state), (tails, "v", "a", found)):
+        each = x.join(values.select(F.col(end).alias("c"), column), "c").select(F.col("u").alias("id"), column)
+        scores = scores.join(each, "id", "left").withColumn(column, F.coalesce(column, F.lit(0.0)))
+    scores = cut(scores)
+    sums = scores.agg(F.sum("h"), F.sum("a")).first()
+    return scores.select(F.col("id").alias(g.node), (F.col("h") / (sums[0] or 1.0)).alias(hub), (F.col("a") / (sums[1] or 1.0)).alias(authority))
+
+
+def _hits_here(few: DataFrame, n: int, tol: float, most: int):
+    """The rounds of ``hits`` over the edges of few classes (u, v, w, nu, nv), in the driver: (u, h), (v, a), settled."""
+    t = few.toArrow()
+    (heads, u), (tails, v) = ((x.dictionary, x.indices.to_numpy()) for x in (t[c].combine_chunks().dictionary_encode() for c in "uv"))
+    w = t["w"].to_numpy()
+    nu, nv = np.zeros(len(heads)), np.zeros(len(tails))
+    nu[u], nv[v] = t["nu"].to_numpy(), t["nv"].to_numpy()
+    h, a = np.full(len(heads), 1.0 / n), np.zeros(len(tails))
+    lost, settled = 1.0 - nu.sum() / n, False
+    for _ in range(most):
+        a = np.bincount(v, h[u] * w * nu[u], len(tails))
+        a = a / ((a * nv).sum() or 1.0)
+        new = np.bincount(u, a[v] * w * nv[v], len(heads))
+        new = new / ((new * nu).sum() or 1.0)
+        change, lost, h = (np.abs(new - h) * nu).sum() + lost, 0.0, new
+        if settled := bool(change < tol):
+            break
+    spark = few.sparkSession
+    frame = lambda names, x, column: spark.createDataFrame(pa.table([names, pa.array(x)], names=column), few.select(column[0]).schema.add(column[1], "double"))
+    return frame(heads, h, ["u", "h"]), frame(tails, a, ["v", "a"]), settled
+
+
+def _hits_rounds(few: DataFrame, n: int, tol: float, most: int):
+    """As ``_hits_here``, distributed."""
+    # ``state`` (u, nu, h): only nodes with an edge out; the others' fall to 0 is part of the first change.
+    state = cut(few.select("u", "nu").distinct().withColumn("h", F.lit(1.0 / n)))
+    lost = 1.0 - (state.agg(F.sum("nu")).first()[0] or 0) / n
+    found = cut(few.select("v", "nv").distinct().withColumn("a", F.lit(0.0)))
     for _ in range(most):
-        a = edges.join(state.select(F.col("id").alias("u"), "h"), "u").groupBy("v").agg(F.sum("h").alias("a"))
-        total = a.agg(F.sum("a")).first()[0] or 1.0
-        a = cut(a.withColumn("a", F.col("a") / total))
-        h = edges.join(a, "v").groupBy(F.col("u").alias("id")).agg(F.sum("a").alias("new"))
-        total = h.agg(F.sum("new")).first()[0] or 1.0
-        state = cut(state.join(h, "id", "left").select("id", F.col("h").alias("old"), (F.coalesce("new", F.lit(0.0)) / total).alias("h")))
-        if (state.agg(F.sum(F.abs(F.col("h") - F.col("old")))).first()[0] or 0.0) < tol:
+        a = cut(few.join(state.select("u", "h"), "u").groupBy("v", "nv").agg(F.sum(F.col("h") * F.col("w") * F.col("nu")).alias("a")))
+        total = a.agg(F.sum(F.col("a") * F.col("nv"))).first()[0] or 1.0
+        found = a.withColumn("a", F.col("a") / total)
+        h = few.join(found.select("v", "a"), "v").groupBy("u").agg(F.sum(F.col("a") * F.col("w") * F.col("nv")).alias("new"))
+        new = cut(state.join(h, "u").select("u", "nu", F.col("h").alias("old"), F.col("new").alias("h")))
+        total = new.agg(F.sum(F.col("h") * F.col("nu"))).first()[0] or 1.0
+        state = new.withColumn("h", F.col("h") / total)
+        change, lost = (state.agg(F.sum(F.abs(F.col("h") - F.col("old")) * F.col("nu"))).first()[0] or 0.0) + lost, 0.0
+        if change < tol:
             break
+        state = state.select("u", "nu", "h")
     else:
-        _unsettled("hits", most)
-    both = state.join(a.select(F.col("v").alias("id"), "a"), "id", "left").withColumn("a", F.coalesce("a", F.lit(0.0)))
-    sums = both.agg(F.sum("h"), F.sum("a")).first()
-    return both.select(F.col("id").alias(g.node), (F.col("h") / (sums[0] or 1.0)).alias(hub), (F.col("a") / (sums[1] or 1.0)).alias(authority))
+        return state, found, False
+    return state, found, True
 
 
 def _power(g, out, step, most, tol, directed):
@@ -193,6 +243,8 @@ def label_propagation(g, out: str = "community", most: int = 100) -> DataFrame:
     return named(g, state, out)
 
 
+#: Edges between classes at most for rounds in the driver.
+HERE_EDGES = 100_000
 #: Nodes with so many neighbours at most are grouped by all of them; a node with so many in all makes grouping worth while.
 FEW = 64
 #: Members of a class in a block, and pairs of a task that puts members together.

@@ -161,3 +161,31 @@ def test_shortest_paths_make_no_pair_without_one(spark):
         assert sorted(map(tuple, g.query(text + " RETURN a.id AS a, b.id AS b, length(p) AS hops").collect())) == want
     both = g.query("MATCH (a {turn: 0})-->(m)-->(b) MATCH p = shortestPath((a)-[*..3]->(b)) RETURN a.id AS a, b.id AS b, length(p) AS hops")
     assert sorted(map(tuple, both.collect())) == [w for w in want if w[2] == 2]
+
+
+def test_hits_rounds_run_over_classes(spark, monkeypatch):
+    edges = [(f"c{i:03}", f"n{i % 3 // 2}") for i in range(300)] + [("n0", "r0"), ("n1", "r0"), ("c000", "n1"), ("c000", "n1")] + [("r0", f"z{i}") for i in range(300)]
+    sizes, plain = [], A.cut
+    monkeypatch.setattr(A, "cut", lambda df: sizes.append((out := plain(df)).count()) or out)
+    got = {r.id: (r.hub, r.authority) for r in A.hits(Graph(edges=spark.createDataFrame(edges, "src string, dst string"))).collect()}
+    assert sum(n > 50 for n in sizes) <= 8
+    hub = {k: 1 / len(got) for k in got}
+    for _ in range(100):
+        last, auth, new = hub, Counter(), Counter()
+        for u, v in edges:
+            auth[v] += hub[u]
+        whole = sum(auth.values())
+        for u, v in edges:
+            new[u] += auth[v] / whole
+        total = sum(new.values())
+        hub = {k: new[k] / total for k in got}
+        if sum(abs(hub[k] - last[k]) for k in hub) < 1e-8:
+            break
+    total = sum(auth.values())
+    assert all(abs(got[k][0] - hub[k]) < 1e-9 and abs(got[k][1] - auth[k] / total) < 1e-9 for k in got)
+    with pytest.warns(RuntimeWarning, match="hits"):
+        g = Graph(edges=spark.createDataFrame(edges, "src string, dst string"))
+        one = A.hits(g, most=2).collect()
+        monkeypatch.setattr(A, "HERE_EDGES", 0)
+        two = {r.id: r for r in A.hits(g, most=2).collect()}
+    assert all(abs(r.hub - two[r.id].hub) < 1e-12 and abs(r.authority - two[r.id].authority) < 1e-12 for r in one)
