@@ -444,26 +444,77 @@ def _adjacency(g, directed: bool):
     if n > SINGLE_TASK_EDGES:
         raise Unsupported(f"this algorithm runs in one place, for at most {SINGLE_TASK_EDGES} edges; there are {n}")
     near = defaultdict(list)
-    for u, v in pairs(g, directed, False).distinct().toLocalIterator():
+    found = pairs(g, directed, False).distinct().toArrow()
+    for u, v in zip(found["u"].to_pylist(), found["v"].to_pylist(), strict=True):
         near[u].append(v)
-    return near, [r.id for r in vertices(g).toLocalIterator()]
+    return near, vertices(g).toArrow()["id"].to_pylist()
+
+
+def _peeled(ahead: list[list[int]]) -> tuple[list[int], list[float], list[tuple[int, int, float]]]:
+    """Of an undirected graph: how many nodes each stands for, itself included (0: peeled off), and what peeling settles:
+    the ordered pairs of ends whose paths pass through each node and over each edge.  Empties the lists of peeled nodes, in place.
+
+    A node with one neighbour left is put on that neighbour, until there is none: all paths between
+    what it stands for and the rest of its component take its one edge.
+    """
+    n = len(ahead)
+    part, size = [-1] * n, []
+    for s in range(n):
+        if part[s] < 0:
+            part[s], stack = len(size), [s]
+            size.append(0)
+            while stack:
+                u = stack.pop()
+                size[-1] += 1
+                for v in ahead[u]:
+                    if part[v] < 0:
+                        part[v] = part[u]
+                        stack.append(v)
+    left, weight, branches, squares, along = [set(x) for x in ahead], [1] * n, [0] * n, [0] * n, []
+    todo = [u for u in range(n) if len(left[u]) == 1]
+    while todo:
+        u = todo.pop()
+        if len(left[u]) != 1:
+            continue
+        v, b = left[u].pop(), weight[u]
+        left[v].discard(u)
+        weight[v] += b
+        weight[u] = 0
+        rest = size[part[u]] - b
+        along += [(u, v, float(b * rest)), (v, u, float(b * rest))]
+        for x, k in ((v, b), (u, rest)):
+            branches[x] += k
+            squares[x] += k * k
+        if len(left[v]) == 1:
+            todo.append(v)
+    through = []
+    for u in range(n):
+        whole = size[part[u]] - 1
+        rest = whole - branches[u]  # what lies in the part that isn't peeled off
+        through.append(float(branches[u] * whole - squares[u] + rest * branches[u]))
+        ahead[u] = [v for v in ahead[u] if v in left[u]]
+    return weight, through, along
 
 
 def _paths_between(g, directed: bool) -> DataFrame:
     """(a, b, value): the shares of shortest paths through node ``a`` (b null) or edge a -> b, over all sources.
 
     Brandes' algorithm from each source; sources are dealt to tasks, each with the edges, whose number is checked.
+    Undirected: trees are peeled off first, in time that grows with the edges, and what is left counts for them.
     """
     near, nodes = _adjacency(g, directed)
     number = {v: i for i, v in enumerate(nodes)}
     spark = g.edges.sparkSession
-    shared = spark.sparkContext.broadcast([[number[v] for v in near.get(u, ())] for u in nodes])
+    ahead = [[number[v] for v in near.get(u, ())] for u in nodes]
+    weight, settled, bridges = ([1] * len(nodes), [], []) if directed else _peeled(ahead)
+    sources = [i for i, x in enumerate(ahead) if x]
+    shared = spark.sparkContext.broadcast((ahead, weight, sources))
 
     def run(batches):
-        ahead = shared.value
+        ahead, weight, sources = shared.value
         through, along = defaultdict(float), defaultdict(float)
         for batch in batches:
-            for s in batch.column("id").to_pylist():
+            for s in (sources[i] for i in batch.column("id").to_pylist()):
                 order, before, paths, dist, queue = [], defaultdict(list), defaultdict(float), {s: 0}, deque([s])
                 paths[s] = 1.0
                 while queue:
@@ -479,18 +530,21 @@ def _paths_between(g, directed: bool) -> DataFrame:
                 share = defaultdict(float)
                 for v in reversed(order):
                     for u in before[v]:
-                        part = paths[u] / paths[v] * (1 + share[v])
+                        part = paths[u] / paths[v] * (weight[v] + share[v])
                         share[u] += part
-                        along[u, v] += part
+                        along[u, v] += part * weight[s]
                     if v != s:
-                        through[v] += share[v]
+                        through[v] += share[v] * weight[s]
         rows = [(a, None, x) for a, x in through.items()] + [(*e, x) for e, x in along.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "value"])
 
-    sums = spark.range(len(nodes)).mapInArrow(run, "a long, b long, value double").groupBy("a", "b").agg(F.sum("value").alias("value"))
-    kind = g.with_nodes().nodes.schema[g.node].dataType.simpleString()
-    table = spark.createDataFrame([(i, v) for i, v in enumerate(nodes)], f"a long, id {kind}")
+    kind = g.with_nodes().nodes.select(g.node).schema[0].dataType
+    numbers, shares = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("value", pa.float64())]), "a long, b long, value double"
+    known = [(a, None, x) for a, x in enumerate(settled) if x] + bridges
+    local = spark.createDataFrame(pa.table([pa.array(x, f.type) for x, f in zip(zip(*known, strict=True), numbers, strict=True)], schema=numbers)) if known else spark.createDataFrame([], shares)
+    sums = spark.range(len(sources)).mapInArrow(run, shares).unionByName(local).groupBy("a", "b").agg(F.sum("value").alias("value"))
+    table = spark.createDataFrame(pa.table([pa.array(range(len(nodes)), pa.int64()), pa.array(nodes)], names=["a", "id"])).select("a", F.col("id").cast(kind).alias("id")) if nodes else spark.createDataFrame([], f"a long, id {kind.simpleString()}")
     found = sums.join(table.withColumnRenamed("id", "from"), "a").join(table.withColumnsRenamed({"a": "b", "id": "to"}), "b", "left")
     return cut(found.select("from", "to", "value"))
 

@@ -189,3 +189,51 @@ def test_hits_rounds_run_over_classes(spark, monkeypatch):
         monkeypatch.setattr(A, "HERE_EDGES", 0)
         two = {r.id: r for r in A.hits(g, most=2).collect()}
     assert all(abs(r.hub - two[r.id].hub) < 1e-12 and abs(r.authority - two[r.id].authority) < 1e-12 for r in one)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_peeled_trees_count_as_brandes(spark, seed):
+    """Shares of paths with trees peeled off, against plain Brandes without Spark; a tree leaves no source."""
+    r = random.Random(seed)
+    n = 14
+    edges = {(r.randrange(i), i) for i in range(1, n) if i != 9} | {tuple(sorted(r.sample(range(5), 2))) for _ in range(4 * (seed % 3))}
+    near = [sorted({b for a, b in edges if a == i} | {a for a, b in edges if b == i}) for i in range(n)]
+
+    def brandes(ahead, weight):
+        node, edge = Counter(), Counter()
+        for s in range(n):
+            if not ahead[s] or not weight[s]:
+                continue
+            dist, paths, order = {s: 0}, Counter({s: 1}), [s]
+            for u in order:
+                for v in ahead[u]:
+                    if v not in dist:
+                        dist[v] = dist[u] + 1
+                        order.append(v)
+                    if dist[v] == dist[u] + 1:
+                        paths[v] += paths[u]
+            share = Counter()
+            for v in reversed(order):
+                for u in ahead[v]:
+                    if dist[u] == dist[v] - 1:
+                        part = paths[u] / paths[v] * (weight[v] + share[v])
+                        share[u] += part
+                        edge[u, v] += part * weight[s]
+                if v != s:
+                    node[v] += share[v] * weight[s]
+        return node, edge
+
+    node, edge = brandes(near, [1] * n)
+    left = [list(x) for x in near]
+    weight, through, along = A._peeled(left)
+    if seed % 3 == 0:
+        assert not any(left)
+    core = brandes(left, weight)
+    assert all(abs(core[0][i] + through[i] - node[i]) < 1e-9 for i in range(n))
+    for a, b, x in along:
+        core[1][a, b] += x
+    assert core[1].keys() == edge.keys() and all(abs(core[1][e] - edge[e]) < 1e-9 for e in edge)
+    if seed < 2:
+        g = Graph(edges=spark.createDataFrame(sorted(edges), "src long, dst long"))
+        assert all(abs(x.v - node[x.id] / 2) < 1e-9 for x in A.betweenness_centrality(g, "v", normalized=False).collect())
+        assert {(x.src, x.dst): round(x.v, 9) for x in A.edge_betweenness_centrality(g, "v", normalized=False).collect()} == {e: round(edge[e], 9) for e in edges}
