@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 import warnings
 from collections import defaultdict, deque
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.errors import GraphError, Unsupported
@@ -226,21 +227,30 @@ def label_propagation(g, out: str = "community", most: int = 100) -> DataFrame:
 
     Each round half of the nodes may change, by hash of id and round: neighbours that change at once swap labels for ever.
     """
-    edges = cut(pairs(g, False, False))
-    state = cut(vertices(g).select("id", F.col("id").alias("value")))
+    # Numbers in the order of the ids stand for them, so that rounds move numbers; a bit for each round says whose turn it is.
+    numbers = cut(vertices(g).orderBy("id").select("id", F.monotonically_increasing_id().alias("k")))
+    edges = pairs(g, False, False)
+    for end in ("u", "v"):
+        edges = edges.join(numbers.select(F.col("id").alias(end), F.col("k").alias(f"k{end}")), end)
+    edges = cut(edges.select(F.col("ku").alias("u"), F.col("kv").alias("v")))
+    turns = [reduce(Column.bitwiseOR, [F.when(F.xxhash64("id", F.lit(i)) % 2 == 0, F.lit(1 << (i - k)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(k, min(k + 32, most))]).alias(f"t{k}") for k in range(0, most, 32)]
+    state = cut(numbers.select("k", F.col("k").alias("value"), *turns))
+    masks = state.columns[2:]
     for i in range(most):
-        votes = edges.join(state.select(F.col("id").alias("v"), "value"), "v").groupBy("u", "value").agg(F.count(F.lit(1)).alias("n"))
-        # The greatest count, and of equals the least label: aggregations, no sort.
-        top = votes.groupBy("u").agg(F.max("n").alias("n"))
-        won = votes.join(top, ["u", "n"]).join(state.select(F.col("id").alias("u"), F.col("value").alias("own")), "u")
-        won = won.groupBy(F.col("u").alias("id")).agg(F.when(~F.bool_or(F.col("value") == F.col("own")), F.min("value")).alias("new"))
-        turn = F.xxhash64("id", F.lit(i)) % 2 == 0
-        state = cut(state.select("id", "value").join(won, "id", "left").select("id", F.col("new").isNotNull().alias("wants"), F.when(turn, F.coalesce("new", "value")).otherwise(F.col("value")).alias("value")))
+        votes = edges.join(state.select(F.col("k").alias("v"), "value"), "v").select("u", "value", F.lit(1).cast("long").alias("n"), F.lit(False).alias("own"))
+        votes = votes.unionByName(state.select(F.col("k").alias("u"), "value", F.lit(0).cast("long").alias("n"), F.lit(True).alias("own")))
+        votes = votes.groupBy("u", "value").agg(F.sum("n").alias("n"), F.bool_or("own").alias("own"))
+        # The greatest count, and of equals the least label.
+        won = votes.groupBy(F.col("u").alias("k")).agg(F.max(F.struct("n", (-F.col("value")).alias("label"))).alias("top"), F.max(F.when(F.col("own"), F.col("n"))).alias("mine"))
+        won = won.select("k", F.when(F.col("top.n") > F.col("mine"), -F.col("top.label")).alias("new"))
+        turn = F.col(masks[i // 32]).bitwiseAND(1 << (i % 32)) != 0
+        state = cut(state.select("k", "value", *masks).join(won, "k").select("k", F.when(turn, F.coalesce("new", "value")).otherwise(F.col("value")).alias("value"), *masks, F.col("new").isNotNull().alias("wants")))
         if state.filter("wants").isEmpty():
             break
     else:
         _unsettled("label_propagation", most)
-    return named(g, state, out)
+    label = numbers.select(F.col("id").alias("label"), F.col("k").alias("value"))
+    return named(g, state.select("k", "value").join(label, "value").join(numbers, "k").select("id", F.col("label").alias("value")), out)
 
 
 #: Edges between classes at most for rounds in the driver.

@@ -237,3 +237,11 @@ def test_peeled_trees_count_as_brandes(spark, seed):
         g = Graph(edges=spark.createDataFrame(sorted(edges), "src long, dst long"))
         assert all(abs(x.v - node[x.id] / 2) < 1e-9 for x in A.betweenness_centrality(g, "v", normalized=False).collect())
         assert {(x.src, x.dst): round(x.v, 9) for x in A.edge_betweenness_centrality(g, "v", normalized=False).collect()} == {e: round(edge[e], 9) for e in edges}
+
+
+def test_label_rounds_move_numbers(spark, monkeypatch):
+    tables, plain = [], A.cut
+    monkeypatch.setattr(A, "cut", lambda df: tables.append([f.dataType.simpleString() for f in df.schema]) or plain(df))
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y")]
+    got = {r.id: r.community for r in A.label_propagation(Graph(edges=spark.createDataFrame(edges, "src string, dst string"))).collect()}
+    assert len({got[k] for k in "abc"}) == 1 and got["x"] == got["y"] and sum("string" in t for t in tables) == 1
